@@ -10,6 +10,7 @@ from .byte_bpe import bpe_digest
 from .decontaminate import find_contamination
 from .language_id import language_digest
 from .line_dedup import line_digest
+from .toxicity import toxicity_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +40,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_language_id, op9_byte_bpe, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op3_language_id, op5_toxicity, op9_byte_bpe, op10_line_dedup)
 }
 
 OP10_SQL = """
