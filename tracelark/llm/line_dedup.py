@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, texts
+from .common import ASCII_SPACE, Scratch, texts
 
 HITS = "doc_id long, h1 long, h2 long"
 KEPT = "doc_id long, n_lines long, n_dropped long, kept binary"
@@ -85,7 +85,8 @@ def dedup_lines(
 ) -> DataFrame:
     """One row per document row: doc_id, n_lines (before), n_dropped, kept (the text that stays, as UTF-8 bytes)."""
     hits = line_hits(docs, min_chars, id_col, text_col)
-    repeated = repeated_lines(hits, min_docs)
+    # written first, so that the join below stands directly on two exchanges and adaptive execution may split a hot key
+    repeated = Scratch(docs.sparkSession).table(repeated_lines(hits, min_docs))
     drops = (
         hits.join(repeated, ["h1", "h2"])
         .where("doc_id < keep_doc")
