@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import bpe_digest
+from .class_lm import class_lm_digest
 from .decontaminate import find_contamination
 from .language_id import language_digest
 from .line_dedup import line_digest
@@ -21,6 +22,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_language_id, op5_toxicity, op9_byte_bpe, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op5_toxicity, op9_byte_bpe, op10_line_dedup)
 }
 
 OP10_SQL = """
