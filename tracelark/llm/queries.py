@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import bpe_digest
 from .class_lm import class_lm_digest
 from .decontaminate import find_contamination
+from .graph_ann import nearest_neighbours
 from .html_extract import extract_main_text
 from .language_id import language_digest
 from .line_dedup import line_digest
@@ -39,6 +40,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op5_toxicity, op6_html_extract, op9_byte_bpe, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op5_toxicity, op6_html_extract, op8_graph_ann, op9_byte_bpe, op10_line_dedup)
 }
 
 OP10_SQL = """
