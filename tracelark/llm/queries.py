@@ -13,6 +13,7 @@ from .graph_ann import nearest_neighbours
 from .html_extract import extract_main_text
 from .language_id import language_digest
 from .line_dedup import line_digest
+from .ngram_join import join_ngrams
 from .toxicity import toxicity_digest
 
 
@@ -40,6 +41,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op5_toxicity, op6_html_extract, op8_graph_ann, op9_byte_bpe, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op5_toxicity, op6_html_extract, op7_ngram_jaccard, op8_graph_ann, op9_byte_bpe, op10_line_dedup)
 }
 
 OP10_SQL = """
