@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,23 @@ def rows_of(batches: Iterator[pa.RecordBatch], *cols: str) -> Iterator[tuple[lis
             yield tuple(b.column(b.schema.get_field_index(c)).to_pylist() for c in cols)
 
 
+def as_bytes(values: list) -> list[bytes]:
+    """Texts of a string or binary column as UTF-8 bytes, null as empty."""
+    return [b"" if v is None else v.encode() if isinstance(v, str) else v for v in values]
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text keep()'s function accepts; it is made once a task."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accept = keep()
+        for b in batches:
+            yield b.filter(pa.array(accept(as_bytes(b.column(at).to_pylist())), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     import xxhash

@@ -18,13 +18,13 @@ benchmark marks nothing; repeated document rows give repeated results; other col
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import filter_texts, texts
 
 OUT = "doc_id long, contaminated boolean, n_items int, item_ids array<long>, min_distance int"
 
@@ -178,15 +178,46 @@ def find_contamination(
     )
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    chars_per_error: int = 20,
+    min_chars: int = 30,
+    block_bytes: int = 4 << 20,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """docs, all columns as they are, without the rows that find_contamination() marks."""
+    for block in item_blocks(benchmark, block_bytes, min_chars, item_id_col, item_text_col):
+        docs = filter_texts(docs, _keeper(docs, block, chars_per_error), text_col)
+    return docs
+
+
+def _keeper(docs: DataFrame, block: list[tuple[int, str]], chars_per_error: int) -> Callable[[], Callable[[list[bytes]], list[bool]]]:
+    shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def keep() -> Callable[[list[bytes]], list[bool]]:
+        m = _matcher(key, shared.value, chars_per_error)
+        return lambda raws: [not m.scan(normalise(raw.decode("utf-8", "replace"))) for raw in raws]
+
+    return keep
+
+
+def _matcher(key: str, block: list[tuple[int, str]], chars_per_error: int) -> Matcher:
+    """The block's matcher, made once a worker."""
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Matcher(block, chars_per_error)
+    return _READY[key]
+
+
 def _scan_block(carried: DataFrame, block: list[tuple[int, str]], chars_per_error: int) -> DataFrame:
     shared = carried.sparkSession.sparkContext.broadcast(block)  # at most block_bytes
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Matcher(shared.value, chars_per_error)
-        m = _READY[key]
+        m = _matcher(key, shared.value, chars_per_error)
         for b in batches:
             hits = []
             for raw, had in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):

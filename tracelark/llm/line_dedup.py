@@ -80,19 +80,55 @@ def repeated_lines(hits: DataFrame, min_docs: int = 3) -> DataFrame:
     )
 
 
-def dedup_lines(
-    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per document row: doc_id, n_lines (before), n_dropped, kept (the text that stays, as UTF-8 bytes)."""
+def _drops(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
+    """(drop_id, drops): the keys that a document loses."""
     hits = line_hits(docs, min_chars, id_col, text_col)
     # written first, so that the join below stands directly on two exchanges and adaptive execution may split a hot key
     repeated = Scratch(docs.sparkSession).table(repeated_lines(hits, min_docs))
-    drops = (
+    return (
         hits.join(repeated, ["h1", "h2"])
         .where("doc_id < keep_doc")
         .groupBy(F.col("doc_id").alias("drop_id"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
     )
+
+
+def _kept_lines(raw: bytes, drops: list | None, min_chars: int) -> tuple[int, list[bytes]]:
+    lines = raw.split(b"\n")
+    if not drops:
+        return len(lines), lines
+    gone = {(d["h1"], d["h2"]) for d in drops}
+    bad = {k for k, d in _hashes(raw, min_chars).items() if _as_longs(d) in gone}
+    return len(lines), [x for x in lines if _key(x) not in bad]
+
+
+def dedup_documents(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with all their columns, their text as dedup_lines() leaves it and, where there is such a column, its new length."""
+    drops = _drops(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed({"drop_id": "__drop_id", "drops": "__drops"})
+    both = docs.join(drops.hint("shuffle_hash"), docs[id_col].cast("long") == drops["__drop_id"], "left").select(*[docs[c] for c in docs.columns], "__drops")
+    at, size_at = docs.columns.index(text_col), docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = b.columns[:-1]
+            texts = cols[at].to_pylist()
+            for k, drops in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                if drops:
+                    texts[k] = b"\n".join(_kept_lines(texts[k].encode(), drops, min_chars)[1]).decode()
+            if size_at is not None:
+                sizes = [s if t is None or not d else len(t) for s, t, d in zip(cols[size_at].to_pylist(), texts, b.column(b.num_columns - 1).to_pylist(), strict=True)]
+                cols[size_at] = pa.array(sizes, cols[size_at].type)
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return both.mapInArrow(run, docs.schema)
+
+
+def dedup_lines(
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document row: doc_id, n_lines (before), n_dropped, kept (the text that stays, as UTF-8 bytes)."""
+    drops = _drops(docs, min_chars, min_docs, id_col, text_col)
     src = texts(docs, id_col, text_col)
     both = src.join(drops.hint("shuffle_hash"), src["doc_id"] == drops["drop_id"], "left").select("doc_id", "raw", "drops")
 
@@ -100,13 +136,8 @@ def dedup_lines(
         for b in batches:
             out = []
             for raw, drops in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                lines = raw.split(b"\n")
-                kept = lines
-                if drops:
-                    gone = {(d["h1"], d["h2"]) for d in drops}
-                    bad = {k for k, d in _hashes(raw, min_chars).items() if _as_longs(d) in gone}
-                    kept = [x for x in lines if _key(x) not in bad]
-                out.append((len(lines), len(lines) - len(kept), b"\n".join(kept)))
+                n, kept = _kept_lines(raw, drops, min_chars)
+                out.append((n, n - len(kept), b"\n".join(kept)))
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),

@@ -339,6 +339,13 @@ def join_ngrams(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     return NgramJoin(docs, percent, width, id_col, text_col).groups()
 
 
+def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the documents whose group holds a smaller doc_id; null ids stay."""
+    got = Scratch(docs.sparkSession).table(join_ngrams(docs, percent, width, id_col, text_col))
+    gone = got.where("component_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
+
+
 def brute_force(rows: list[tuple[int, str | None]], percent: int = 80, width: int = 5) -> dict[int, tuple[int, int]]:
     """Plain version, for tests: every pair, with the shingles themselves."""
     sets = {}

@@ -12,6 +12,7 @@ from .decontaminate import find_contamination
 from .graph_ann import nearest_neighbours
 from .html_extract import extract_main_text
 from .language_id import language_digest
+from .license_scan import scan_licences
 from .line_dedup import line_digest
 from .ngram_join import join_ngrams
 from .toxicity import toxicity_digest
@@ -33,6 +34,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op5_toxicity, op6_html_extract, op7_ngram_jaccard, op8_graph_ann, op9_byte_bpe, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_class_lm, op3_language_id, op4_license_scan, op5_toxicity, op6_html_extract, op7_ngram_jaccard, op8_graph_ann, op9_byte_bpe, op10_line_dedup)
 }
 
 OP10_SQL = """

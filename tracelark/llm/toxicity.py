@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hash_words, texts
+from .common import filter_texts, fold_of, hash_words, texts
 
 #: General insults.
 INSULTS = frozenset(
@@ -286,25 +286,44 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, max_te
     return Model(terms, insults, w, bias, {n: (float(p[0, k, 1]), float(p[1, k, 2])) for k, n in enumerate(names)})
 
 
+class Scorer:
+    """The classifier of one worker."""
+
+    def __init__(self, model: Model):
+        self.find, self.bias = Evidence(model.terms, model.general), model.bias
+        n = len(model.terms)
+        self.sparse, self.dense = model.weights[:n], model.weights[n:]
+
+    def score(self, raw: bytes) -> float:
+        ids, dense = self.find.of(raw.decode("utf-8", "replace"))
+        z = float(dense @ self.dense) + (float(self.sparse[ids].sum()) if ids else 0.0) + self.bias
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
+
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_terms entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        find, n = Evidence(model.terms, model.general), len(model.terms)
-        sparse, full = model.weights[:n], model.weights[n:]
+        scorer = Scorer(shared.value)
         for b in batches:
-            out = []
-            for raw in b.column(1).to_pylist():
-                ids, dense = find.of(raw.decode("utf-8", "replace"))
-                z = float(sparse[ids].sum() + dense @ full) + model.bias if ids else float(dense @ full) + model.bias
-                out.append(1 / (1 + math.exp(-min(max(z, -30.0), 30.0))))
+            out = [scorer.score(raw) for raw in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["doc_id", "score", "predicted"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, OUT)
 
 
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows that score_texts() predicts toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep() -> Callable[[list[bytes]], list[bool]]:
+        scorer = Scorer(shared.value)
+        return lambda raws: [scorer.score(raw) < 0.5 for raw in raws]
+
+    return filter_texts(docs, keep, text_col)
+
+
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     got = score_texts(docs, learn(docs, labels))
     return got.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
