@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, shared_dir  # noqa: F401
+
 #: What `[\x20\x09-\x0D]` holds; bytes.split() and bytes.strip() use the same six bytes.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
@@ -34,51 +33,6 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where none is set (local runs)."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not at:
-        got = sc._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return str(got.get())
-        at = tempfile.mkdtemp(prefix="tracelark-")
-        sc.setCheckpointDir(at)
-    return str(at)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may already be closed; the folder is only scratch
-        pass
-
-
-class Scratch:
-    """Tables written to the shared folder, to cut lineage; unlike cached blocks they outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.top = f"{shared_dir(spark).rstrip('/')}/tracelark-{uuid.uuid4().hex}"
-        self.n = 0
-        atexit.register(_delete, spark, self.top)
-
-    def table(self, df: DataFrame) -> DataFrame:
-        """df, written as Parquet and read again."""
-        path = f"{self.top}/{self.n}"
-        self.n += 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._tracelark_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        if path := getattr(df, "_tracelark_path", None):
-            _delete(self.spark, path)
-
-
 def rows_of(batches: Iterator[pa.RecordBatch], *cols: str) -> Iterator[tuple[list, ...]]:
     """The named columns of each non-empty batch as Python lists."""
     for b in batches:
