@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..model import record_name
+
 
 def event_text(record: str = "record", region: Column | None = None) -> Column:
     """Human-readable form of an event; columns are those of the events table."""
-    r = F.col(record)
-    p2p = "dest=%d, comm=%d, tag=%d, len=%d"
-    f = F.format_string
+    r, f = F.col(record), F.format_string
+    name = region if region is not None else F.col("name")
+    to, back = "dest=%d, comm=%d, tag=%d, len=%d", "src=%d, comm=%d, tag=%d, len=%d"
+    p2p = ("peer", "communicator", "tag", "msg_length")
     return (
-        F.when(r == 2, f("Enter %d (%s)", "k", region if region is not None else F.col("name")))
-        .when(r == 3, f("Leave %d (%s)", "k", region if region is not None else F.col("name")))
-        .when(r == 4, f(f"MPI_SEND({p2p})", "peer", "communicator", "tag", "msg_length"))
-        .when(r == 5, f(f"MPI_ISEND({p2p}, req=%d)", "peer", "communicator", "tag", "msg_length", "request_id"))
-        .when(r == 8, f(f"MPI_RECV({p2p.replace('dest', 'src')})", "peer", "communicator", "tag", "msg_length"))
-        .when(r == 9, f(f"MPI_IRECV({p2p.replace('dest', 'src')}, req=%d)", "peer", "communicator", "tag", "msg_length", "request_id"))
-        .when(r == 58, f("GENERIC(%s)", "name"))
-        .otherwise(f("{.record=%d}", record))
+        F.when(r == 2, F.concat(F.lit("Enter ("), name, F.lit(")")))
+        .when(r == 3, F.concat(F.lit("Leave ("), name, F.lit(")")))
+        .when(r == 4, f(f"MPI_SEND({to})", *p2p))
+        .when(r == 5, f(f"MPI_ISEND({to}, req=%d)", *p2p, "request_id"))
+        .when(r == 6, f("MPI_ISEND_COMPLETE(req=%d)", "request_id"))
+        .when(r == 7, f("MPI_IRECV_REQUEST(req=%d)", "request_id"))
+        .when(r == 8, f(f"MPI_RECV({back})", *p2p))
+        .when(r == 9, f(f"MPI_IRECV({back}, req=%d)", *p2p, "request_id"))
+        .when(r == 58, name)
+        .otherwise(F.concat(record_name(r), F.lit("()")))
     )
 
 
@@ -39,6 +44,11 @@ def seconds(ns: Column) -> Column:
     return ns / F.lit(1e9)
 
 
+def exact_seconds(ns: Column) -> Column:
+    """Seconds with nine digits, as text, without a detour through floating point."""
+    return F.concat(F.floor(ns / F.lit(10**9).cast("decimal(19,0)")).cast("string"), F.lit("."), F.lpad((ns % 10**9).cast("string"), 9, "0"))
+
+
 def masking_width(most: Column) -> Column:
     """Bytes that hold every value up to `most`: 1, 2, 4 or 8."""
     return F.when(most < 1 << 8, 1).when(most < 1 << 16, 2).when(most < 1 << 32, 4).otherwise(8)

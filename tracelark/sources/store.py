@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import event_text
+from ..functions.text import event_text, exact_seconds
 
 CODECS = {"none": "uncompressed", "zstd": "zstd", "gzip": "gzip", "snappy": "snappy", "lz4": "lz4_raw"}
 #: Parameters and their defaults.
@@ -77,7 +77,7 @@ def check_unique(definitions: DataFrame, keys: list[str]) -> DataFrame:
 
 def event_lines(events: DataFrame) -> DataFrame:
     """(line): the text listing of events."""
-    return events.select(F.concat_ws("  ", F.format_string("%.9f", F.col("ts_ns") / F.lit(1e9)), F.concat(F.lit("T"), F.col("thread_id").cast("string")), event_text()).alias("line"))
+    return events.select(F.concat_ws("  ", exact_seconds(F.col("ts_ns")), F.concat(F.lit("T"), F.col("thread_id").cast("string")), event_text()).alias("line"))
 
 
 def bulk_rows(spans: DataFrame) -> DataFrame:
