@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,23 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable for Python workers that don't find it on their own path; once an application."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    on_path = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if sc.applicationId in _SHIPPED or (sc.master.startswith("local") and any(p and Path(p).resolve() == root for p in on_path)):
+        return
+    _SHIPPED.add(sc.applicationId)
+    target = Path(tempfile.mkdtemp(prefix="tracelark-py-")) / "tracelark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "tracelark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+        for f in root.glob("corpus_pipeline.py"):
+            z.write(f, f.name)
+    sc.addPyFile(str(target))
