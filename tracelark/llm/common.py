@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch, shared_dir  # noqa: F401
+from ..session import ship_package
 
 #: What `[\x20\x09-\x0D]` holds; bytes.split() and bytes.strip() use the same six bytes.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -27,6 +28,7 @@ def py_fold(doc_id: int | None, n: int) -> int:
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, raw binary): UTF-8 bytes of the whole text, null as empty."""
+    ship_package(docs.sparkSession)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("raw"),
@@ -47,6 +49,7 @@ def as_bytes(values: list) -> list[bytes]:
 
 def filter_texts(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], list[bool]]], text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text keep()'s function accepts; it is made once a task."""
+    ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from .byte_bpe import bpe_digest
 from .class_lm import class_lm_digest
 from .decontaminate import find_contamination
@@ -19,6 +20,7 @@ from .toxicity import toxicity_digest
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
