@@ -200,7 +200,7 @@ def build_index(nodes: DataFrame, degree: int, beam: int, alpha: float) -> DataF
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, degree: int, beam: int) -> DataFrame:
     """(query_id, vec_id, score): the k best of every shard for each query (vec_id, vector)."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"), F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("int").alias("shard"))
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"), F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def search(nodes: pa.Table, asks: pa.Table) -> pa.Table:
         ids_out, vec_out, score_out = [], [], []
