@@ -9,10 +9,12 @@ Sets are sorted arrays of 64-bit shingle hashes. Two documents link when 100 * |
    links, so what the first look sees only bears on speed.
 3. Round one pairs each member of a tile with the tile's smallest and largest node: a number of pairs that is linear in the
    tile. Sizes, then the bitmaps' bit counts bound the overlap from above; what remains is decided exactly on sorted arrays
-   made from the texts. Links give components.
-4. Round two takes the tiles that still hold several components, cut by size band. Members outside the tile's largest
+   made from the texts. Links give components. A second such round pairs members outside a tile's largest component with
+   members of it, another one by each of ``PIVOTS`` classes of keys.
+4. The last round takes the tiles that still hold several components, cut by size band. Members outside the tile's largest
    component visit all chunks of the tile, members of that component stay in their own: pairs within one component need no
-   look, all others get one, by bitmaps first. What passes is decided exactly, and components are closed.
+   look, all others get one, by bitmaps first. A pair that shares one of its keys of least hash (``MINS`` hashes) is looked at
+   in the tile of that key alone. What passes is decided exactly, and components are closed.
 
 No tile is collected whole, no pair within a component is emitted, and every step after the postings works on tables in
 the shared folder.
@@ -38,6 +40,9 @@ from .components import connected_components
 CACHE = 400_000
 SEND_ROWS = 500_000  # so many ids (8 bytes each) may be sent to every executor
 CHUNK = 1024  # members of a tile that one chunk holds
+MINS = 6  # keys of least hash that a node carries
+PIVOTS = 16
+_MIX = np.random.default_rng(29).integers(1, 1 << 62, size=MINS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
 _B = np.uint64(0x94D049BB133111EB)
@@ -90,8 +95,8 @@ def band_of(n: int, percent: int) -> int:
 
 
 def bitmap(x: np.ndarray) -> bytes:
-    """Bits of the hashed elements; the width is a power of two from twice the size up."""
-    width = max(64, 1 << int(2 * len(x) - 1).bit_length())
+    """Bits of the hashed elements; the width is a power of two from four times the size up."""
+    width = max(64, 1 << int(4 * len(x) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[(x >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -151,63 +156,51 @@ class NgramJoin:
         got = part.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(self.common).toArrow()
         return got.column("s").to_numpy()[::-1].copy().view(np.uint64)
 
-    def cards(self) -> DataFrame:
-        """(doc_id, node, n, sig) of every row; no node for an empty set."""
-        width = self.width
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find = Shingler(width)
-            for b in batches:
-                out = []
-                for raw in b.column(1).to_pylist():
-                    x = find.of(raw)
-                    out.append((node_of(x), len(x), bitmap(x)) if len(x) else (None, 0, None))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], names=["doc_id", "node", "n", "sig"]
-                )
-
-        return self.src.mapInArrow(run, "doc_id long, node long, n long, sig binary")
-
-    def postings(self, often: np.ndarray) -> DataFrame:
-        """(key, node): the prefix of each set; copies within a task are told once."""
+    def cards(self, often: np.ndarray) -> DataFrame:
+        """(doc_id, node, n, sig, mins, keys) of every row: keys is the prefix of the set, told once a task for equal sets."""
         width, percent = self.width, self.percent
         order = np.argsort(often)
         shared = self.spark.sparkContext.broadcast((often[order], order))  # at most `common` entries
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, ranks = shared.value
+            late_keys, ranks = shared.value
             find, told = Shingler(width), set()
+
+            def prefix(x: np.ndarray) -> np.ndarray:
+                p = prefix_size(len(x), percent)
+                if not len(late_keys):
+                    return x[:p]
+                at = np.minimum(np.searchsorted(late_keys, x), len(late_keys) - 1)
+                late = late_keys[at] == x
+                first = x[~late][:p]
+                if len(first) < p:
+                    rest = x[late][np.argsort(ranks[at[late]])]
+                    first = np.concatenate([first, rest[: p - len(first)]])
+                return first
+
             for b in batches:
-                key_out, node_out, sizes = [], [], []
-                for raw, i in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+                out = []
+                for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     x = find.of(raw)
-                    if i is None or not len(x):
+                    if not len(x):
+                        out.append((None, 0, None, None, None))
                         continue
-                    node = node_of(x)
-                    if node in told:
-                        continue
-                    if len(told) > 500_000:
-                        told.clear()
-                    told.add(node)
-                    p = prefix_size(len(x), percent)
-                    if len(keys):
-                        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-                        late = keys[at] == x
-                        first = x[~late][:p]
-                        if len(first) < p:
-                            rest = x[late][np.argsort(ranks[at[late]])]
-                            first = np.concatenate([first, rest[: p - len(first)]])
-                    else:
-                        first = x[:p]
-                    key_out.append(first)
-                    node_out.append(node)
-                    sizes.append(len(first))
-                if key_out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(key_out).view(np.int64)), pa.array(np.repeat(np.array(node_out, dtype=np.int64), sizes))], names=["key", "node"]
-                    )
-
-        return self.src.mapInArrow(run, "key long, node long")
+                    node, first = node_of(x), prefix(x)
+                    with np.errstate(over="ignore"):
+                        mins = [int(first[np.argmin(first * m)].view(np.int64)) for m in _MIX]
+                    fresh = i is not None and node not in told
+                    if fresh:
+                        if len(told) > 500_000:
+                            told.clear()
+                        told.add(node)
+                    out.append((node, len(x), bitmap(x), mins, first.view(np.int64) if fresh else None))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), longs, longs)))],
+                    names=["doc_id", "node", "n", "sig", "mins", "keys"],
+                )
+
+        return self.src.mapInArrow(run, "doc_id long, node long, n long, sig binary, mins array<long>, keys array<long>")
 
     def bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (u, v) that sizes and bitmaps leave."""
@@ -258,69 +251,94 @@ class NgramJoin:
 
         return both.mapInArrow(run, "u long, v long")
 
+    def mixed(self, shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, node, comp), and (key, top, size) of the tiles that hold several components and more than three members.
+
+        In a tile of up to three members round one has seen every pair.
+        """
+        known = self.scratch.table(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp")))
+        parts = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        tiles = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("top"))
+        return known, self.scratch.table(tiles.where("comps > 1 and size > 3").select("key", "top", "size"))
+
+    def towards_top(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs of each member outside a tile's largest component with one of that component, which varies with the key."""
+        known, tiles = self.mixed(shared, labels)
+        rows = known.join(tiles.select("key", "top"), "key")
+        by = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))
+        ends = self.scratch.table(rows.where("comp = top").groupBy("key").agg(F.min_by("node", by).alias("end")))
+        return rows.where("comp <> top").join(ends, "key").select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()
+
     def crossing(self, shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of different components that meet in a tile and that bitmaps leave."""
         percent = self.percent
-        known = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
-        known = self.scratch.table(known)
-        parts = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        # in a tile of up to three members round one has seen every pair
-        mixed = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("top")).where("comps > 1 and size > 3")
-        mixed = self.scratch.table(mixed.select("key", "top", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")))
-        rows = known.join(mixed, "key").join(nodes.select("node", "n", "sig"), "node")
-        rows = rows.select(
-            "key", "node", "comp", "n", "sig", (F.col("comp") != F.col("top")).alias("visits"), "chunks", F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int").alias("band")
-        )
-        stay = rows.select("key", "band", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "comp", "n", "sig", F.lit(False).alias("guest"))
+        known, tiles = self.mixed(shared, labels)
+        tiles = tiles.select("key", "top", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+        rows = known.join(tiles, "key").join(nodes.select("node", "n", "sig", "mins"), "node")
+        band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+        rows = rows.select("key", "node", "comp", "n", "sig", "mins", (F.col("comp") != F.col("top")).alias("visits"), "chunks", band.alias("band"))
+        cols = ["key", "band", "chunk", "node", "comp", "n", "sig", "mins"]
+        stay = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).select(*cols, F.lit(False).alias("guest"))
         visit = (
             rows.where("visits")
             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-            .select("key", F.col("at").alias("band"), "chunk", "node", "comp", "n", "sig", F.lit(True).alias("guest"))
+            .select(*["key", F.col("at").alias("band"), *cols[2:]], F.lit(True).alias("guest"))
         )
-        tiles = stay.unionByName(visit).repartition("key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
+        dealt = stay.unionByName(visit).repartition("key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def meet(tile: list[tuple]) -> set[tuple[int, int]]:
-                home = [(x[3], x[4], x[5], np.frombuffer(x[6], np.uint8)) for x in tile if not x[7]]
-                out: set[tuple[int, int]] = set()
-                for x in tile:
-                    if x[7] and home:
-                        sig = np.frombuffer(x[6], np.uint8)
-                        for node, comp, n, other in home:
-                            if comp != x[4] and may_link(x[5], n, sig, other, percent):
-                                out.add((max(node, x[3]), min(node, x[3])))
-                return out
-
-            key, tile = None, []
             found: set[tuple[int, int]] = set()
+            rest: pa.Table | None = None
+
+            def meet_all(t: pa.Table) -> None:
+                key, band, chunk = (t.column(k).to_numpy() for k in range(3))
+                cut = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+                node, comp, n = (t.column(k).to_numpy() for k in (3, 4, 5))
+                sig = t.column(6).to_pylist()
+                mins = np.array(t.column(7).to_pylist(), dtype=np.int64).reshape(len(node), MINS)
+                guest = t.column(8).to_numpy()
+                for a, z in zip([0, *cut], [*cut, len(node)], strict=True):
+                    _meet(int(key[a]), node[a:z], comp[a:z], n[a:z], sig[a:z], mins[a:z], guest[a:z], percent, found)
+
             for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if row[:3] != key:
-                        found |= meet(tile)
-                        key, tile = row[:3], []
-                        if len(found) > 100_000:
-                            yield _pairs(found)
-                            found = set()
-                    tile.append(row)
-            found |= meet(tile)
+                if not b.num_rows:
+                    continue
+                t = pa.Table.from_batches([b])
+                if rest is not None:
+                    t = pa.concat_tables([rest, t])
+                tail = [t.column(k).to_numpy() for k in range(3)]
+                same = np.logical_and.reduce([x == x[-1] for x in tail])
+                start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+                rest = t.slice(start)
+                if start:
+                    meet_all(t.slice(0, start))
+                if len(found) > 200_000:
+                    yield _pairs(found)
+                    found.clear()
+            if rest is not None:
+                meet_all(rest)
             yield _pairs(found)
 
-        return tiles.mapInArrow(run, "u long, v long").distinct()
+        return dealt.mapInArrow(run, "u long, v long").distinct()
 
     def groups(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         s = self.scratch
-        cards = s.table(self.cards())
-        nodes = s.table(cards.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-        postings = self.postings(self.often())
+        cards = s.table(self.cards(self.often()))
+        nodes = cards.where("node is not null and doc_id is not null").groupBy("node")
+        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "mins")]))
+        postings = cards.where("keys is not null").select(F.explode("keys").alias("key"), "node")
         ends = s.table(postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
         shared = s.table(postings.join(ends, "key"))
         star = F.explode(F.array("low", "high")).alias("end")
         pairs = shared.select("node", star).where("node <> end").select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()
+        shared = shared.select("key", "node").distinct()
         links = s.table(self.exact(s.table(self.bounded(s.table(pairs), nodes)), nodes))
         labels = s.table(connected_components(links, s))
-        more = self.exact(s.table(self.crossing(shared.select("key", "node").distinct(), labels, nodes)), nodes)
+        links = s.table(links.unionByName(self.exact(s.table(self.bounded(s.table(self.towards_top(shared, labels)), nodes)), nodes)))
+        labels = s.table(connected_components(links, s))
+        more = self.exact(s.table(self.crossing(shared, labels, nodes)), nodes)
         labels = s.table(connected_components(links.unionByName(more), s))
         least = s.table(labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id")))
         linked = s.table(labels.join(least, "label").select("node", "component_id"))
@@ -329,6 +347,37 @@ class NgramJoin:
         return got.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _meet(key: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], mins: np.ndarray, guest: np.ndarray, percent: int, found: set[tuple[int, int]]) -> None:
+    """Pairs of guests and members of one chunk that this tile owns and that sizes and bitmaps leave."""
+    home, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
+    if not len(home) or not len(guests):
+        return
+    h_node, h_comp, h_n, h_mins = node[home], comp[home], n[home], mins[home]
+    sizes = np.array([len(sig[k]) for k in home])
+    by_size = {int(w): np.flatnonzero(sizes == w) for w in np.unique(sizes)}
+    bits = {w: np.frombuffer(b"".join(sig[home[k]] for k in at), np.uint8).reshape(len(at), w) for w, at in by_size.items()}
+    for g in guests:
+        agree = h_mins == mins[g]
+        any_agree = agree.any(axis=1)
+        owner = h_mins[np.arange(len(home)), agree.argmax(axis=1)]
+        ok = (h_comp != comp[g]) & (~any_agree | (owner == key)) & (100 * np.minimum(h_n, n[g]) >= percent * np.maximum(h_n, n[g]))
+        if not ok.any():
+            continue
+        own = np.frombuffer(sig[g], np.uint8)
+        for w, at in by_size.items():
+            at_ok = ok[at]
+            if not at_ok.any():
+                continue
+            other, size = bits[w][at_ok], min(w, len(own))
+            if w > size:
+                other = np.bitwise_or.reduce(other.reshape(len(other), -1, size), axis=1)
+            mine, k = folded(own, size), at[at_ok]
+            most = np.minimum(n[g] - np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64), h_n[k] - np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
+            for j in k[(100 + percent) * most >= percent * (n[g] + h_n[k])]:
+                a, b = int(node[g]), int(h_node[j])
+                found.add((max(a, b), min(a, b)))
+
+
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     got = sorted(found)
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["u", "v"])
