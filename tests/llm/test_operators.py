@@ -1,0 +1,470 @@
+"""Each operator on odd tables, and against brute force or a known answer."""
+
+import hashlib
+import random
+import zlib
+
+import compare
+import numpy as np
+import pytest
+
+DATA = str(compare.DATA)
+
+
+def table(spark, sf, name):
+    return spark.read.parquet(f"{DATA}/{sf}/{name}.parquet")
+
+
+def bench(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+# --- line dedup
+
+
+def test_line_dedup_odd(spark, odd, odd_rows, clashing, none):
+    from tracelark.llm.line_dedup import brute_force, dedup_documents, line_digest
+
+    want = sorted(map(str, brute_force([(r[0], r[1]) for r in odd_rows])))
+    for df in (odd, clashing):
+        assert sorted(str((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"])) for r in line_digest(df).collect()) == want
+    assert line_digest(none).count() == 0
+    got = dedup_documents(clashing)
+    assert got.columns == clashing.columns and got.count() == len(odd_rows)
+
+
+def test_line_dedup_keeps_the_largest_id(spark):
+    from tracelark.llm.line_dedup import brute_force, line_digest
+
+    line = "  This Line is long enough to count  "
+    rows = [(i, f"own {i}\n{line if i % 2 else line.upper()}\nshort\n") for i in range(6)] + [(9, "x" * 20), (10, "X" * 20 + "\r"), (11, "é" * 19)]
+    got = [(r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_force(rows))
+    assert {g[0] for g in got if g[2]} == {0, 1, 2, 3, 4}
+
+
+def test_line_dedup_same_as_sql(spark):
+    from tracelark.llm.queries import ORACLE, QUERIES
+
+    assert compare.differences(spark, compare.duck("sf0.001"), "sf0.001", QUERIES["op10_line_dedup"], ORACLE["op10_line_dedup"]) == ""
+
+
+# --- byte-level BPE
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers as p
+
+    from tracelark.llm.byte_bpe import ByteBpe, read_ranks, serialise_model
+
+    vocab = read_ranks(p.path("byte_bpe_50k.tiktoken"))
+    return ByteBpe(vocab, serialise_model(vocab), p.PATTERN)
+
+
+def test_bpe_same_as_tiktoken(bpe):
+    import public_tokenizers as p
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks={x: i for i, x in enumerate(bpe.vocab)}, special_tokens={})
+    r = random.Random(1)
+    hard = ["don't  it's 's\n\n\n  x\ty  ", " \x1c\x1d a\x85b\xa0c ² Ⅷ ٣ 中文字 🎉🎉 ​᠎", "\r\n\r\n a", "a" * 5000, "", "   ", "'ll 'LL", "<|endoftext|>", "\x00\x01", "▁ ▁x"]
+    hard += ["".join(r.choice(" \n\t'sdtlvera0٣²é中!,.\xa0\x1c ") for _ in range(r.randrange(60))) for _ in range(3000)]
+    for t, ids in zip(hard, bpe.encode_all(hard), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t), t
+        assert bpe.decode(ids) == t.encode()
+
+
+def test_bpe_odd(spark, odd, clashing, odd_rows, none):
+    from tracelark.llm.byte_bpe import bpe_digest
+    import public_tokenizers as p
+
+    for df in (odd, clashing):
+        got = bpe_digest(df, p.path("byte_bpe_50k.tiktoken"), p.PATTERN).collect()
+        assert sorted(r["decoded_sha256"] for r in got) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in odd_rows)
+    assert bpe_digest(none, p.path("byte_bpe_50k.tiktoken"), p.PATTERN).count() == 0
+
+
+# --- benchmark decontamination
+
+
+def test_decontamination_same_as_brute_force(spark, words):
+    from tracelark.llm.decontaminate import brute_force, find_contamination
+
+    r = random.Random(5)
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+
+    def edit(s, k):
+        s = list(s)
+        for _ in range(k):
+            at = r.randrange(len(s))
+            s[at : at + r.choice((0, 1))] = r.choice(("", "q", "zz")[: 2 + r.randrange(2)])
+        return "".join(s)
+
+    items = [(k, prose(r.randint(6, 25))) for k in range(6)] + [(90, "too short"), (91, None), (None, prose(20)), (92, "")]
+    rows = [(i, prose(20) + " " + edit(r.choice(items[:6])[1], r.randrange(9)) + "\n" + prose(15)) for i in range(40)] + [(98, None), (99, "")]
+    want = brute_force(rows, [x for x in items if x[0] is not None])
+    for block in (1, 4 << 20):  # one item a block, and all in one
+        got = find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, items), block_bytes=block).collect()
+        assert {g["doc_id"]: g["item_ids"] for g in got} == want
+    assert any(want.values()) and not all(want.values())
+
+
+def test_decontamination_odd(spark, odd, clashing, odd_rows, none):
+    from tracelark.llm.decontaminate import drop_contaminated, find_contamination
+
+    items = bench(spark, [(1, odd_rows[6][1]), (1, odd_rows[6][1])])
+    for df in (odd, clashing):
+        got = find_contamination(df, items).collect()
+        assert len(got) == len(odd_rows) and {g["doc_id"] for g in got if g["contaminated"]} == {6, 7, 8, -3}
+        assert drop_contaminated(df, items).columns == df.columns
+    assert drop_contaminated(odd, items).count() == len(odd_rows) - 5
+    assert find_contamination(none, items).count() == 0
+    assert not any(g["contaminated"] for g in find_contamination(odd, bench(spark, [])).collect())
+
+
+# --- n-gram Jaccard join
+
+
+def test_join_same_as_brute_force(spark, words):
+    """Families of near copies around the threshold, so that some members link only through others."""
+    from tracelark.llm.ngram_join import brute_force, join_ngrams
+
+    r = random.Random(3)
+    rows = []
+    for family in range(6):
+        base = [r.choice(words) for _ in range(r.choice((12, 40, 150, 300)))]
+        for _ in range((3, 8, 60, 25, 1, 2)[family]):
+            t = list(base)
+            for _ in range(r.randrange(1 + len(t) // 14)):
+                t[r.randrange(len(t))] = r.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    passage = " ".join(r.choice(words) for _ in range(55))
+    rows += [(len(rows) + k, passage + " " + " ".join(r.choice(words) for _ in range(r.choice((10, 60))))) for k in range(30)]
+    rows += [(1000, "a b"), (1001, "A  b"), (1002, "a b c"), (1003, None), (1004, "")]
+    want = brute_force(rows)
+    got = {g["doc_id"]: (g["n_shingles"], g["component_id"]) for g in join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(rows) - 40
+
+
+def test_join_odd(spark, odd, clashing, odd_rows, none):
+    from tracelark.llm.ngram_join import join_ngrams, one_of_each_group
+
+    for df in (odd, clashing):
+        got = join_ngrams(df).collect()
+        assert len(got) == len(odd_rows)
+        by = {g["doc_id"]: g for g in got if g["doc_id"] is not None}
+        assert by[6]["component_id"] == by[7]["component_id"] == by[8]["component_id"] == 6 and by[10]["component_id"] == 9 and by[10]["n_shingles"] == 1
+        assert by[1]["n_shingles"] == 0 and by[1]["component_id"] == 1
+    kept = one_of_each_group(clashing)
+    assert kept.columns == clashing.columns and kept.where("doc_id in (7, 8, 10)").count() == 0 and kept.count() == len(odd_rows) - 4
+    assert join_ngrams(none).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    from tracelark.llm.ngram_join import _links, bitmap, may_link
+
+    r = np.random.default_rng(2)
+    for _ in range(500):
+        a = np.unique(r.integers(0, 1 << 63, size=r.integers(1, 200), dtype=np.int64).astype(np.uint64))
+        keep = a[r.random(len(a)) < 0.9]
+        b = np.unique(np.concatenate([keep, r.integers(0, 1 << 63, size=r.integers(0, 20), dtype=np.int64).astype(np.uint64)]))
+        if len(b) and _links(a, b, 80):
+            assert may_link(len(a), len(b), np.frombuffer(bitmap(a), np.uint8), np.frombuffer(bitmap(b), np.uint8), 80)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    from tracelark.llm.common import Scratch
+    from tracelark.llm.components import connected_components
+
+    edges = [(k + 1, k) for k in range(100)] + [(1000 + k, 1000) for k in range(1, 50)] + [(5, 5)]
+    got = {x["node"]: x["label"] for x in connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
+    assert {got[k] for k in range(101)} == {0} and {got[1000 + k] for k in range(50)} == {1000}
+
+
+# --- language identification
+
+
+def test_language_id_held_out(spark):
+    from tracelark.llm.queries import QUERIES
+
+    got = QUERIES["op3_language_id"](spark, f"{DATA}/sf0.01").join(table(spark, "sf0.01", "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(g["lang_pred"] == g["lang"] for g in got) / len(got) > 0.97
+    assert all(0 <= g["score"] <= 1 for g in got)
+
+
+def test_language_id_odd(spark, odd, clashing, odd_rows, none):
+    from tracelark.llm.language_id import identify_languages
+
+    for df in (odd, clashing):
+        got = identify_languages(df).collect()
+        assert len(got) == len(odd_rows)
+        by = {g["doc_id"]: g["lang_pred"] for g in got}
+        assert by[1] == by[2] == by[3] == by[12] == "und" and by[5] != "und"
+    assert identify_languages(none).count() == 0
+    from pyspark.sql import functions as F
+
+    assert {g["lang_pred"] for g in identify_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_character_models_are_distributions():
+    from tracelark.llm.language_id import CharModels, _grams
+
+    m = CharModels.fit({"a": ["banana bandana cabana"] * 3, "b": ["obo bob boo xyzzy"] * 3}, order=3)
+    for ctx in ("", "b", "an", "zz", "qq"):
+        total = np.zeros(2)
+        for c in [*"abcdnoxyz", " "]:
+            h, _, _ = _grams([ctx + c.strip()], 3)
+            i, lp = len(ctx) + 1, np.zeros(2)
+            for o in range(min(3, i + 1), 0, -1):
+                k = np.searchsorted(m.keys[o - 1], h[o - 1, i])
+                if k < len(m.keys[o - 1]) and m.keys[o - 1][k] == h[o - 1, i]:
+                    lp += m.logp[o - 1][k]
+                    break
+                if o == 1:
+                    lp += m.floor
+                    break
+                q = np.searchsorted(m.ctx[o - 1], h[o - 2, i - 1])
+                if q < len(m.ctx[o - 1]) and m.ctx[o - 1][q] == h[o - 2, i - 1]:
+                    lp += m.back[o - 1][q]
+            total += np.exp(lp)
+        assert (total < 1 + 1e-9).all() and (total > 0.85).all()  # what is left is kept for letters never seen
+
+
+# --- class-based n-grams
+
+
+def test_class_lm_counts_and_base_score(spark, odd, clashing, odd_rows, none):
+    import math
+    from collections import Counter
+
+    from tracelark.llm.class_lm import class_lm_digest
+
+    tokens = lambda t: (t or "").encode().lower().split() + [b""]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    c = Counter(w for r in odd_rows if not held(r[0]) for w in tokens(r[1]))
+    n, v = sum(c.values()), len(c)
+    want = sorted((str(r[0]), held(r[0]), len(tokens(r[1])), sum(c[w] > 0 for w in tokens(r[1])), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(r[1])), 4)) for r in odd_rows)
+    for df in (odd, clashing):
+        got = class_lm_digest(df).collect()
+        assert sorted((str(g["doc_id"]), g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"], round(g["base_score"], 4)) for g in got) == want
+        assert all(g["score"] < 0 for g in got)
+    assert class_lm_digest(none).count() == 0
+
+
+def test_class_lm_beats_the_base_on_held_out_texts(spark):
+    from tracelark.llm.queries import QUERIES
+
+    got = QUERIES["op2_class_lm"](spark, f"{DATA}/sf0.01").where("held_out").collect()
+    assert sum(g["score"] for g in got) > sum(g["base_score"] for g in got)
+
+
+def test_exchange_finds_planted_classes():
+    from tracelark.llm.class_lm import exchange
+
+    r = np.random.default_rng(1)
+    kind = np.array([0, *([1, 2, 3] * 8)])
+    follow = np.array([[0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [1, 0, 0, 0]])
+    counts = np.array([[r.integers(20, 40) * follow[kind[a], kind[b]] for b in range(25)] for a in range(25)])
+    got = exchange(counts, 4)
+    assert all(len({int(got[k]) for k in range(25) if kind[k] == c}) == 1 for c in range(4))
+
+
+# --- licence scan
+
+
+def test_every_sentence_rule_holds_its_trigger():
+    from tracelark.llm.license_scan import RULES, SENTENCES
+
+    names = {s[0] for s in SENTENCES}
+    for name, trigger, pattern in SENTENCES:
+        assert trigger in pattern, name
+    assert {i for _, seq in RULES for i in seq} <= names
+
+
+MIT = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files, to deal in the Software.
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (MIT, ["MIT"]),
+        ("Released under the MIT License.", ["MIT"]),
+        ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+        ("// Licensed under CC BY-NC 4.0.\nmore | text", ["CC-BY-NC-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3"]),
+        ("it under the terms. You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published, either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1+"]),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted.\n* Redistributions of source code must retain the above copyright notice.\n* Redistributions in binary form must reproduce the above copyright notice.", ["BSD-2-Clause"]),
+        ("All rights reserved.", ["Proprietary"]),
+        ("Redistributions in binary form must reproduce the above copyright notice.", []),
+        ("The permission slip is on the table.", []),
+    ],
+)
+def test_licences(text, want):
+    from tracelark.llm.license_scan import scan_text
+
+    assert scan_text(text)[0] == want
+
+
+def test_licence_scan_odd(spark, odd, clashing, odd_rows, none):
+    from tracelark.llm.license_scan import scan_licences
+
+    for df in (odd, clashing):
+        assert all(g["licences"] == [] for g in scan_licences(df).collect()) and scan_licences(df).count() == len(odd_rows)
+    assert scan_licences(none).count() == 0
+
+
+# --- toxicity
+
+
+def test_toxicity_on_labels(spark):
+    from tracelark.llm.queries import QUERIES
+
+    got = QUERIES["op5_toxicity"](spark, f"{DATA}/sf0.1").join(table(spark, "sf0.1", "labels"), "doc_id").where("held_out").collect()
+    hit = sum(g["predicted"] for g in got if g["toxic"] == 1) / max(1, sum(g["toxic"] for g in got))
+    false = sum(g["predicted"] for g in got if g["toxic"] == 0) / sum(g["toxic"] == 0 for g in got)
+    assert hit > 0.8 and false < 0.03
+    assert all(0 <= g["score"] <= 1 and g["predicted"] == (g["score"] >= 0.5) for g in got)
+
+
+def test_toxicity_odd(spark, odd, clashing, odd_rows, none):
+    from tracelark.llm.toxicity import drop_toxic, learn, toxicity_digest
+
+    cols = "doc_id long, quality int, toxic int"
+    for labels in ([], [(6, 1, 0), (9, 1, 1), (9, 1, 0), (None, 1, 1), (5, None, None), (77, 0, 1), (11, 1, 1)]):
+        lab = spark.createDataFrame(labels, cols)
+        for df in (odd, clashing):
+            assert toxicity_digest(df, lab).count() == len(odd_rows)
+        assert drop_toxic(clashing, learn(clashing, lab)).columns == clashing.columns
+    assert toxicity_digest(none, spark.createDataFrame([], cols)).count() == 0
+
+
+def test_label_model_finds_good_and_bad_voters():
+    from tracelark.llm.toxicity import label_model
+
+    r = np.random.default_rng(3)
+    y = (r.random(4000) < 0.3).astype(int)
+    vote = lambda acc: np.where(r.random(4000) < 0.6, np.where(r.random(4000) < acc, y, 1 - y), -1)
+    one = vote(0.9)
+    votes = np.stack([one, one, vote(0.85), vote(0.8), vote(0.5)], axis=1)
+    q, p, weight = label_model(votes, 0.3)
+    assert ((q > 0.5) == y).mean() > 0.85
+    assert p[1, 0, 2] > p[1, 4, 2] and weight[0] < weight[3]
+
+
+# --- main text
+
+
+def test_html_blocks_and_labels():
+    from tracelark.llm.html_extract import PageWriter, blocks_of, label_pages, trained
+
+    assert [b.text for b in blocks_of("<p>a<p>b &amp; c<script>x<p></script><b> d<br>e</p><ul><li>f<li>g</ul>")] == ["a", "b & c", "d e", "f", "g"]
+    assert blocks_of("") == [] and blocks_of("plain < text")[0].text == "plain < text"
+    w, bad, n = PageWriter(4242), 0, 0
+    for _ in range(100):
+        doc, y = w.page()
+        b = blocks_of(doc)
+        assert len(b) == len(y)
+        p = label_pages([b], trained())[0]
+        bad, n = bad + int(((p >= 0.5) != np.array(y)).sum()), n + len(y)
+    assert bad / n < 0.05
+
+
+def test_html_query_against_the_markup(spark):
+    """The network's choice against the article element of the stored pages."""
+    from tracelark.llm.html_extract import blocks_of
+    from tracelark.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r["html"] for r in table(spark, "sf0.001", "pages").collect()}
+    same = 0
+    for g in QUERIES["op6_html_extract"](spark, f"{DATA}/sf0.001").collect():
+        want = "\n\n".join(b.text for b in blocks_of(pages[g["page_id"]] or "") if any(t == "article" for t, _ in b.path))
+        same += g["text"] == want
+        assert g["n_chars"] == len(g["text"])
+    assert same / len(pages) > 0.9
+
+
+def test_html_odd(spark):
+    from tracelark.llm.html_extract import extract_main_text
+
+    rows = [(1, "u", None), (None, None, ""), (2, "u", "<p"), (3, "u", "<div>" * 3000 + "deep"), (4, "u", "<p>" + "word " * 100_000), (4, "u", "<p>" + "word " * 100_000), (5, None, "&#0;&bogus; \x00")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, n_chars string")
+    got = extract_main_text(df).collect()
+    assert len(got) == len(rows) and all(g["text"] == "" for g in got if g["page_id"] in (1, None))
+    assert extract_main_text(df.limit(0)).count() == 0
+
+
+# --- nearest neighbours
+
+
+def test_neighbours_recall(spark):
+    from tracelark.llm.graph_ann import brute_force, nearest_neighbours
+
+    df = table(spark, "sf0.1", "embeddings")
+    want = brute_force([(r["vec_id"], r["embedding"]) for r in df.collect()])
+    got: dict = {}
+    for r in nearest_neighbours(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(want)
+    hits = sum(len({v for _, v, _ in got[q]} & {i for i, _ in x}) for q, x in want.items())
+    assert hits / sum(map(len, want.values())) > 0.95
+    for rows in got.values():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and all(a[2] >= b[2] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_neighbours_odd(spark):
+    from tracelark.llm.graph_ann import brute_force, nearest_neighbours
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [3.0, 4.0]), (40, [-1.0, 2.0])]
+    rows += [(100 + k, [0.5, 0.5]) for k in range(60)]
+    df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<double>, rank int, score double")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest_neighbours(df).collect())
+    want = sorted((q, k + 1, i, s) for q, x in brute_force(rows).items() for k, (i, s) in enumerate(x))
+    assert got == want
+    assert nearest_neighbours(df.limit(0)).count() == 0
+
+
+# --- pipeline
+
+
+def test_pipeline_against_its_plain_parts(spark, tmp_path):
+    """run() on the smallest tables against stages written out plainly."""
+    import corpus_pipeline as p
+    import public_tokenizers
+    import tiktoken
+
+    from tracelark.llm import decontaminate, ngram_join, toxicity
+    from tracelark.llm.byte_bpe import read_ranks
+    from tracelark.llm.line_dedup import _key
+
+    assert [n for n, _ in p.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard", "decontamination", "byte_bpe"]
+    docs, labels = table(spark, "sf0.001", "documents"), table(spark, "sf0.001", "labels")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    bad = {r["doc_id"] for r in toxicity.score_texts(docs, toxicity.learn(docs, labels)).where("predicted = 1").collect()}
+    rows = {i: t for i, t in rows.items() if i not in bad}
+    held: dict = {}
+    for i, t in rows.items():
+        for line in t.encode().split(b"\n"):
+            held.setdefault(_key(line), set()).add(i)
+    keep = lambda i, x: len(x.decode()) < 20 or len(held[x]) < 3 or max(held[x]) == i
+    rows = {i: b"\n".join(x for x in t.encode().split(b"\n") if keep(i, _key(x))).decode() for i, t in rows.items()}
+    groups = ngram_join.brute_force(list(rows.items()))
+    rows = {i: t for i, t in rows.items() if groups[i][1] == i}
+    items = [(r["item_id"], r["text"]) for r in table(spark, "sf0.001", "benchmark").collect()]
+    m = decontaminate.Matcher([(k, decontaminate.normalise(t)) for k, t in items], 20)
+    rows = {i: t for i, t in rows.items() if not m.scan(decontaminate.normalise(t))}
+    ranks = {x: k for k, x in enumerate(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((i, np.array(enc.encode_ordinary(t), dtype="<u4").tobytes()) for i, t in rows.items())
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in p.run(spark, f"{DATA}/sf0.001").collect()) == want
