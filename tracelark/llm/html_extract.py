@@ -357,8 +357,11 @@ class PageWriter:
             elif u < 0.92:
                 k = r.randint(2, 5)
                 t, y = t + "<ul>" + "".join(f"<li>{self.prose(1, 1)}</li>" for _ in range(k)) + "</ul>", [*y, *[1] * k]
-            elif u < 0.96:
+            elif u < 0.95:
                 t, y = t + f"<blockquote>{self.prose(1, 2)}</blockquote>", [*y, 1]
+            elif u < 0.98:  # tables that were flattened to bars, and words said over and over
+                s = " | ".join(self.words(1, 1).capitalize() + r.choice(("", "", ".", ",")) for _ in range(r.randint(3, 30))) if r.random() < 0.7 else " ".join([self.word()] * r.randint(5, 200))
+                t, y = t + f"<p>{s}</p>", [*y, 1]
             else:
                 s, z = self.side()
                 t, y = t + s, [*y, *z]
