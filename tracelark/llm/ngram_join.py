@@ -11,10 +11,11 @@ Sets are sorted arrays of 64-bit shingle hashes. Two documents link when 100 * |
    tile. Sizes, then the bitmaps' bit counts bound the overlap from above; what remains is decided exactly on sorted arrays
    made from the texts. Links give components. A second such round pairs members outside a tile's largest component with
    members of it, another one by each of ``PIVOTS`` classes of keys.
-4. The last round takes the tiles that still hold several components, cut by size band. Members outside the tile's largest
-   component visit all chunks of the tile, members of that component stay in their own: pairs within one component need no
-   look, all others get one, by bitmaps first. A pair that shares one of its keys of least hash (``MINS`` hashes) is looked at
-   in the tile of that key alone. What passes is decided exactly, and components are closed.
+4. The last round takes the tiles that still hold several components. Tiles with the same largest component become one, in
+   which a node stands once however many keys it shares; large ones are cut by size band and into chunks. Members outside
+   the largest component visit all chunks of their own and the neighbouring bands, members of it stay in their own: pairs
+   within one component need no look, all others get one, by bitmaps first. What passes is decided exactly, and components
+   are closed.
 
 No tile is collected whole, no pair within a component is emitted, and every step after the postings works on tables in
 the shared folder.
@@ -40,9 +41,7 @@ from .components import connected_components
 CACHE = 400_000
 SEND_ROWS = 500_000  # so many ids (8 bytes each) may be sent to every executor
 CHUNK = 1024  # members of a tile that one chunk holds
-MINS = 6  # keys of least hash that a node carries
 PIVOTS = 16
-_MIX = np.random.default_rng(29).integers(1, 1 << 62, size=MINS, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
 _B = np.uint64(0x94D049BB133111EB)
@@ -157,7 +156,7 @@ class NgramJoin:
         return got.column("s").to_numpy()[::-1].copy().view(np.uint64)
 
     def cards(self, often: np.ndarray) -> DataFrame:
-        """(doc_id, node, n, sig, mins, keys) of every row: keys is the prefix of the set, told once a task for equal sets."""
+        """(doc_id, node, n, sig, keys) of every row: keys is the prefix of the set, told once a task for equal sets."""
         width, percent = self.width, self.percent
         order = np.argsort(often)
         shared = self.spark.sparkContext.broadcast((often[order], order))  # at most `common` entries
@@ -183,24 +182,21 @@ class NgramJoin:
                 for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     x = find.of(raw)
                     if not len(x):
-                        out.append((None, 0, None, None, None))
+                        out.append((None, 0, None, None))
                         continue
                     node, first = node_of(x), prefix(x)
-                    with np.errstate(over="ignore"):
-                        mins = [int(first[np.argmin(first * m)].view(np.int64)) for m in _MIX]
                     fresh = i is not None and node not in told
                     if fresh:
                         if len(told) > 500_000:
                             told.clear()
                         told.add(node)
-                    out.append((node, len(x), bitmap(x), mins, first.view(np.int64) if fresh else None))
-                longs = pa.list_(pa.int64())
+                    out.append((node, len(x), bitmap(x), first.view(np.int64) if fresh else None))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), longs, longs)))],
-                    names=["doc_id", "node", "n", "sig", "mins", "keys"],
+                    [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))],
+                    names=["doc_id", "node", "n", "sig", "keys"],
                 )
 
-        return self.src.mapInArrow(run, "doc_id long, node long, n long, sig binary, mins array<long>, keys array<long>")
+        return self.src.mapInArrow(run, "doc_id long, node long, n long, sig binary, keys array<long>")
 
     def bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (u, v) that sizes and bitmaps leave."""
@@ -273,33 +269,36 @@ class NgramJoin:
         """Pairs of different components that meet in a tile and that bitmaps leave."""
         percent = self.percent
         known, tiles = self.mixed(shared, labels)
-        tiles = tiles.select("key", "top", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-        rows = known.join(tiles, "key").join(nodes.select("node", "n", "sig", "mins"), "node")
+        members = self.scratch.table(known.join(tiles.select("key", "top"), "key").select("top", "node", "comp").distinct())
+        chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
         band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-        rows = rows.select("key", "node", "comp", "n", "sig", "mins", (F.col("comp") != F.col("top")).alias("visits"), "chunks", band.alias("band"))
-        cols = ["key", "band", "chunk", "node", "comp", "n", "sig", "mins"]
-        stay = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).select(*cols, F.lit(False).alias("guest"))
+        small = self.scratch.table(members.groupBy("top").agg(chunks))
+        # what stands in a tile is joined with its bitmap once; only tiles of more than one chunk are cut and visited
+        rows = members.join(small, "top").join(nodes.select("node", "n", "sig"), "node").withColumn("visits", F.col("comp") != F.col("top"))
+        cols = ["top", "band", "chunk", "node", "comp", "n", "sig", "home", "guest"]
+        one = rows.where("chunks = 1").select("top", F.lit(0).alias("band"), F.lit(0).alias("chunk"), "node", "comp", "n", "sig", F.lit(True).alias("home"), F.col("visits").alias("guest"))
+        cut = rows.where("chunks > 1").withColumn("band", band)
+        stay = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumns({"home": F.lit(True), "guest": F.lit(False)})
         visit = (
-            rows.where("visits")
+            cut.where("visits")
             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-            .select(*["key", F.col("at").alias("band"), *cols[2:]], F.lit(True).alias("guest"))
+            .withColumns({"band": F.col("at"), "home": F.lit(False), "guest": F.lit(True)})
         )
-        dealt = stay.unionByName(visit).repartition("key", "band", "chunk").sortWithinPartitions("key", "band", "chunk")
+        dealt = one.unionByName(stay.select(*cols)).unionByName(visit.select(*cols)).repartition("top", "band", "chunk").sortWithinPartitions("top", "band", "chunk")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: set[tuple[int, int]] = set()
             rest: pa.Table | None = None
 
             def meet_all(t: pa.Table) -> None:
-                key, band, chunk = (t.column(k).to_numpy() for k in range(3))
-                cut = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])) + 1
+                top, band, chunk = (t.column(k).to_numpy() for k in range(3))
+                cut = np.flatnonzero((top[1:] != top[:-1]) | (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])) + 1
                 node, comp, n = (t.column(k).to_numpy() for k in (3, 4, 5))
                 sig = t.column(6).to_pylist()
-                mins = np.array(t.column(7).to_pylist(), dtype=np.int64).reshape(len(node), MINS)
-                guest = t.column(8).to_numpy()
+                home, guest = (t.column(k).to_numpy() for k in (7, 8))
                 for a, z in zip([0, *cut], [*cut, len(node)], strict=True):
-                    _meet(int(key[a]), node[a:z], comp[a:z], n[a:z], sig[a:z], mins[a:z], guest[a:z], percent, found)
+                    _meet(node[a:z], comp[a:z], n[a:z], sig[a:z], home[a:z], guest[a:z], percent, found)
 
             for b in batches:
                 if not b.num_rows:
@@ -327,7 +326,7 @@ class NgramJoin:
         s = self.scratch
         cards = s.table(self.cards(self.often()))
         nodes = cards.where("node is not null and doc_id is not null").groupBy("node")
-        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "mins")]))
+        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig")]))
         postings = cards.where("keys is not null").select(F.explode("keys").alias("key"), "node")
         ends = s.table(postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
         shared = s.table(postings.join(ends, "key"))
@@ -347,20 +346,18 @@ class NgramJoin:
         return got.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _meet(key: int, node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], mins: np.ndarray, guest: np.ndarray, percent: int, found: set[tuple[int, int]]) -> None:
-    """Pairs of guests and members of one chunk that this tile owns and that sizes and bitmaps leave."""
-    home, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
-    if not len(home) or not len(guests):
+def _meet(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], home: np.ndarray, guest: np.ndarray, percent: int, found: set[tuple[int, int]]) -> None:
+    """Pairs of guests and members at home in one chunk that components, sizes and bitmaps leave."""
+    at_home, guests = np.flatnonzero(home), np.flatnonzero(guest)
+    if not len(at_home) or not len(guests):
         return
-    h_node, h_comp, h_n, h_mins = node[home], comp[home], n[home], mins[home]
-    sizes = np.array([len(sig[k]) for k in home])
+    h_node, h_comp, h_n, h_guest = node[at_home], comp[at_home], n[at_home], guest[at_home]
+    sizes = np.array([len(sig[k]) for k in at_home])
     by_size = {int(w): np.flatnonzero(sizes == w) for w in np.unique(sizes)}
-    bits = {w: np.frombuffer(b"".join(sig[home[k]] for k in at), np.uint8).reshape(len(at), w) for w, at in by_size.items()}
+    bits = {w: np.frombuffer(b"".join(sig[at_home[k]] for k in at), np.uint8).reshape(len(at), w) for w, at in by_size.items()}
     for g in guests:
-        agree = h_mins == mins[g]
-        any_agree = agree.any(axis=1)
-        owner = h_mins[np.arange(len(home)), agree.argmax(axis=1)]
-        ok = (h_comp != comp[g]) & (~any_agree | (owner == key)) & (100 * np.minimum(h_n, n[g]) >= percent * np.maximum(h_n, n[g]))
+        # of two guests of one chunk the smaller looks
+        ok = (h_comp != comp[g]) & (100 * np.minimum(h_n, n[g]) >= percent * np.maximum(h_n, n[g])) & (~h_guest | (h_node > node[g]))
         if not ok.any():
             continue
         own = np.frombuffer(sig[g], np.uint8)
