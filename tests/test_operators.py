@@ -169,3 +169,16 @@ def test_murmur_known_values(spark):
     rows = [([],), ([1],), ([2**32 - 1, 7, 123456789],)]
     got = spark.createDataFrame(rows, "w array<long>").select("w", murmur3_words(F.col("w")).alias("h")).collect()
     assert [r["h"] for r in got] == [plain(r["w"]) for r in got]
+
+
+def test_calls_become_events(spark):
+    from tracelark.functions.text import event_text
+    from tracelark.sources.ingest import events_from_calls
+
+    rows = [
+        (0, 1, 5, 1, "OmpFork", 4, None, None, None), (0, 1, None, 2, "OmpAcquireLock", None, 7, 1, None), (0, 1, 9, 3, "OmpTaskCreate", None, None, None, 3),
+        (0, 1, 9, 4, "Unknown", None, None, None, None), (0, 1, 10, 5, "ThreadJoin", None, None, None, None),
+    ]
+    calls = spark.createDataFrame(rows, "archive_id int, thread_id long, ts_ns long, call_no long, call string, n_threads int, lock_id long, acquisition_order long, task_id long")
+    got = events_from_calls(calls).orderBy("seq_no").select("seq_no", "ts_ns", "record", event_text(full=True).alias("text")).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 14, "OMP_FORK(nThreads=4)"), (2, 5, 16, "OMP_ACQUIRE_LOCK(lockID=7, order=1)"), (3, 9, 18, "OMP_TASK_CREATE(taskID=3)"), (4, 10, 26, "THREAD_JOIN()")]

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..model import record_name
 
 
-def event_text(record: str = "record", region: Column | None = None) -> Column:
-    """Human-readable form of an event; columns are those of the events table."""
+def event_text(record: str = "record", region: Column | None = None, full: bool = False) -> Column:
+    """Human-readable form of an event; columns are those of the events table (with `full`, all of them)."""
     r, f = F.col(record), F.format_string
     name = region if region is not None else F.col("name")
     to, back = "dest=%d, comm=%d, tag=%d, len=%d", "src=%d, comm=%d, tag=%d, len=%d"
     p2p = ("peer", "communicator", "tag", "msg_length")
-    return (
+    text = (
         F.when(r == 2, F.concat(F.lit("Enter ("), name, F.lit(")")))
         .when(r == 3, F.concat(F.lit("Leave ("), name, F.lit(")")))
         .when(r == 4, f(f"MPI_SEND({to})", *p2p))
@@ -24,8 +24,16 @@ def event_text(record: str = "record", region: Column | None = None) -> Column:
         .when(r == 8, f(f"MPI_RECV({back})", *p2p))
         .when(r == 9, f(f"MPI_IRECV({back}, req=%d)", *p2p, "request_id"))
         .when(r == 58, name)
-        .otherwise(F.concat(record_name(r), F.lit("()")))
     )
+    if full:
+        kind = record_name(r)
+        text = (
+            text.when(r.isin(14, 25), F.concat(kind, f("(nThreads=%d)", "n_threads")))
+            .when(r.isin(16, 17, 29, 30), F.concat(kind, f("(lockID=%d, order=%d)", "lock_id", "acquisition_order")))
+            .when(r.isin(18, 19, 20), F.concat(kind, f("(taskID=%d)", "task_id")))
+            .when(r == 13, F.concat(kind, f("(op=%d, comm=%d, root=%d, sent=%d, recv=%d)", "coll_op", "communicator", "coll_root", "size_sent", "size_received")))
+        )
+    return text.otherwise(F.concat(record_name(r), F.lit("()")))
 
 
 def token_text(kind: Column, number: Column, record: Column | None = None) -> Column:

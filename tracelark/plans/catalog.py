@@ -13,7 +13,8 @@ from ..model import is_comm, is_recv, is_send, record_name
 from ..operators import comm, grammar, order, spans, traverse
 from ..scratch import Scratch
 from ..sources import fixtures as fx
-from ..sources.store import Trace, bulk_rows, check_unique
+from ..sources.ingest import dictionary_of, events_from_calls
+from ..sources.store import Trace, bulk_rows, check_unique, read_config
 from .oracle import DAY_NS, EDGES, HI, LO, SLICES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -342,6 +343,37 @@ _add(
 )
 
 
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as recorder calls, among them some that record nothing."""
+    e = fx.trace_events(spark, sf_dir)
+    call = F.when(F.col("record") == 4, "MpiSend").when(F.col("record") == 5, "MpiIsend").when(F.col("record") == 8, "MpiRecv").when(F.col("record") == 9, "MpiIrecv").when(F.col("k") < 50, "Generic").otherwise("Metric")
+    return e.withColumn("call", call).drop("record").withColumnRenamed("event_id", "call_no")
+
+
+_add(
+    _calls,
+    sink_call_adapter=lambda c: events_from_calls(c).select("archive_id", "thread_id", "seq_no", "ts_ns", "record", "peer", "msg_length"),
+    sink_call_print=lambda c: events_from_calls(c).select("thread_id", "seq_no", tx.event_text(full=True).alias("text")),
+)
+
+
+@_query
+def sink_definition_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition calls by the dictionary that they fill."""
+    groups, places = fx.locations(spark, sf_dir)
+    calls = fx.definitions(spark, sf_dir).select(F.lit("WriteString").alias("call"), F.col("ref").alias("id"))
+    for call, t in (("WriteLocationGroup", groups), ("WriteLocation", places)):
+        calls = calls.unionByName(t.select(F.lit(call).alias("call"), "id"))
+    return calls.groupBy(dictionary_of(F.col("call")).alias("dictionary")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("refs"))
+
+
+@_query
+def src_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters as read from a file over the defaults."""
+    fx.ship_package(spark)
+    return spark.createDataFrame(sorted(read_config("compression = zstd\nmaxLoopLength = 50 # bounded\n").items()), "key string, value string")
+
+
 @_query
 def stream_comm_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live traffic windows over a stored trace, run to its end."""

@@ -189,6 +189,10 @@ ORACLE: dict[str, str] = {
     "gram_loop_squash": q(K, "SELECT thread_id, token, n AS nb_iterations, count(*) AS nb_occurrences FROM (SELECT thread_id, token, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY pos) - row_number() OVER (PARTITION BY thread_id, token ORDER BY pos) AS island FROM tok) GROUP BY thread_id, token, island HAVING count(*) >= 2) GROUP BY 1, 2, 3"),
     "gram_find_loop": q(K, "SELECT thread_id, pos FROM (SELECT thread_id, pos, token, lead(token) OVER w AS b, lead(token, 2) OVER w AS c, lead(token, 3) OVER w AS d FROM tok WINDOW w AS (PARTITION BY thread_id ORDER BY pos)) WHERE token = c AND b = d"),
     "gram_find_sequence": q(K, "SELECT gram, count(*) AS n FROM (SELECT [token, lead(token) OVER w, lead(token, 2) OVER w] AS gram, lead(token, 2) OVER w AS last FROM tok WINDOW w AS (PARTITION BY thread_id ORDER BY pos)) WHERE last IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"),
+    "sink_call_adapter": q(T, "SELECT archive_id, thread_id, row_number() OVER (PARTITION BY archive_id, thread_id ORDER BY ts_ns, event_id) AS seq_no, ts_ns, record, peer, msg_length FROM t WHERE record <> 58 OR k < 50"),
+    "sink_call_print": q(T, f"SELECT thread_id, row_number() OVER (PARTITION BY archive_id, thread_id ORDER BY ts_ns, event_id) AS seq_no, {EVENT_TEXT} AS text FROM t WHERE record <> 58 OR k < 50"),
+    "sink_definition_loader": q(f"{DEFS}, {LOCS}", "SELECT 'strings' AS dictionary, count(*) AS n, count(DISTINCT ref) AS refs FROM defs UNION ALL SELECT 'location_groups', count(*), count(DISTINCT id) FROM g UNION ALL SELECT 'locations', count(*), count(DISTINCT id) FROM l"),
+    "src_config": "SELECT * FROM (VALUES ('compression', 'zstd'), ('encoding', 'none'), ('loopFinding', 'truncated'), ('maxLoopLength', '50'), ('timestampStorage', 'delta'), ('zstdCompressionLevel', '3')) v(key, value)",
     "set_bag_arithmetic": q(K, "SELECT token, CAST(sum(CASE WHEN thread_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS n FROM tok GROUP BY 1 HAVING sum(CASE WHEN thread_id % 2 = 0 THEN 1 ELSE -1 END) <> 0"),
 }
 for _same, _as in {"proj_loop_props": "gram_loop_squash", "agg_loop_info": "gram_loop_squash", "sink_text_dump": "sink_print_events"}.items():
