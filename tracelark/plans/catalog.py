@@ -136,7 +136,7 @@ def src_chunk_load(e: DataFrame) -> DataFrame:
     """Summaries of 1000 values of each name; indices come from positions in one order, so no name is one task's."""
     idx = order.with_position(e.select("name", "ts_ns", "event_id"), ["name", "ts_ns", "event_id"], "at")
     first = idx.groupBy("name").agg(F.min("at").alias("zero"))
-    c = idx.join(F.broadcast(first), "name").withColumn("chunk", F.expr("cast((at - zero) div 1000 as bigint)"))  # a row a name of the vocabulary of records
+    c = idx.join(first, "name").withColumn("chunk", F.expr("cast((at - zero) div 1000 as bigint)"))
     return c.groupBy("name", "chunk").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("n"))
 
 
