@@ -248,28 +248,24 @@ class NgramJoin:
         return both.mapInArrow(run, "u long, v long")
 
     def mixed(self, shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(key, node, comp), and (key, top, size) of the tiles that hold several components and more than three members.
-
-        In a tile of up to three members round one has seen every pair.
-        """
+        """(key, node, comp) of the tiles that hold several components, and (key, top) with each tile's largest one."""
         known = self.scratch.table(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp")))
-        parts = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        tiles = parts.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", "comp")).alias("top"))
-        return known, self.scratch.table(tiles.where("comps > 1 and size > 3").select("key", "top", "size"))
+        several = self.scratch.table(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+        rows = self.scratch.table(known.join(several, "key").distinct())
+        parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        return rows, self.scratch.table(parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top")))
 
-    def towards_top(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    def towards_top(self, rows: DataFrame, tiles: DataFrame) -> DataFrame:
         """Pairs of each member outside a tile's largest component with one of that component, which varies with the key."""
-        known, tiles = self.mixed(shared, labels)
-        rows = known.join(tiles.select("key", "top"), "key")
+        rows = rows.join(tiles, "key")
         by = F.xxhash64("node", F.pmod("key", F.lit(PIVOTS)))
         ends = self.scratch.table(rows.where("comp = top").groupBy("key").agg(F.min_by("node", by).alias("end")))
         return rows.where("comp <> top").join(ends, "key").select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()
 
-    def crossing(self, shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    def crossing(self, rows: DataFrame, tiles: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of different components that meet in a tile and that bitmaps leave."""
         percent = self.percent
-        known, tiles = self.mixed(shared, labels)
-        members = self.scratch.table(known.join(tiles.select("key", "top"), "key").select("top", "node", "comp").distinct())
+        members = self.scratch.table(rows.join(tiles, "key").select("top", "node", "comp").distinct())
         chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
         band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
         small = self.scratch.table(members.groupBy("top").agg(chunks))
@@ -328,16 +324,16 @@ class NgramJoin:
         nodes = cards.where("node is not null and doc_id is not null").groupBy("node")
         nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig")]))
         postings = cards.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-        ends = s.table(postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
-        shared = s.table(postings.join(ends, "key"))
+        ends = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
+        shared = s.table(postings.join(s.table(ends.where("low <> high")), "key"))
         star = F.explode(F.array("low", "high")).alias("end")
         pairs = shared.select("node", star).where("node <> end").select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()
-        shared = shared.select("key", "node").distinct()
         links = s.table(self.exact(s.table(self.bounded(s.table(pairs), nodes)), nodes))
-        labels = s.table(connected_components(links, s))
-        links = s.table(links.unionByName(self.exact(s.table(self.bounded(s.table(self.towards_top(shared, labels)), nodes)), nodes)))
-        labels = s.table(connected_components(links, s))
-        more = self.exact(s.table(self.crossing(shared, labels, nodes)), nodes)
+        # in a tile of up to three members round one has seen every pair; tiles of one component stay so
+        rows, tiles = self.mixed(shared.where("size > 3").select("key", "node"), s.table(connected_components(links, s)))
+        links = s.table(links.unionByName(self.exact(s.table(self.bounded(s.table(self.towards_top(rows, tiles)), nodes)), nodes)))
+        rows, tiles = self.mixed(rows.select("key", "node"), s.table(connected_components(links, s)))
+        more = self.exact(s.table(self.crossing(rows, tiles, nodes)), nodes)
         labels = s.table(connected_components(links.unionByName(more), s))
         least = s.table(labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id")))
         linked = s.table(labels.join(least, "label").select("node", "component_id"))
