@@ -187,7 +187,12 @@ def nodes_of(vectors: DataFrame, keep_ids: int, shards: int) -> DataFrame:
     )
 
 
-def build_index(nodes: DataFrame, degree: int, beam: int, alpha: float) -> DataFrame:
+def _spread(df: DataFrame, shards: int) -> DataFrame:
+    """Rows by shard over so many parts that few shards share one; adaptive execution doesn't merge these, as shards take long for their bytes."""
+    return df.repartition(4 * shards, "shard", "dim")
+
+
+def build_index(nodes: DataFrame, shards: int, degree: int, beam: int, alpha: float) -> DataFrame:
     """The nodes of every shard with their out-edges."""
 
     def build(t: pa.Table) -> pa.Table:
@@ -195,7 +200,7 @@ def build_index(nodes: DataFrame, degree: int, beam: int, alpha: float) -> DataF
         g = Graph(same_norm(x), degree).build(beam, alpha)
         return t.append_column("node", pa.array(np.arange(len(x), dtype=np.int32))).append_column("out", pa.array([o[o >= 0].tolist() for o in g.out], pa.list_(pa.int32())))
 
-    return nodes.groupBy("shard", "dim").applyInArrow(build, INDEX)
+    return _spread(nodes, shards).groupBy("shard", "dim").applyInArrow(build, INDEX)
 
 
 def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, degree: int, beam: int) -> DataFrame:
@@ -229,7 +234,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, degr
                     score_out += [-v for v, _ in hits]
         return pa.table({"query_id": pa.array(ids_out, pa.int64()), "vec_id": pa.array(vec_out, pa.int64()), "score": pa.array(score_out, pa.float64())})
 
-    return index.groupBy("shard", "dim").cogroup(asked.groupBy("shard", "dim")).applyInArrow(search, FOUND)
+    return _spread(index, shards).groupBy("shard", "dim").cogroup(_spread(asked, shards).groupBy("shard", "dim")).applyInArrow(search, FOUND)
 
 
 def nearest_neighbours(
@@ -249,7 +254,7 @@ def nearest_neighbours(
     """query_id, rank, vec_id, score: the k nearest found of each query (rows whose id is divisible by `every`, unless given)."""
     vectors = valid_vectors(df, id_col, vector_col)
     shards = max(least_shards, -(-df.count() // shard_rows))
-    index = build_index(nodes_of(vectors, k + 1, shards), degree, build_beam, alpha)
+    index = build_index(nodes_of(vectors, k + 1, shards), shards, degree, build_beam, alpha)
     asked = valid_vectors(queries, id_col, vector_col) if queries is not None else vectors.where(F.col("vec_id") % every == 0)
     found = search_index(index, asked, shards, k, degree, beam)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
