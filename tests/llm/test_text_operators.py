@@ -271,6 +271,48 @@ def test_exchange_finds_planted_classes():
     assert all(len({int(got[k]) for k in range(25) if kind[k] == c}) == 1 for c in range(4))
 
 
+@pytest.mark.parametrize("min_count", [5, 10**9])  # by exchange, and by the pass over words outside the core
+def test_class_lm_classes_come_from_neighbours_not_from_endings(spark, min_count):
+    """Words with one ending in two kinds of context; all but eight are less frequent than the head."""
+    from tracelark.llm.class_lm import fit
+    from tracelark.llm.common import Scratch, hash_words, texts
+
+    r = random.Random(4)
+    kinds = [[f"{k}{i}xyz" for i in range(40)] for k in "pq"]
+    rows = []
+    for i in range(600):
+        k = r.randrange(2)
+        rows.append((i, " ".join(f"{'ab'[k]} {r.choice(kinds[k])} {'cd'[k]}" for _ in range(12))))
+    model, words = fit(texts(spark.createDataFrame(rows, "doc_id long, text string")), Scratch(spark), 10, 12, min_count, 8, 0.1, 0.9)
+    got = {x["h"]: (x["n"], x["cls"]) for x in words.collect()}
+    seen = [np.bincount([got[h][1] for h in hash_words([w.encode() for w in kind]).view(np.int64).tolist()], minlength=8) for kind in kinds]
+    assert len(got) == 85 and sum(n for n, _ in got.values()) == model.tokens == model.class_total.sum()
+    assert seen[0].argmax() != seen[1].argmax() and min(x.max() for x in seen) >= 36  # a local search may leave a word aside
+
+
+def test_class_lm_transitions_are_of_all_bigrams(spark):
+    """Each bigram of training tokens is in the class table once, inside the core and outside."""
+    from collections import Counter
+
+    from tracelark.llm.class_lm import fit
+    from tracelark.llm.common import Scratch, hash_words, py_fold, texts
+
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(vocab[int(200 * r.random() ** 3)] for _ in range(r.randrange(60)))) for i in range(100)]
+    model, words = fit(texts(spark.createDataFrame(rows, "doc_id long, text string")), Scratch(spark), 10, 5, 20, 8, 0.1, 0.9)
+    cls = {x["h"]: x["cls"] for x in words.collect()}
+    want = np.zeros((8, 8))
+    for i, t in rows:
+        if py_fold(i, 10):
+            k = [cls[h] for h in hash_words([b"", *t.encode().split(), b""]).view(np.int64).tolist()]
+            for pair, n in Counter(zip(k, k[1:])).items():
+                want[pair] += n
+    uni = (want.sum(axis=0) + 0.5) / (want.sum() + 4)
+    assert np.allclose(model.class_total, want.sum(axis=0))
+    assert np.allclose(model.transition, (want + 5 * uni) / (want.sum(axis=1, keepdims=True) + 5))
+
+
 # --- licence scan
 
 

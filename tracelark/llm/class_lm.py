@@ -4,16 +4,19 @@ Tokens are words of the text with A-Z in lower case, then one end token. The mod
 ``folds`` (crc32 of the id as text).
 
 1. All training tokens are counted on the executors and summed by a 64-bit hash of the word; nothing is left out.
-2. Units: the ``head`` most frequent words, each by itself, and the other words by their last three bytes (the ``tails``
-   most frequent endings by themselves, the rest in ``rest`` buckets). Bigrams of units are counted over all training
-   tokens; their number is bounded by the units, so the driver gets at most units squared counts.
-3. Exchange clustering moves units between ``classes`` classes while the bigram likelihood grows; words follow their unit.
-4. P(w | previous) = 0.9 P(class | class before) P(unit | class) P(w | unit) + 0.1 P(w): transitions are smoothed towards the class unigram,
-   emissions by adding ``add`` to each known word and to one unknown word a unit; P(w) is the base model.
+2. Core words are those seen ``min_count`` times or more and the ``head`` most frequent ones: their number grows with the
+   corpus. Word bigrams of the core are counted over all training tokens; the rest stand in them as one open class.
+3. Exchange clustering. The head is clustered on the driver; the other core words join the class that gains most, and then
+   move, some of them a round, while the class-bigram likelihood grows. A round is one pass over the words' neighbour lists.
+4. Every other training word goes to the class that gains most by the classes of its own neighbours (one distributed pass).
+   No word gets its class from its spelling.
+5. P(w | previous) = 0.9 P(class | class before) P(w | class) + 0.1 P(w): transitions are counted over all training tokens
+   and smoothed towards the class unigram, emissions by adding ``add`` to each known word and to one unknown word a class;
+   a word never seen stands in the class with the most words seen once. P(w) is the base model.
 
 Counts of words stay distributed. Texts shuffle once, into groups of about ``group_bytes`` bytes; each group asks for the
-counts of its distinct words by one join on the hash, and is scored beside them. Neither the vocabulary nor any text
-meets in one place.
+counts and classes of its distinct words by one join on the hash, and is scored beside them. Of the vocabulary only the core
+meets in one place, as a hash and a class a word; bigrams and texts never do.
 
 Defined cases: null and empty texts are one end token; a null id counts as fold 0, so it is scored and not learned from;
 repeated rows are learned and scored each time; without training rows all counts are 0 and the base
@@ -39,26 +42,15 @@ OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double
 
 @dataclass
 class ClassModel:
-    head: np.ndarray  # sorted hashes of the words that are units
-    tails: np.ndarray  # sorted endings that are units
-    rest: int
-    unit_class: np.ndarray
-    unit_share: np.ndarray  # P(unit | class)
-    unit_total: np.ndarray  # tokens of the unit
-    unit_types: np.ndarray  # distinct words of the unit
+    unknown: int  # class of words never seen
+    class_total: np.ndarray  # tokens of the class
+    class_types: np.ndarray  # distinct words of the class
     transition: np.ndarray  # P(class | class before)
     tokens: int
     types: int
     add: float
     mix: float
 
-    def units(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        return units_of(hashes, endings(words), self.head, self.tails, self.rest)
-
-
-def endings(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((int.from_bytes(w[-3:], "big") for w in words), dtype=np.int64, count=len(words))
-
 
 def _find(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(sorted_keys):
@@ -67,15 +59,6 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, sorted_keys[at] == x
 
 
-def units_of(hashes: np.ndarray, ends: np.ndarray, head: np.ndarray, tails: np.ndarray, rest: int) -> np.ndarray:
-    """Unit numbers: 0 is the end token, then the head words, the endings and the buckets of the rest."""
-    signed = hashes.view(np.int64)
-    at, known = _find(head, signed)
-    tail, known_tail = _find(tails, ends)
-    u = np.where(known, 1 + at, np.where(known_tail, 1 + len(head) + tail, 1 + len(head) + len(tails) + ends % rest))
-    return np.where(signed == _END_HASH, 0, u)
-
-
 _END_HASH = int(hash_words([END]).view(np.int64)[0])
 
 
@@ -84,7 +67,7 @@ def _tokens(raw: bytes) -> list[bytes]:
 
 
 def word_counts(src: DataFrame, folds: int) -> DataFrame:
-    """(h, ending, n): training tokens by word hash, the end token among them."""
+    """(h, n): training tokens by word hash, the end token among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -93,7 +76,7 @@ def word_counts(src: DataFrame, folds: int) -> DataFrame:
             words = list(counts)
             h = hash_words(words).view(np.int64)
             n = np.fromiter(counts.values(), dtype=np.int64, count=len(words))
-            out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(endings(words)), pa.array(n)], names=["h", "ending", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
             counts.clear()
             return out
 
@@ -106,44 +89,139 @@ def word_counts(src: DataFrame, folds: int) -> DataFrame:
                         yield flush()
         yield flush()
 
-    return src.mapInArrow(run, "h long, ending long, n long").groupBy("h").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
+    return src.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def unit_bigrams(src: DataFrame, folds: int, head: np.ndarray, tails: np.ndarray, rest: int) -> np.ndarray:
-    """counts[u, v] of unit v after unit u over all training tokens; texts begin after an end token."""
-    size = 1 + len(head) + len(tails) + rest
-    shared = src.sparkSession.sparkContext.broadcast((head, tails))  # bounded by the parameters
+def _sequences(batches: Iterator[pa.RecordBatch], folds: int, core: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, units) of each training text between end tokens. Unit 0 is the end, then the core words; len(core) + 1 is any other word."""
+    known: dict[bytes, int] = {}
+    for b in batches:
+        for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if not py_fold(i, folds):
+                continue
+            toks = _tokens(raw)
+            new = list({w for w in toks if w not in known})
+            if new:
+                known.update(zip(new, hash_words(new).view(np.int64).tolist(), strict=True))
+            h = np.full(len(toks) + 2, _END_HASH, dtype=np.int64)
+            h[1:-1] = np.fromiter(map(known.__getitem__, toks), dtype=np.int64, count=len(toks))
+            if len(known) > 400_000:
+                known.clear()
+            at, hit = _find(core, h)
+            u = np.where(hit, at + 1, len(core) + 1)
+            u[0] = u[-1] = 0
+            yield h, u
+
+
+def core_bigrams(src: DataFrame, folds: int, core: np.ndarray) -> DataFrame:
+    """(a, b, n): unit b after unit a over all training tokens; texts begin after an end token."""
+    size = len(core) + 2
+    shared = src.sparkSession.sparkContext.broadcast(core)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tails = shared.value
-        total = np.zeros(size * size, dtype=np.int64)
-        known: dict[bytes, int] = {}
         waiting: list[np.ndarray] = []
-        for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not py_fold(i, folds):
-                    continue
-                toks = _tokens(raw)
-                new = list({w for w in toks if w not in known})
-                if new:
-                    known.update(zip(new, units_of(hash_words(new), endings(new), head, tails, rest).tolist(), strict=True))
-                u = np.zeros(len(toks) + 2, dtype=np.int64)
-                u[1:-1] = np.fromiter(map(known.__getitem__, toks), dtype=np.int64, count=len(toks))
-                waiting.append(u[:-1] * size + u[1:])
-                if len(known) > 400_000:
-                    known.clear()
-                if len(waiting) == 256:
-                    total += np.bincount(np.concatenate(waiting), minlength=size * size)
-                    waiting.clear()
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array((cell // size).astype(np.int32)), pa.array((cell % size).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+
+        for _, u in _sequences(batches, folds, shared.value):
+            waiting.append(u[:-1] * size + u[1:])
+            held += len(u)
+            if held > 4_000_000:
+                yield flush()
+                held = 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+            yield flush()
 
-    got = src.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size * size, dtype=np.int64)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(size, size)
+    return src.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, those of one key (the sorted first column) always in the same table."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        start = int(np.searchsorted(key, key[-1]))
+        if rest and rest[-1].column(0)[-1].as_py() == key[-1]:
+            rest.append(b)
+            continue
+        yield pa.Table.from_batches([*rest, b.slice(0, start)]).combine_chunks()
+        rest = [b.slice(start)]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1]) if len(key) else np.zeros(0, np.int64)
+
+
+def neighbours(bigrams: DataFrame, size: int) -> DataFrame:
+    """(w, others, counts) of each core word: units after it, and units before it plus ``size``."""
+    core = lambda c: F.col(c).between(1, size - 2)
+    after = bigrams.where(core("a")).select(F.col("a").alias("w"), F.col("b").alias("o"), "n")
+    before = bigrams.where(core("b")).select(F.col("b").alias("w"), (F.col("a") + size).alias("o"), "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_keys(batches):
+            w, o, n = (c.to_numpy() for c in t.columns)
+            at = _starts(w)
+            ends = [*at[1:], len(w)]
+            cut = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(w[at]), cut(o, np.int32), cut(n, np.int64)], names=["w", "others", "counts"])
+
+    return after.unionByName(before).repartition("w").sortWithinPartitions("w").mapInArrow(run, "w int, others binary, counts binary")
+
+
+def _xlogx(a: np.ndarray) -> np.ndarray:
+    return a * np.log(np.maximum(a, 1.0))
+
+
+def likelihood(n: np.ndarray) -> float:
+    return float(_xlogx(n).sum() - _xlogx(n.sum(axis=0)).sum() - _xlogx(n.sum(axis=1)).sum())
+
+
+def join_gains(n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """gain[w, class] of adding each word's counts after (left) and before (right) the classes to that class of the table n."""
+    out = np.zeros(left.shape)
+    for x, table in ((left, n), (right, n.T)):
+        f0, one = _xlogx(table), _xlogx(table + 1) - _xlogx(table)
+        w, c = np.nonzero(x)
+        if not len(w):
+            continue
+        v = x[w, c]
+        add = one[c]
+        more = np.flatnonzero(v > 1)
+        add[more] = _xlogx(table[c[more]] + v[more, None]) - f0[c[more]]
+        at = _starts(w)
+        out[w[at]] += np.add.reduceat(add, at, axis=0)
+        total = table.sum(axis=0)
+        out -= _xlogx(total[None, :] + x.sum(axis=1)[:, None]) - _xlogx(total)[None, :]
+    return out
+
+
+def _closed(n: np.ndarray) -> np.ndarray:
+    """Classes that open words cannot join: the end's, the open one, and empty ones, which all would join at once."""
+    closed = n.sum(axis=0) == 0
+    closed[[0, -1]] = True
+    if closed.all():
+        closed[1] = False
+    return closed
+
+
+def move_gains(n: np.ndarray, right: np.ndarray, left: np.ndarray, own: float) -> np.ndarray:
+    """gain[class] of adding one word, whose counts n does not hold, to each class."""
+    fn = _xlogx(n)
+    gain_row = _xlogx(n + right[None, :]) - fn
+    gain_col = (_xlogx(n + left[:, None]) - fn).T
+    diag = np.diag(n)
+    gain = gain_row.sum(axis=1) - np.diag(gain_row) + gain_col.sum(axis=1) - np.diag(gain_col) + _xlogx(diag + right + left + own) - _xlogx(diag)
+    rows, cols = n.sum(axis=1), n.sum(axis=0)
+    return gain - (_xlogx(rows + right.sum() + own) - _xlogx(rows) + _xlogx(cols + left.sum() + own) - _xlogx(cols))
 
 
 def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
@@ -158,7 +236,6 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     one = np.zeros((n_units, classes))
     one[np.arange(n_units), cls] = 1
     n = one.T @ x @ one
-    f = lambda a: a * np.log(np.maximum(a, 1.0))
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -173,13 +250,7 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             n[a, :] -= right
             n[:, a] -= left
             n[a, a] -= own
-            fn = f(n)
-            gain_row = f(n + right[None, :]) - fn
-            gain_col = (f(n + left[:, None]) - fn).T
-            diag = np.diag(n)
-            gain = gain_row.sum(axis=1) - np.diag(gain_row) + gain_col.sum(axis=1) - np.diag(gain_col) + f(diag + right + left + own) - f(diag)
-            rows, cols = n.sum(axis=1), n.sum(axis=0)
-            gain -= f(rows + right.sum() + own) - f(rows) + f(cols + left.sum() + own) - f(cols)
+            gain = move_gains(n, right, left, own)
             gain[0] = -np.inf
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
@@ -194,43 +265,216 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return cls
 
 
-def fit(src: DataFrame, scratch: Scratch, folds: int, head: int, tails: int, rest: int, classes: int, add: float, mix: float) -> tuple[ClassModel, DataFrame]:
-    """The model (bounded by its parameters) and the distributed word counts (h, n)."""
+def class_table(bigrams: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
+    """n[class before, class] over all bigrams of units."""
+    shared = bigrams.sparkSession.sparkContext.broadcast(cls)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes)
+        for b in batches:
+            x, y, n = (c.to_numpy() for c in b.columns)
+            total += np.bincount(shared.value[x].astype(np.int64) * classes + shared.value[y], weights=n, minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
+
+    return _square(bigrams.select("a", "b", "n").mapInArrow(run, "cell long, n long"), classes)
+
+
+def _square(cells: DataFrame, classes: int) -> np.ndarray:
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(classes * classes)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes, classes)
+
+
+def moves(lists: DataFrame, cls: np.ndarray, n: np.ndarray, turn: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and their new classes, each judged by itself against n. Open words all join a class; of the others one in ``parts`` has its turn."""
+    classes, size = len(n), len(cls)
+    shared = lists.sparkSession.sparkContext.broadcast((cls, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, n = shared.value
+        closed = _closed(n)
+        for b in batches:
+            out = []
+            for w, o, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                a = int(cls[w])
+                if a != classes - 1 and (w * 2654435761 >> 7) % parts != turn % parts:
+                    continue
+                o, c = np.frombuffer(o, np.int32), np.frombuffer(c, np.int64)
+                own = float(c[o == w].sum())
+                after = o < size
+                right = np.bincount(cls[o[after]], weights=c[after], minlength=classes)
+                left = np.bincount(cls[o[~after] - size], weights=c[~after], minlength=classes)
+                right[a] -= own
+                left[a] -= own
+                m = n.copy()
+                m[a, :] -= right
+                m[:, a] -= left
+                m[a, a] -= own
+                gain = move_gains(m, right, left, own)
+                gain[closed if a == classes - 1 else [0, classes - 1]] = -np.inf
+                k = int(np.argmax(gain))
+                if a == classes - 1 or gain[k] > gain[a] + 1e-9:
+                    out.append((w, k))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32())], names=["w", "k"])
+
+    got = lists.mapInArrow(run, "w int, k int").toArrow()
+    return got.column("w").to_numpy(), got.column("k").to_numpy()
+
+
+def cluster_core(bigrams: DataFrame, scratch: Scratch, seeds: np.ndarray, size: int, classes: int, rounds: int = 8, parts: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of units and n[class before, class]; 0 is the end's class, the last one that of all words outside the core."""
+    cls = np.full(size, classes, dtype=np.int16)
+    cls[0] = 0
+    if not len(seeds):
+        return cls, class_table(bigrams, cls, classes + 1)
+    units = np.concatenate([[0], np.sort(seeds)])
+    few = units.tolist()
+    among = bigrams.where(F.col("a").isin(few) & F.col("b").isin(few)).toArrow()  # at most the head squared
+    x = np.zeros((len(units), len(units)))
+    x[np.searchsorted(units, among.column("a").to_numpy()), np.searchsorted(units, among.column("b").to_numpy())] = among.column("n").to_numpy()
+    cls[units] = exchange(x, classes)
+    lists = scratch.table(neighbours(bigrams, size))
+    n = class_table(bigrams, cls, classes + 1)
+    best = (-np.inf, cls, n)
+    still = 0
+    for turn in range(-1, rounds):
+        w, k = moves(lists, cls, n, turn, parts)
+        still = 0 if len(w) else still + 1
+        if still == parts:
+            break
+        cls = cls.copy()
+        cls[w] = k
+        n = class_table(bigrams, cls, classes + 1)
+        if likelihood(n) > best[0]:
+            best = (likelihood(n), cls, n)
+    return best[1], best[2]
+
+
+def other_words(src: DataFrame, scratch: Scratch, folds: int, core: np.ndarray, cls: np.ndarray, n: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(h, n, cls) of the words outside the core, and n[class before, class] of all bigrams that hold one of them."""
+    classes = len(n)
+    shared = src.sparkSession.sparkContext.broadcast((core, cls, n))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a word: the classes before and after each of its tokens, two bytes a token."""
+        core, cls, _ = shared.value
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            h, near = np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting])
+            waiting.clear()
+            order = np.argsort(h, kind="stable")
+            h, near = h[order], np.ascontiguousarray(near[order])
+            at = _starts(h)
+            ends = np.append(at, len(h)).astype(np.int32) * 2
+            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(near)])], names=["h", "near"])
+
+        for h, u in _sequences(batches, folds, core):
+            k = cls[u].astype(np.uint8)
+            at = np.flatnonzero(u == len(core) + 1)
+            if len(at):
+                waiting.append((h[at], np.stack([k[at - 1], k[at + 1]], axis=1)))
+                held += len(at)
+                if held > 2_000_000:
+                    yield flush()
+                    held = 0
+        if waiting:
+            yield flush()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = shared.value[2]
+        closed = _closed(n)
+        total = np.zeros((classes, classes), dtype=np.int64)
+        for t in _whole_keys(batches):
+            if not t.num_rows:
+                continue
+            h = t.column("h").to_numpy()
+            at = _starts(h)
+            near = t.column("near").to_pylist()
+            word = np.repeat(np.cumsum(np.isin(np.arange(len(h)), at)) - 1, [len(x) // 2 for x in near])
+            near = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2).astype(np.int64)
+            left, right = (np.bincount(word * classes + near[:, j], minlength=len(at) * classes).reshape(-1, classes) for j in (0, 1))
+            gain = join_gains(n, left, right)
+            gain[:, closed] = -np.inf
+            k = np.argmax(gain, axis=1)
+            np.add.at(total.T, k, left)
+            np.add.at(total, k, right)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(left.sum(axis=1)), pa.array(k.astype(np.int32)), pa.nulls(len(at), pa.int64())], names=["h", "n", "cls", "cell"])
+        total[-1, :] = total[:, -1] = 0  # neighbours outside the core are counted below
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(total.ravel()[at]), pa.nulls(len(at), pa.int32()), pa.array(at)], names=["h", "n", "cls", "cell"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of words that are both outside the core."""
+        core = shared.value[0]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in waiting])) for j in (0, 1)], names=["h", "then"])
+            waiting.clear()
+            return out
+
+        for h, u in _sequences(batches, folds, core):
+            out = u == len(core) + 1
+            at = np.flatnonzero(out[:-1] & out[1:])
+            if len(at):
+                waiting.append((h[at], h[at + 1]))
+                held += len(at)
+                if held > 500_000:
+                    yield flush()
+                    held = 0
+        if waiting:
+            yield flush()
+
+    near = src.mapInArrow(contexts, "h long, near binary").repartition("h").sortWithinPartitions("h")
+    got = scratch.table(near.mapInArrow(assign, "h long, n long, cls int, cell long"))
+    words = got.where("h is not null").select("h", "n", "cls")
+    first = src.mapInArrow(pairs, "h long, then long").join(words.select("h", F.col("cls").alias("a")), "h").select("a", F.col("then").alias("h"))
+    both = first.groupBy("a", "h").agg(F.count("*").alias("n")).join(words.select("h", F.col("cls").alias("b")), "h")
+    cells = both.select((F.col("a") * classes + F.col("b")).cast("long").alias("cell"), "n")
+    return words, _square(got.where("cell is not null").select("cell", "n").unionByName(cells), classes)
+
+
+def fit(src: DataFrame, scratch: Scratch, folds: int, head: int, min_count: int, classes: int, add: float, mix: float) -> tuple[ClassModel, DataFrame]:
+    """The model (bounded by the number of classes) and (h, n, cls) of every training word, distributed."""
     counts = scratch.table(word_counts(src, folds))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.col("h") != _END_HASH).orderBy(F.desc("n"), "h").limit(head).select("h").collect()
-    ends = counts.where(F.col("h") != _END_HASH).groupBy("ending").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "ending").limit(tails).select("ending").collect()
-    head_keys = np.array(sorted(r["h"] for r in top), dtype=np.int64)
-    tail_keys = np.array(sorted(r["ending"] for r in ends), dtype=np.int64)
-    is_head = F.col("h").isin(head_keys.tolist()) if len(head_keys) else F.lit(False)
-    tail_types = {r["ending"]: r["v"] for r in counts.where(~is_head & F.col("ending").isin(tail_keys.tolist())).groupBy("ending").agg(F.count("*").alias("v")).collect()} if len(tail_keys) else {}
-    rest_types = {r["k"]: r["v"] for r in counts.where(~is_head & ~F.col("ending").isin(tail_keys.tolist())).groupBy((F.col("ending") % rest).alias("k")).agg(F.count("*").alias("v")).collect()} if len(tail_keys) else {}
-    bigrams = unit_bigrams(src, folds, head_keys, tail_keys, rest)
-    size = len(bigrams)
-    cls = exchange(bigrams, classes)
-    total = bigrams.sum(axis=0).astype(float)
-    types = np.ones(size)
-    types[1 + len(head_keys) : 1 + len(head_keys) + len(tail_keys)] = [tail_types.get(int(e), 0) for e in tail_keys]
-    types[1 + len(head_keys) + len(tail_keys) :] = [rest_types.get(k, 0) for k in range(rest)]
-    n_cls = int(cls.max()) + 1
-    one = np.zeros((size, n_cls))
-    one[np.arange(size), cls] = 1
-    pair = one.T @ bigrams.astype(float) @ one
-    uni = (pair.sum(axis=0) + 0.5) / (pair.sum() + 0.5 * n_cls)
+    end = counts.where(F.col("h") == _END_HASH).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    words = counts.where(F.col("h") != _END_HASH)
+    top = words.orderBy(F.desc("n"), "h").limit(head).toArrow()
+    most = words.where(F.col("n") >= min_count).toArrow()
+    known = dict(zip([*top.column("h").to_pylist(), *most.column("h").to_pylist()], [*top.column("n").to_pylist(), *most.column("n").to_pylist()], strict=True))
+    core = np.array(sorted(known), dtype=np.int64)
+    bigrams = scratch.table(core_bigrams(src, folds, core))
+    seeds = np.searchsorted(core, np.sort(top.column("h").to_numpy())) + 1
+    cls, n = cluster_core(bigrams, scratch, seeds, len(core) + 2, classes)
+    others, pair = other_words(src, scratch, folds, core, cls, n)
+    n[-1, :] = n[:, -1] = 0
+    pair = (pair + n)[:classes, :classes]
+    table = pa.table({
+        "h": np.append(core, _END_HASH),
+        "n": np.array([*(known[h] for h in core.tolist()), end], dtype=np.int64),
+        "cls": np.append(cls[1:-1], 0).astype(np.int32),
+    })
+    words = others.unionByName(src.sparkSession.createDataFrame(table).where("n > 0"))
+    by_class = {r["cls"]: r for r in words.groupBy("cls").agg(F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).collect()}
+    types, once = (np.array([by_class[k][c] if k in by_class else 0 for k in range(classes)], dtype=float) for c in ("v", "once"))
+    uni = (pair.sum(axis=0) + 0.5) / (pair.sum() + 0.5 * classes)
     alpha = 5.0
     transition = (pair + alpha * uni) / (pair.sum(axis=1, keepdims=True) + alpha)
-    in_class = np.bincount(cls, minlength=n_cls)
-    unit_p = (total + add) / (np.bincount(cls, weights=total, minlength=n_cls) + add * in_class)[cls]
-    model = ClassModel(head_keys, tail_keys, rest, cls, unit_p, total, types, transition, int(whole["n"]), int(whole["v"]), add, mix)
-    return model, counts.select("h", "n")
+    model = ClassModel(1 + int(np.argmax(once[1:])), pair.sum(axis=0), types, transition, int(whole["n"]), int(whole["v"]), add, mix)
+    return model, words
 
 
 def score_documents(
     docs: DataFrame,
     folds: int = 10,
     head: int = 300,
-    tails: int = 400,
-    rest: int = 16,
+    min_count: int = 50,
     classes: int = 48,
     add: float = 0.1,
     mix: float = 0.9,
@@ -242,7 +486,7 @@ def score_documents(
     spark = docs.sparkSession
     src = texts(docs, id_col, text_col)
     scratch = Scratch(spark)
-    model, counts = fit(src, scratch, folds, head, tails, rest, classes, add, mix)
+    model, counts = fit(src, scratch, folds, head, min_count, classes, add, mix)
     size = src.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n")).first()["n"]
     groups = max(8, -(-size // group_bytes))
     parted = src.withColumn("part", F.pmod(F.xxhash64("doc_id", "raw"), F.lit(groups)).cast("int")).repartition(int(groups), "part")
@@ -257,14 +501,14 @@ def score_documents(
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), part, dtype=np.int32)), pa.array(h)], names=["part", "h"])
 
     asked = parted.mapInArrow(asks, "part int, h long")
-    answers = asked.join(counts.hint("shuffle_hash"), "h").select("part", "h", "n")
-    shared = spark.sparkContext.broadcast(model)  # bounded by the units
+    answers = asked.join(counts.hint("shuffle_hash"), "h").select("part", "h", "n", "cls")
+    shared = spark.sparkContext.broadcast(model)  # bounded by the number of classes
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         m = shared.value
         known_h = right.column("h").to_numpy()
         order = np.argsort(known_h)
-        known_h, known_n = known_h[order], right.column("n").to_numpy()[order]
+        known_h, known_n, known_c = known_h[order], right.column("n").to_numpy()[order], right.column("cls").to_numpy()[order]
         raws = left.column("raw").to_pylist()
         vocab = {END}
         for raw in raws:
@@ -275,10 +519,10 @@ def score_documents(
         at, hit = _find(known_h, h.view(np.int64))
         c = np.where(hit, known_n[at], 0) if len(known_n) else np.zeros(len(words))
         base = (c + 0.1) / (m.tokens + 0.1 * (m.types + 1))
-        unit = m.units(words, h)
-        single = unit <= len(m.head)
-        emit = np.where(single, 1.0, (c + m.add) / (m.unit_total[unit] + m.add * (m.unit_types[unit] + 1))) * m.unit_share[unit]
-        cls = m.unit_class[unit]
+        cls = np.where(hit, known_c[at], m.unknown) if len(known_c) else np.full(len(words), m.unknown)
+        cls[index[END]] = 0
+        emit = (c + m.add) / (m.class_total[cls] + m.add * (m.class_types[cls] + 1))
+        emit[index[END]] = 1.0  # the end has its class for itself
         log_base = np.log10(base)
         end = index[END]
         out = []
