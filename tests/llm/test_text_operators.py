@@ -421,6 +421,18 @@ def test_html_blocks_and_labels():
     assert bad / n < 0.05
 
 
+def test_html_reads_every_word_and_every_container():
+    from tracelark.llm.html_extract import Block, blocks_of, features
+
+    words = [f"word{k}" for k in range(1800)]
+    plain = features([Block(" ".join(words), (("p", ""),), 0)])[0]
+    for at in (0, 30, 900, 1799):
+        other = features([Block(" ".join([*words[:at], "otherx", *words[at + 1 :]]), (("p", ""),), 0)])[0]
+        assert not np.array_equal(plain[:-10], other[:-10])
+    deep = lambda tag: features(blocks_of(f"<{tag}>" + "<div>" * 12 + "<p>text of a block</p>"))[0]
+    assert not np.array_equal(deep("aside"), deep("div"))
+
+
 def test_html_query_against_the_markup(spark):
     """The network's choice against the article element of the stored pages."""
     from tracelark.llm.html_extract import blocks_of

@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A lenient tokenizer turns HTML into leaf blocks: runs of text between block-level tags, each with the path of open tags
-(with their classes and ids). Every block becomes a vector of hashed path parts, hashed words and a few measures (length,
+(with their classes and ids). Every block becomes a vector of all its hashed path parts, all its hashed words (damped by their number) and a few measures (length,
 share of linked text, place on the page, punctuation). A bidirectional LSTM in numpy reads the whole page's sequence and
 gives each block the probability that it belongs to the article; blocks of at least 0.5 are joined in page order.
 
@@ -160,7 +160,7 @@ def _slot(kind: str, key: str, size: int) -> int:
 @functools.lru_cache(1 << 14)
 def _path_slots(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
     keys = set()
-    for depth, (tag, names) in enumerate(reversed(path[-8:])):
+    for depth, (tag, names) in enumerate(reversed(path)):
         keys.add("t " + tag)
         if depth < 2:
             keys.add(f"{depth} {tag}")
@@ -176,8 +176,9 @@ def features(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         x[i, list(_path_slots(b.path))] = 1
         words = b.text.lower().split()
-        for w in words[:40] if len(words) <= 40 else words[:20] + words[-20:]:  # of long blocks the measures below tell more than their words
-            x[i, PATHS + _slot("w", w.strip(".,:;!?()|·©"), WORDS)] += 0.25
+        slots = np.bincount([_slot("w", w.strip(".,:;!?()|·©"), WORDS) for w in words], minlength=WORDS)
+        v = slots / max(4.0, len(words) / 10)  # of long blocks each word weighs less, but none weighs nothing
+        x[i, PATHS : PATHS + WORDS] = np.minimum(v, 1 + np.log(np.maximum(v, 1)))
         size = len(b.text)
         m = x[i, PATHS + WORDS :]
         m[0] = math.log1p(size) / 5
@@ -190,7 +191,6 @@ def features(blocks: list[Block]) -> np.ndarray:
         m[7] = float(bool(b.path) and b.path[-1][0] in ("h1", "h2", "h3"))
         m[8] = float(bool(b.path) and b.path[-1][0] in ("p", "blockquote", "pre"))
         m[9] = float(bool(b.path) and b.path[-1][0] in ("li", "td", "dt"))
-    np.minimum(x[:, PATHS : PATHS + WORDS], 1.0, out=x[:, PATHS : PATHS + WORDS])
     return x
 
 
