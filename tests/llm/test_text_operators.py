@@ -148,6 +148,28 @@ def test_join_same_as_brute_force(spark, words):
     assert len({c for _, c in want.values()}) < len(rows) - 40
 
 
+@pytest.mark.parametrize("chunk", [512, 7])  # components in one chunk, and cut by bands and into chunks
+def test_join_counts_every_link(spark, words, monkeypatch, chunk):
+    """Groups of more than three different texts, with copies, some of whose members link only through others."""
+    from tracelark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "LINK_NODES", chunk)
+    r = random.Random(8)
+    rows = []
+    for size, many in ((40, 12), (150, 40), (300, 5)):
+        base = [r.choice(words) for _ in range(size)]
+        for _ in range(many):
+            t = list(base) + [r.choice(words) for _ in range(r.randrange(1 + size // 8))]
+            t[r.randrange(len(t))] = r.choice(words)
+            rows += [(len(rows) + k, " ".join(t)) for k in range(r.choice((1, 1, 3)))]
+    rows += [(900, "alone here"), (901, None), (902, "")]
+    find = ngram_join.Shingler(5)
+    sets = {i: find.of((t or "").encode()) for i, t in rows}
+    want = {i: sum(j != i and len(x) > 0 and len(y) > 0 and ngram_join._links(x, y, 80) for j, y in sets.items()) for i, x in sets.items()}
+    got = {g["doc_id"]: g["n_links"] for g in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 10
+
+
 def test_join_odd(spark, odd, clashing, odd_rows, none):
     from tracelark.llm.ngram_join import join_ngrams, one_of_each_group
 

@@ -17,6 +17,9 @@ Sets are sorted arrays of 64-bit shingle hashes. Two documents link when 100 * |
    within one component need no look, all others get one, by bitmaps first. What passes is decided exactly, and components
    are closed.
 
+5. Links are counted, for the query only: each component is cut by size band and into chunks, each pair of chunks of the same or
+   neighbouring bands meets once, and one matrix product gives all overlaps exactly. Only counts a node leave this step.
+
 No tile is collected whole, no pair within a component is emitted, and every step after the postings works on tables in
 the shared folder.
 
@@ -41,6 +44,7 @@ from .components import connected_components
 CACHE = 400_000
 SEND_ROWS = 500_000  # so many ids (8 bytes each) may be sent to every executor
 CHUNK = 1024  # members of a tile that one chunk holds
+LINK_NODES, LINK_SHINGLES = 512, 1_000_000  # a chunk of a component whose links are counted holds about so much
 PIVOTS = 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -214,10 +218,9 @@ class NgramJoin:
 
         return both.mapInArrow(run, "u long, v long")
 
-    def exact(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs (u, v), u > v, of a written table that link."""
-        width, percent = self.width, self.percent
-        asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    def texts_of(self, asked: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(node, raw), written: a text of each node that `asked` names."""
+        width = self.width
         reps = self.scratch.table(nodes.join(asked, "node", "left_semi").select("node", F.col("rep").alias("rep_id")))
         few = reps.count() <= SEND_ROWS
         own = self.src.join(F.broadcast(reps) if few else reps, self.src["doc_id"] == reps["rep_id"]).select("node", "raw")
@@ -228,7 +231,13 @@ class NgramJoin:
                 keep = [node_of(find.of(raw)) == node for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        held = self.scratch.table(own.mapInArrow(same, "node long, raw binary").dropDuplicates(["node"]))
+        return self.scratch.table(own.mapInArrow(same, "node long, raw binary").dropDuplicates(["node"]))
+
+    def exact(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs (u, v), u > v, of a written table that link."""
+        width, percent = self.width, self.percent
+        asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        held = self.texts_of(asked, nodes)
         a = held.select(F.col("node").alias("u"), F.col("raw").alias("ru"))
         b = held.select(F.col("node").alias("v"), F.col("raw").alias("rv"))
         both = pairs.join(a, "u").join(b, "v").select("u", "v", "ru", "rv")
@@ -317,12 +326,62 @@ class NgramJoin:
 
         return dealt.mapInArrow(run, "u long, v long").distinct()
 
-    def groups(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row."""
+    def link_counts(self, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(node, linked): rows of other nodes that a node links with, from (node, label) of all nodes that have a link."""
+        percent, width = self.percent, self.width
+        members = self.scratch.table(labels.join(nodes.select("node", "n", "copies"), "node"))
+        chunks = F.greatest(F.ceil(F.count("*") / LINK_NODES), F.ceil(F.sum("n") / LINK_SHINGLES)).cast("int").alias("chunks")
+        band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
+        cut = F.col("chunks") > 1
+        own = (
+            members.join(self.scratch.table(members.groupBy("label").agg(chunks)), "label")
+            .withColumns({"band": F.when(cut, band).otherwise(0), "chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")})
+            .withColumn("near", F.when(cut, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band")))
+        )
+        there = F.struct(F.col("b").alias("band"), F.col("c").alias("chunk"))
+        here = F.struct("band", "chunk")
+        visits = own.withColumn("b", F.explode("near")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        keys = ["label", "lo", "hi"]
+        visits = visits.select("label", F.least(here, there).alias("lo"), F.greatest(here, there).alias("hi"), (here <= there).alias("first"), "node", "copies")
+        met = visits.join(self.texts_of(labels.select("node"), nodes), "node")
+        dealt = met.repartition(*keys).sortWithinPartitions(*keys).select("label", F.to_json(F.array("lo", "hi")).alias("cell"), (F.col("lo") == F.col("hi")).alias("same"), "first", "node", "copies", "raw")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = Shingler(width)
+            key, same, rows = None, False, []
+            nodes, linked = [], []
+
+            def close() -> None:
+                if rows:
+                    of = [x[0] for x in rows]
+                    first, copies = np.array([x[1] for x in rows]), np.array([x[2] for x in rows], dtype=np.int64)
+                    nodes.append(np.array(of, dtype=np.int64))
+                    linked.append(_count_links([x[3] for x in rows], first, copies, same, percent))
+
+            def flush() -> pa.RecordBatch:
+                out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (nodes, linked)], names=["node", "linked"])
+                nodes.clear()
+                linked.clear()
+                return out
+
+            for t in batches:
+                for label, cell, eq, first, node, copies, raw in zip(*(c.to_pylist() for c in t.columns), strict=True):
+                    if (label, cell) != key:
+                        close()
+                        key, same, rows = (label, cell), eq, []
+                    rows.append((node, first, copies, find.of(raw)))
+                yield flush()
+            close()
+            yield flush()
+
+        return dealt.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+
+    def groups(self, links_too: bool = True) -> DataFrame:
+        """(doc_id, n_shingles, component_id) of every row, and n_links if asked for."""
         s = self.scratch
         cards = s.table(self.cards(self.often()))
         nodes = cards.where("node is not null and doc_id is not null").groupBy("node")
-        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig")]))
+        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig")]))
         postings = cards.where("keys is not null").select(F.explode("keys").alias("key"), "node")
         ends = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
         shared = s.table(postings.join(s.table(ends.where("low <> high")), "key"))
@@ -338,8 +397,13 @@ class NgramJoin:
         least = s.table(labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id")))
         linked = s.table(labels.join(least, "label").select("node", "component_id"))
         whole = s.table(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
+        if links_too:
+            whole = s.table(whole.join(self.link_counts(labels, nodes), "node", "left").join(nodes.select("node", "copies"), "node").withColumn("links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1))
         got = cards.select("doc_id", "node", F.col("n").alias("n_shingles")).join(whole, "node", "left")
-        return got.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        cols = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
+        if not links_too:
+            return got.select(*cols)
+        return got.select(*cols, F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
 
 def _meet(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], home: np.ndarray, guest: np.ndarray, percent: int, found: set[tuple[int, int]]) -> None:
@@ -371,19 +435,47 @@ def _meet(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], h
                 found.add((max(a, b), min(a, b)))
 
 
+def _count_links(sets: list[np.ndarray], first: np.ndarray, copies: np.ndarray, same: bool, percent: int) -> np.ndarray:
+    """Copies that each set links with: all others if the chunk meets itself, else those on the other side."""
+    out = np.zeros(len(sets), dtype=np.int64)
+    left, right = (np.arange(len(sets)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
+    if not len(left) or not len(right):
+        return out
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, held = np.repeat(np.arange(len(sets)), sizes), n[col] > 1  # what one set alone holds is in no overlap
+    row, col = row[held], (np.cumsum(n > 1) - 1)[col[held]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    step = 4096
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        i, j = np.searchsorted(col, (at, at + step))
+        x = np.zeros((len(sets), min(step, int(col[-1]) + 1 - at)), dtype=np.float32)
+        x[row[i:j], col[i:j] - at] = 1
+        both += x[left] @ x[right].T
+    both = both.astype(np.int64)
+    links = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    if same:
+        np.fill_diagonal(links, False)
+        return links @ copies
+    out[left], out[right] = links @ copies[right], copies[left] @ links
+    return out
+
+
 def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
     got = sorted(found)
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["u", "v"])
 
 
 def join_ngrams(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    """One row per document row: doc_id, n_shingles, component_id (the smallest doc_id that links reach), n_links (other rows that it links with itself)."""
     return NgramJoin(docs, percent, width, id_col, text_col).groups()
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns as they are, without the documents whose group holds a smaller doc_id; null ids stay."""
-    got = Scratch(docs.sparkSession).table(join_ngrams(docs, percent, width, id_col, text_col))
+    got = Scratch(docs.sparkSession).table(NgramJoin(docs, percent, width, id_col, text_col).groups(links_too=False))
     gone = got.where("component_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
 
