@@ -3,8 +3,7 @@
 import compare
 import pytest
 
-from tracelark.plans.catalog import QUERIES
-from tracelark.plans.oracle import ORACLE
+from tracelark.plans.catalog import QUERIES, SQL
 
 SF = "sf0.001"
 
@@ -15,15 +14,15 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert not set(ORACLE) - set(QUERIES)
+    assert not set(SQL) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
-    assert compare.differences(spark, con, SF, QUERIES[name], ORACLE[name]) == ""
+    assert compare.differences(spark, con, SF, QUERIES[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
     assert QUERIES[name](spark, f"{compare.DATA}/{SF}").count() > 0
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import record_name
@@ -36,6 +36,39 @@ def event_text(record: str = "record", region: Column | None = None, full: bool
     return text.otherwise(F.concat(record_name(r), F.lit("()")))
 
 
+#: Payload columns of each kind of record.
+P2P = (4, 5, 8, 9)
+PAYLOADS = {
+    "peer": P2P, "communicator": (*P2P, 13), "tag": P2P, "msg_length": P2P, "request_id": (5, 6, 7, 9), "lock_id": (16, 17, 29, 30), "acquisition_order": (16, 17, 29, 30),
+    "task_id": (18, 19, 20), "n_threads": (14, 25), "coll_op": (13,), "coll_root": (13,), "size_sent": (13,), "size_received": (13,),
+    "region": (2, 3), "name": (58,),
+}
+
+
+def payload(events: DataFrame) -> DataFrame:
+    """events whose payload columns hold values only for records that carry them."""
+    return events.withColumns({c: F.when(F.col("record").isin(*records), F.col(c)) for c, records in PAYLOADS.items() if c in events.columns})
+
+
+#: Kinds of attributes; those below the line are printed as references, by this word.
+PLAIN = ("UINT8", "UINT16", "UINT32", "UINT64", "INT8", "INT16", "INT32", "INT64")
+REFERENCES = {
+    "ATTRIBUTE": "attribute", "LOCATION": "location", "REGION": "region", "GROUP": "group", "METRIC": "metric", "COMM": "comm", "PARAMETER": "parameter",
+    "RMA_WIN": "rma_win", "SOURCE_CODE_LOCATION": "source_code_location", "CALLING_CONTEXT": "calling_context",
+    "INTERRUPT_GENERATOR": "interrupt_generator", "IO_FILE": "io_file", "IO_HANDLE": "io_handle", "LOCATION_GROUP": "location_group",
+}
+KINDS = ("NONE", *PLAIN, "FLOAT", "DOUBLE", "STRING", *REFERENCES)
+
+
+def attribute_value(kind: Column, number: Column, real: Column, text: Column) -> Column:
+    """Text of a typed value: whole numbers, six decimals, a string in quotes with its reference, or a reference."""
+    out = F.when(kind == "NONE", F.lit("NONE")).when(kind.isin(*PLAIN), number.cast("string")).when(kind.isin("FLOAT", "DOUBLE"), F.format_string("%.6f", real))
+    out = out.when(kind == "STRING", F.concat(F.lit('string <'), number.cast("string"), F.lit('> "'), text, F.lit('"')))
+    for k, word in REFERENCES.items():
+        out = out.when(kind == k, F.concat(F.lit(f"{word} <"), number.cast("string"), F.lit(">")))
+    return out
+
+
 def token_text(kind: Column, number: Column, record: Column | None = None) -> Column:
     """E5E / E6L / E7S for events (enter, leave, single), S2 and L0 for sequences and loops; no suffix without a record."""
     suffix = F.lit("") if record is None else F.when(kind != "E", "").when(record.isin(2, 14, 25, 27, 35), "E").when(record.isin(3, 15, 26, 28, 37), "L").otherwise("S")
@@ -60,3 +93,16 @@ def exact_seconds(ns: Column) -> Column:
 def masking_width(most: Column) -> Column:
     """Bytes that hold every value up to `most`: 1, 2, 4 or 8."""
     return F.when(most < 1 << 8, 1).when(most < 1 << 16, 2).when(most < 1 << 32, 4).otherwise(8)
+
+
+def masked(value: Column, width: Column) -> Column:
+    """A whole number in its lowest `width` bytes, the lowest first."""
+    full = F.reverse(F.lpad(F.hex(value), 16, "0"))
+    pairs = F.regexp_replace(full, "(.)(.)", "$2$1")  # reversing digits has swapped each byte's halves
+    return F.unhex(F.substring(pairs, F.lit(1), width * 2))
+
+
+def unmasked(raw: Column) -> Column:
+    """The number again."""
+    pairs = F.regexp_replace(F.reverse(F.hex(raw)), "(.)(.)", "$2$1")
+    return F.conv(pairs, 16, 10).cast("long")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import is_comm, is_recv, is_send
+from ..model import WAIT_NAMES, is_comm, is_recv, is_send
+from ..scratch import Scratch
+from .order import next_value, with_position
+from .spans import with_open, with_phase
 
 
 def comm_matrix(events: DataFrame) -> DataFrame:
@@ -83,30 +86,67 @@ def match_messages(events: DataFrame) -> DataFrame:
     return s.join(r, [*channel, "rn"])
 
 
-def match_requests(issues: DataFrame, completions: DataFrame) -> DataFrame:
-    """k-th completion of a request id belongs to the k-th issue of it, within an archive: (archive_id, request_id, issue_ts, completion_ts)."""
-    w = Window.partitionBy("archive_id", "request_id").orderBy("ts_ns", "event_id")
-    a = issues.select("archive_id", "request_id", F.col("ts_ns").alias("issue_ts"), F.row_number().over(w).alias("rn"))
-    b = completions.select("archive_id", "request_id", F.col("ts_ns").alias("completion_ts"), F.row_number().over(w).alias("rn"))
-    return a.join(b, ["archive_id", "request_id", "rn"]).select("archive_id", "request_id", "issue_ts", "completion_ts")
+def match_requests(issues: DataFrame, completions: DataFrame, order: str = "event_id") -> DataFrame:
+    """Each completion of a request id, in its archive, belongs to the oldest issue that is outstanding.
+
+    (archive_id, request_id, issue_ts, completion_ts, issue_id, completion_id). A completion with nothing outstanding is
+    dropped: it takes the running balance of issues and completions to a new low below zero. The others pair by rank.
+    """
+    pick = lambda df, step: df.select("archive_id", "request_id", "ts_ns", F.col(order).alias("id"), F.lit(step).alias("step"))
+    w = Window.partitionBy("archive_id", "request_id").orderBy("ts_ns", F.desc("step"), "id")
+    both = pick(issues, 1).unionByName(pick(completions, -1))
+    both = both.withColumn("balance", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.least(F.coalesce(F.min("balance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
+    kept = both.withColumn("low", low).where("step = 1 or balance >= low")
+    rank = F.row_number().over(Window.partitionBy("archive_id", "request_id", "step").orderBy("ts_ns", "id"))
+    of = lambda c, step: F.max(F.when(F.col("step") == step, F.col(c)))
+    got = kept.withColumn("k", rank).groupBy("archive_id", "request_id", "k").agg(
+        of("ts_ns", 1).alias("issue_ts"), of("ts_ns", -1).alias("completion_ts"), of("id", 1).alias("issue_id"), of("id", -1).alias("completion_id")
+    )
+    return got.where("issue_ts is not null and completion_ts is not null").drop("k")
 
 
 def next_wait(events: DataFrame, waits: Column, order: tuple[str, ...] = ("ts_ns", "event_id")) -> DataFrame:
-    """events with wait_end_ns: the time of the archive's next event for which `waits` holds.
+    """events with wait_end_ns: the time of the archive's next event for which `waits` holds, whichever thread it is of."""
+    return next_value(events, ["archive_id"], list(order), F.when(waits, F.col("ts_ns")), "wait_end_ns")
+
+
+def is_wait_leave() -> Column:
+    """The end of a function that waits for messages."""
+    return (F.col("record") == 3) & F.col("region").isin(*WAIT_NAMES)
+
 
-    The window runs backwards, so that it only grows: one pass, where a frame that ends at the last row would take a pass a row.
+MESSAGE = ["id", "sender", "receiver", "tag", "msg_length", "isend_ts", "start_swait_ts", "end_swait_ts", "irecv_ts", "start_rwait_ts", "end_rwait_ts"]
+
+
+def message_list(events: DataFrame) -> DataFrame:
+    """Completed point-to-point messages with the waits of both sides, in the columns MESSAGE.
+
+    Sends and receives of a channel (sender, receiver, tag) pair in order of time. A blocking call waits from its event to
+    the end of the archive's next waiting function; a non-blocking one from the start of the block in which its request
+    completes to the completion, and counts as received at the completion. Sends whose request never completes, and
+    receives without a request, end no message. Ids number all messages that were begun, in order of their first side.
     """
-    w = Window.partitionBy("archive_id").orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("wait_end_ns", F.last(F.when(waits, F.col("ts_ns")), ignorenulls=True).over(w))
-
-
-def message_list(events: DataFrame, waits: Column) -> DataFrame:
-    """Completed messages with the waits of both sides; blocking calls start their wait at the event itself."""
-    ends = next_wait(events, waits).select("event_id", "wait_end_ns")
-    m = match_messages(events)
-    m = m.join(ends.select(F.col("event_id").alias("send_id"), F.col("wait_end_ns").alias("end_swait_ts")), "send_id")
-    m = m.join(ends.select(F.col("event_id").alias("recv_id"), F.col("wait_end_ns").alias("end_rwait_ts")), "recv_id")
-    return m.where("end_swait_ts is not null and end_rwait_ts is not null").select(
-        "sender", "receiver", "tag", "msg_length", F.col("send_ts").alias("isend_ts"), F.col("send_ts").alias("start_swait_ts"), "end_swait_ts",
-        F.col("recv_ts").alias("irecv_ts"), F.col("recv_ts").alias("start_rwait_ts"), "end_rwait_ts",
-    )
+    scratch = Scratch(events.sparkSession)
+    e = with_open(with_phase(events).withColumn("name", F.col("label"))).where(F.col("record").isin(4, 5, 6, 7, 8, 9) | is_wait_leave())
+    e = e.select("event_id", "archive_id", "ts_ns", "record", "region", "peer", "tag", "msg_length", "request_id", "open_ns")
+    e = scratch.table(next_wait(e, is_wait_leave()).where(F.col("record") != 3))
+    only = lambda r: e.where(F.col("record") == r)
+    sent = match_requests(only(5), only(6)).select(F.col("issue_id").alias("event_id"), F.col("completion_id").alias("done_id"), F.col("completion_ts").alias("done_ts"))
+    done = only(6).select(F.col("event_id").alias("done_id"), F.col("open_ns").alias("done_open"))
+    received = match_requests(only(7), only(9)).select(F.col("completion_id").alias("event_id"))
+    begun = [F.col("event_id").alias("send_id"), F.col("archive_id").alias("sender"), F.col("peer").alias("receiver"), "tag", F.col("msg_length").alias("send_length"), F.col("ts_ns").alias("isend_ts")]
+    sends = only(4).select(*begun, F.col("ts_ns").alias("start_swait_ts"), F.col("wait_end_ns").alias("end_swait_ts")).unionByName(
+        only(5).join(sent, "event_id", "left").join(done, "done_id", "left").select(*begun, F.col("done_open").alias("start_swait_ts"), F.col("done_ts").alias("end_swait_ts"))
+    )
+    took = [F.col("event_id").alias("recv_id"), F.col("peer").alias("sender"), F.col("archive_id").alias("receiver"), "tag", F.col("msg_length").alias("recv_length"), F.col("ts_ns").alias("irecv_ts")]
+    recvs = only(8).select(*took, F.col("ts_ns").alias("start_rwait_ts"), F.col("wait_end_ns").alias("end_rwait_ts")).unionByName(
+        only(9).join(received, "event_id", "left_semi").select(*took, F.col("open_ns").alias("start_rwait_ts"), F.col("ts_ns").alias("end_rwait_ts"))
+    )
+    channel = ["sender", "receiver", "tag"]
+    rank = lambda ts, i: F.row_number().over(Window.partitionBy(*channel).orderBy(ts, i))
+    both = sends.withColumn("rn", rank("isend_ts", "send_id")).join(recvs.withColumn("rn", rank("irecv_ts", "recv_id")), [*channel, "rn"], "full")
+    send_first = F.coalesce(F.col("isend_ts") <= F.col("irecv_ts"), F.col("isend_ts").isNotNull())
+    both = both.withColumns({"first_ts": F.least("isend_ts", "irecv_ts"), "first_id": F.when(send_first, F.col("send_id")).otherwise(F.col("recv_id")), "msg_length": F.when(send_first, F.col("send_length")).otherwise(F.col("recv_length"))})
+    ends = [c for c in MESSAGE if c.endswith("_ts")]
+    return with_position(both.select("first_ts", "first_id", *channel, "msg_length", *ends), ["first_ts", "first_id"], "id", 1).dropna(subset=ends).select(*MESSAGE)

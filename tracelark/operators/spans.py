@@ -5,30 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import BLOCKS, record_name
 
-def with_depth(enter_leave: DataFrame) -> DataFrame:
-    """ENTER/LEAVE events (phase E or L) with the depth of their block, 0 outermost."""
+MAX_DEPTH = 256  # blocks open at once; deeper traces are an error, never cut
+
+
+def opens() -> Column:
+    return F.col("phase") == "E"
+
+
+def closes() -> Column:
+    return F.col("phase") == "L"
+
+
+def with_phase(events: DataFrame) -> DataFrame:
+    """events with phase (E opens a block, L closes one, else null) and label: the region, the event's own name, or the (opening) record's."""
+    r = F.col("record")
+    phase = F.when(r.isin(*BLOCKS), "E").when(r.isin(*BLOCKS.values()), "L")
+    opening = r
+    for start, end in BLOCKS.items():
+        opening = F.when(r == end, F.lit(start)).otherwise(opening)
+    label = F.when(r.isin(2, 3), F.col("region")).when(r == 58, F.col("name")).otherwise(record_name(opening))
+    return events.withColumns({"phase": phase, "label": label})
+
+
+def with_depth(events: DataFrame) -> DataFrame:
+    """events (phase E, L or null) with the depth at which they stand: that of their block, 0 outermost, or one below the open block."""
     w = Window.partitionBy("thread_id").orderBy("seq_no")
-    step = F.when(F.col("phase") == "E", 1).otherwise(-1)
-    running = F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return enter_leave.withColumn("depth", (running - F.when(F.col("phase") == "E", 1).otherwise(0)).cast("int"))
+    running = F.sum(F.when(opens(), 1).when(closes(), -1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("depth", (running - F.when(opens(), 1).otherwise(0)).cast("int"))
+
+
+def _ends(enter_leave: DataFrame) -> DataFrame:
+    """ENTER and LEAVE events beside the neighbour of their own depth: where a block is closed these alternate, so it is the block's other end.
+
+    All windows here are by thread, or by thread and more: one exchange serves them all.
+    """
+    w = Window.partitionBy("thread_id", "depth").orderBy("seq_no")
+    d = with_depth(enter_leave.where(F.col("phase").isNotNull()))
+    return d.withColumns({
+        "closed": F.coalesce(F.lead("phase").over(w) == "L", F.lit(False)), "close_seq": F.lead("seq_no").over(w), "close_ns": F.lead("ts_ns").over(w), "close_name": F.lead("name").over(w),
+        "closes": F.coalesce(F.lag("phase").over(w) == "E", F.lit(False)), "open_seq": F.lag("seq_no").over(w),
+    })
 
 
 def pair_blocks(enter_leave: DataFrame) -> DataFrame:
-    """(thread_id, depth, name, enter_seq, leave_seq, start_ns, finish_ns): the k-th ENTER of a depth closes with its k-th LEAVE.
+    """(thread_id, depth, name, enter_seq, leave_seq, start_ns, finish_ns, leave_name): each ENTER with the next LEAVE of its depth.
 
-    Both events of a block stand in one row of one aggregation, so pairing takes no join. Blocks that never close have no
-    finish; events that never opened have no start.
+    Blocks that never close have no finish; events that never opened have no start. Nothing is joined or grouped.
     """
-    k = F.sum(F.when(F.col("phase") == "E", 1).otherwise(0)).over(Window.partitionBy("thread_id", "depth").orderBy("seq_no"))
-    e, lv = F.col("phase") == "E", F.col("phase") == "L"
-    return (
-        with_depth(enter_leave).withColumn("k", k).groupBy("thread_id", "depth", "k")
-        .agg(
-            F.max(F.when(e, F.col("name"))).alias("name"), F.max(F.when(e, F.col("seq_no"))).alias("enter_seq"), F.max(F.when(lv, F.col("seq_no"))).alias("leave_seq"),
-            F.max(F.when(e, F.col("ts_ns"))).alias("start_ns"), F.max(F.when(lv, F.col("ts_ns"))).alias("finish_ns"), F.max(F.when(lv, F.col("name"))).alias("leave_name"),
-        )
-        .drop("k")
+    p = _ends(enter_leave).where(opens() | ~F.col("closes"))
+    shut = lambda c, own: F.when(opens(), F.when(F.col("closed"), F.col(c))).otherwise(F.col(own))
+    own = lambda c: F.when(opens(), F.col(c))
+    return p.select(
+        "thread_id", "depth", own("name").alias("name"), own("seq_no").alias("enter_seq"), shut("close_seq", "seq_no").alias("leave_seq"),
+        own("ts_ns").alias("start_ns"), shut("close_ns", "ts_ns").alias("finish_ns"), shut("close_name", "name").alias("leave_name"),
     )
 
 
@@ -37,24 +68,66 @@ def nesting_violations(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("enter_seq").isNull() | F.col("leave_seq").isNull() | (F.col("name") != F.col("leave_name")) | (F.col("finish_ns") < F.col("start_ns")))
 
 
-def with_parent(blocks: DataFrame) -> DataFrame:
-    """blocks with parent_seq, the enter_seq of the block around each: the last one opened a level above.
+def with_exclusive(enter_leave: DataFrame) -> DataFrame:
+    """pair_blocks() of opened blocks, with parent_seq and parent_ns (the block around), duration_ns and exclusive_ns.
+
+    Exclusive time is the duration less that of the blocks directly inside; 0 for the outermost. Each event stands once among
+    those of its own depth and an ENTER once more among those a level above, where the last opened block is its parent and a
+    running sum holds what lies inside each block. The block's rows are then folded; all of it within the thread's partition.
+    """
+    p = _ends(enter_leave).where(opens() | F.col("closes"))
+    p = p.withColumns({"enter_seq": F.when(opens(), F.col("seq_no")).otherwise(F.col("open_seq")), "duration_ns": F.when(opens() & F.col("closed"), F.col("close_ns") - F.col("ts_ns"))})
+    own, up = F.struct(F.col("depth").alias("g"), F.lit(False).alias("inner")), F.struct((F.col("depth") - 1).alias("g"), F.lit(True).alias("inner"))
+    p = p.withColumn("at", F.explode(F.when(opens(), F.array(own, up)).otherwise(F.array(own)))).withColumns({"g": F.col("at.g"), "inner": F.col("at.inner")})
+    w = Window.partitionBy("thread_id", "g").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+    mine = opens() & ~F.col("inner")
+    p = p.withColumns({
+        "parent_seq": F.last(F.when(mine, F.col("seq_no")), ignorenulls=True).over(w), "parent_ns": F.last(F.when(mine, F.col("ts_ns")), ignorenulls=True).over(w),
+        "inside": F.coalesce(F.sum(F.when(F.col("inner"), F.col("duration_ns"))).over(w), F.lit(0)),
+    })
+    of = lambda c: F.max(F.when(mine, F.col(c)))
+    b = p.groupBy("thread_id", "enter_seq").agg(
+        F.max("depth").alias("depth"), of("name").alias("name"), of("close_seq").alias("__seq"), F.max(F.when(mine, F.col("closed"))).alias("__closed"), of("ts_ns").alias("start_ns"),
+        of("close_ns").alias("__ns"), of("close_name").alias("__name"), F.max(F.when(F.col("inner"), F.col("parent_seq"))).alias("parent_seq"),
+        F.max(F.when(F.col("inner"), F.col("parent_ns"))).alias("parent_ns"), of("duration_ns").alias("duration_ns"),
+        (F.max(F.when(closes(), F.col("inside"))) - of("inside")).alias("__inside"),
+    )
+    shut = lambda c, name: F.when(F.col("__closed"), F.col(c)).alias(name)
+    exclusive = F.when(F.col("depth") == 0, F.when(F.col("__closed"), 0)).otherwise(F.col("duration_ns") - F.col("__inside"))
+    return b.select(
+        "thread_id", "depth", "name", "enter_seq", shut("__seq", "leave_seq"), "start_ns", shut("__ns", "finish_ns"), shut("__name", "leave_name"),
+        "parent_seq", "parent_ns", "duration_ns", exclusive.cast("long").alias("exclusive_ns"),
+    )
+
+
+def with_open(events: DataFrame) -> DataFrame:
+    """events with `at`, the depth of the innermost block that is open after each (-1: none), and its open_seq, open_ns and open_name."""
+    d = with_depth(events).withColumn("at", F.when(opens(), F.col("depth")).otherwise(F.col("depth") - 1))
+    w = Window.partitionBy("thread_id", "at").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.when(F.col("at") >= 0, F.last(F.when(opens(), F.col(c)), ignorenulls=True).over(w))
+    return d.withColumns({"open_seq": last("seq_no"), "open_ns": last("ts_ns"), "open_name": last("name")})
 
-    Children are set beside the blocks of the level above and a window carries the last opened one: no range join.
+
+def with_stack(events: DataFrame) -> DataFrame:
+    """events with `stack`, the (seq, name) of all blocks that are open after each, outermost first.
+
+    The open block of a level is the last one that was opened there: one window with a column a level, no join and no loop.
     """
-    up = blocks.select("thread_id", F.col("depth").alias("g"), F.col("enter_seq").alias("at"), F.col("enter_seq").alias("open"))
-    down = blocks.select("thread_id", (F.col("depth") - 1).alias("g"), F.col("enter_seq").alias("at"), F.lit(None).cast("long").alias("open"))
-    w = Window.partitionBy("thread_id", "g").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    found = up.unionByName(down).withColumn("parent_seq", F.last("open", ignorenulls=True).over(w)).where("open is null")
-    return blocks.join(found.select("thread_id", F.col("at").alias("enter_seq"), "parent_seq"), ["thread_id", "enter_seq"], "left")
+    d = with_depth(events)
+    levels = (d.agg(F.max("depth").alias("d")).first()["d"] or 0) + 1
+    if levels > MAX_DEPTH:
+        raise ValueError(f"blocks are nested {levels} deep, more than {MAX_DEPTH}")
+    w = Window.partitionBy("thread_id").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+    each = [F.last(F.when(opens() & (F.col("depth") == k), F.struct(F.col("seq_no").alias("seq"), "name")), ignorenulls=True).over(w) for k in range(levels)]
+    n = F.when(opens(), F.col("depth") + 1).otherwise(F.col("depth"))
+    return d.withColumn("stack", F.slice(F.array(*each), F.lit(1), F.greatest(n, F.lit(0))))
 
 
-def with_exclusive(blocks: DataFrame) -> DataFrame:
-    """blocks with duration_ns and exclusive_ns (duration less that of the blocks directly inside; 0 for the outermost)."""
-    b = with_parent(blocks).withColumn("duration_ns", F.col("finish_ns") - F.col("start_ns"))
-    inside = b.groupBy("thread_id", F.col("parent_seq").alias("enter_seq")).agg(F.sum("duration_ns").alias("inside"))
-    own = F.when(F.col("depth") == 0, F.lit(0)).otherwise(F.col("duration_ns") - F.coalesce("inside", F.lit(0)))
-    return b.join(inside, ["thread_id", "enter_seq"], "left").withColumn("exclusive_ns", own.cast("long")).drop("inside")
+def closed_at_end(enter_leave: DataFrame) -> DataFrame:
+    """pair_blocks() with blocks that are still open closed at the thread's last time (cut is true)."""
+    end = F.max("ts_ns").over(Window.partitionBy("thread_id"))
+    b = _ends(enter_leave).withColumn("end", end).where(opens())
+    return b.select("thread_id", "depth", "name", F.col("ts_ns").alias("start_ns"), F.when(F.col("closed"), F.col("close_ns")).otherwise(F.col("end")).alias("finish_ns"), (~F.col("closed")).alias("cut"))
 
 
 def sequence_stats(spans: DataFrame) -> DataFrame:
@@ -104,19 +177,10 @@ def interval_profile(spans: DataFrame, edges: list[int]) -> DataFrame:
 
 
 def self_segments(enter_leave: DataFrame) -> DataFrame:
-    """(thread_id, name, depth, a, b): stretches of time in which a block is the innermost open one.
-
-    Between two neighbouring events the open block is the one just entered, or the parent of the one just left.
-    """
-    d = with_depth(enter_leave)
-    w = Window.partitionBy("thread_id").orderBy("seq_no")
-    d = d.withColumn("b", F.lead("ts_ns").over(w)).withColumn("at", F.when(F.col("phase") == "E", F.col("depth")).otherwise(F.col("depth") - 1))
-    opened = F.when(F.col("phase") == "E", F.struct("depth", "name", "seq_no"))
-    # the name at a depth is that of the last ENTER at this depth: events of the depth and stretches of it stand in one window
-    e = d.select("thread_id", F.col("depth").alias("g"), "seq_no", opened["name"].alias("open"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0).alias("o")).where("open is not null")
-    s = d.where("at >= 0 and b is not null").select("thread_id", F.col("at").alias("g"), "seq_no", F.lit(None).cast("string").alias("open"), F.col("ts_ns").alias("a"), "b", F.lit(1).alias("o"))
-    name = F.last("open", ignorenulls=True).over(Window.partitionBy("thread_id", "g").orderBy("seq_no", "o").rowsBetween(Window.unboundedPreceding, 0))
-    return e.unionByName(s).withColumn("name", name).where("o = 1").select("thread_id", "name", F.col("g").alias("depth"), "a", "b")
+    """(thread_id, name, depth, a, b): stretches of time in which a block is the innermost open one, from each event to the next."""
+    after = F.lead("ts_ns").over(Window.partitionBy("thread_id").orderBy("seq_no"))
+    s = with_open(enter_leave.withColumn("b", after)).where("at >= 0 and b is not null")
+    return s.select("thread_id", F.col("open_name").alias("name"), F.col("at").alias("depth"), F.col("ts_ns").alias("a"), "b")
 
 
 def snapshot_exact(enter_leave: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -140,16 +204,37 @@ def snapshot_fast(chunks: DataFrame, lo: int, hi: int) -> DataFrame:
     return c.groupBy("thread_id", "name").agg(F.sum(F.round(weight * F.col("sum_ns")).cast("long")).cast("long").alias("ns"))
 
 
-def callstack(spans: DataFrame, moments: DataFrame) -> DataFrame:
-    """(thread_id, t_ns, depth, name): the blocks of a thread open at each of a few moments (start <= t < finish)."""
-    hit = (F.col("start_ns") <= F.col("t_ns")) & (F.col("t_ns") < F.col("finish_ns"))
-    return spans.join(F.broadcast(moments), hit).select("thread_id", "t_ns", F.col("level").alias("depth"), "name")
+def moments_between(lo: Column, hi: Column, moments: list[int]) -> Column:
+    """Those of a sorted list of moments with lo <= moment < hi (a null bound is open), found by a search over literals."""
+
+    def below(x: Column) -> Column:  # how many moments are < x
+        def pick(i: int, j: int) -> Column:
+            if i == j:
+                return F.lit(i)
+            mid = (i + j + 1) // 2
+            return F.when(x > moments[mid - 1], pick(mid, j)).otherwise(pick(i, mid - 1))
 
+        return pick(0, len(moments))
 
-def folded_stacks(spans: DataFrame) -> DataFrame:
-    """(stack, self_ns) of the fixed levels root, day, leaf, for flame graphs."""
-    stack = F.concat_ws(";", F.lit("main"), F.when(F.col("level") >= 1, F.lit("day")), F.when(F.col("level") == 2, F.col("name")))
-    return spans.groupBy(stack.alias("stack")).agg(F.sum("exclusive_ns").alias("self_ns"))
+    first = F.when(lo.isNull(), F.lit(0)).otherwise(below(lo))
+    last = F.when(hi.isNull(), F.lit(len(moments))).otherwise(below(hi))
+    return F.slice(F.array(*[F.lit(m).cast("long") for m in moments]), first + 1, F.greatest(last - first, F.lit(0)))
+
+
+def callstack(enter_leave: DataFrame, moments: list[int]) -> DataFrame:
+    """(thread_id, t_ns, depth, name): the blocks of a thread open at each of a few moments (start <= t < finish)."""
+    after = F.lead("ts_ns").over(Window.partitionBy("thread_id").orderBy("seq_no"))
+    s = with_stack(enter_leave.withColumn("__after", after)).where("__after is not null")
+    s = s.withColumn("t_ns", F.explode(moments_between(F.col("ts_ns"), F.col("__after"), sorted(set(moments)))))
+    return s.select("thread_id", "t_ns", F.posexplode("stack").alias("depth", "block")).select("thread_id", "t_ns", "depth", F.col("block.name").alias("name"))
+
+
+def folded_stacks(enter_leave: DataFrame) -> DataFrame:
+    """(stack, self_ns): time in which exactly these blocks are open, all threads together, for flame graphs; any depth."""
+    after = F.lead("ts_ns").over(Window.partitionBy("thread_id").orderBy("seq_no"))
+    s = with_stack(enter_leave.withColumn("__after", after)).where("__after is not null and size(stack) > 0")
+    stack = F.array_join(F.transform("stack", lambda x: x["name"]), ";")
+    return s.groupBy(stack.alias("stack")).agg(F.sum(F.col("__after") - F.col("ts_ns")).cast("long").alias("self_ns"))
 
 
 def range_sum(spans: DataFrame, lo: int, hi: int) -> DataFrame:

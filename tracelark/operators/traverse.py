@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .order import occurrence, with_position
+from .order import dense_ids, occurrence, with_position
+from .spans import moments_between
 
 
 def merged(events: DataFrame) -> DataFrame:
@@ -20,69 +23,96 @@ def thread_events(events: DataFrame) -> DataFrame:
 
 
 def neighbours(enter_leave: DataFrame) -> DataFrame:
+    """Each event as a cursor sees it: what lies before and after, whether it enters or leaves a block, ends its block, or ends the thread."""
     w = Window.partitionBy("thread_id").orderBy("seq_no")
-    return enter_leave.withColumn("prev_name", F.lag("name").over(w)).withColumn("next_name", F.lead("name").over(w))
+    after = F.lead("phase").over(w)
+    return enter_leave.withColumns({
+        "prev_name": F.lag("name").over(w), "next_name": F.lead("name").over(w), "enters": F.col("phase") == "E", "leaves": F.col("phase") == "L",
+        "ends_block": F.coalesce(after == "L", F.lit(True)), "ends_thread": after.isNull(),
+    })
+
+
+def bookmarks(enter_leave: DataFrame) -> DataFrame:
+    """(thread_id, mark): a saved cursor in the middle of each thread."""
+    return enter_leave.groupBy("thread_id").agg(F.expr("cast(count(*) div 2 as bigint)").alias("mark"))
+
+
+def resume(enter_leave: DataFrame, marks: DataFrame) -> DataFrame:
+    """The events from each thread's saved cursor on."""
+    return enter_leave.join(marks, "thread_id").where("seq_no >= mark").drop("mark")
+
 
+def seek(events: DataFrame, moments: list[int]) -> DataFrame:
+    """(thread_id, t_ns, idx): index of the last event with ts <= t in each thread, 0 if t is before the first.
 
-def seek(events: DataFrame, moments: DataFrame) -> DataFrame:
-    """(thread_id, t_ns, idx): index of the last event with ts <= t in each thread, 0 if t is before the first."""
-    idx = occurrence(["thread_id"], ["ts_ns", "event_id"])
-    at = events.withColumn("idx", idx).join(F.broadcast(moments))
-    return at.groupBy("thread_id", "t_ns").agg(F.coalesce(F.max(F.when(F.col("ts_ns") <= F.col("t_ns"), F.col("idx"))), F.lit(0)).alias("idx"))
+    Each event answers for the moments up to the next event, found by a search over the literal moments.
+    """
+    order = Window.partitionBy("thread_id").orderBy("ts_ns", "event_id")
+    e = events.withColumns({"idx": occurrence(["thread_id"], ["ts_ns", "event_id"]), "__after": F.lead("ts_ns").over(order)})
+    since = F.when(F.col("idx") > 0, F.col("ts_ns"))
+    return e.select("thread_id", F.explode(moments_between(since, F.col("__after"), sorted(set(moments)))).alias("t_ns"), "idx")
 
 
-def closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(ancestor, descendant) of every path of an acyclic edge list (parent, child): doubling, so rounds are few."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant) of every path of an edge list (parent, child): doubling, until nothing new comes."""
     scratch = Scratch(edges.sparkSession)
     have = scratch.table(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct())
-    n = have.count()
-    for _ in range(rounds):
+    n, m = -1, have.count()
+    while m != n:
         step = have.select(F.col("ancestor").alias("via"), F.col("descendant").alias("far"))
         more = have.join(step, have["descendant"] == step["via"]).select("ancestor", F.col("far").alias("descendant"))
         new = scratch.table(have.unionByName(more).distinct())
         scratch.drop(have)
-        have, m = new, new.count()
-        if m == n:
-            break
-        n = m
+        have, n, m = new, m, new.count()
     return have
 
 
-def token_counts(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, token, n): how often each token stands in the full expansion of a sequence, from (parent, child, times)."""
-    scratch = Scratch(edges.sparkSession)
-    base = scratch.table(edges.groupBy("parent", "child").agg(F.sum("times").alias("times")))
-    level = base.select(F.col("parent").alias("root"), F.col("child").alias("token"), F.col("times").alias("n"))
-    parts = [level]
-    for _ in range(rounds):
-        level = scratch.table(
-            level.join(base, level["token"] == base["parent"]).groupBy("root", F.col("child").alias("token")).agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-        ).select("root", "token", "n")
-        if level.isEmpty():
-            break
-        parts.append(level)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("root", "token").agg(F.sum("n").alias("n"))
-
-
-def parents(groups: DataFrame, rounds: int = 16) -> DataFrame:
-    """(id, depth, path) of a hierarchy (id, name, parent): from the roots down, a round a level."""
-    level = groups.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("name").alias("path"))
-    parts = [level]
-    for k in range(1, rounds):
-        up = level.select(F.col("id").alias("up_id"), F.col("path").alias("up_path"))
-        level = groups.join(up, groups["parent"] == up["up_id"]).select("id", F.lit(k).alias("depth"), F.concat_ws("/", "up_path", "name").alias("path"))
-        if level.isEmpty():
-            break
+def _levels(first: DataFrame, step: Callable[[DataFrame], DataFrame], most: int, scratch: Scratch) -> DataFrame:
+    """first, step(first), step(step(first)), … until a level is empty, together; more than `most` levels mean a cycle."""
+    parts, level = [], scratch.table(first)
+    while not level.isEmpty():
         parts.append(level)
-    out = parts[0]
-    for p in parts[1:]:
+        if len(parts) > most:
+            raise ValueError("a definition contains itself")
+        level = scratch.table(step(level))
+    out = level
+    for p in parts:
         out = out.unionByName(p)
     return out
 
 
+def token_counts(edges: DataFrame) -> DataFrame:
+    """(root, token, n): how often each token stands in the full expansion of a sequence, from (parent, child, times).
+
+    A round a level, to the deepest one, whatever its depth; a sequence that contains itself is an error.
+    """
+    scratch = Scratch(edges.sparkSession)
+    base = scratch.table(edges.groupBy("parent", "child").agg(F.sum("times").alias("times")))
+    first = base.select(F.col("parent").alias("root"), F.col("child").alias("token"), F.col("times").alias("n"))
+
+    def step(level: DataFrame) -> DataFrame:
+        return level.join(base, level["token"] == base["parent"]).groupBy("root", F.col("child").alias("token")).agg(F.sum(F.col("n") * F.col("times")).alias("n"))
+
+    every = _levels(first, step, base.select("parent").distinct().count() + 1, scratch)
+    return every.groupBy("root", "token").agg(F.sum("n").alias("n"))
+
+
+def parents(groups: DataFrame) -> DataFrame:
+    """(id, depth, path) of a hierarchy (id, name, parent): from the roots down to the deepest level, a round a level.
+
+    A row whose parent is not in the table is a root; one that is its own ancestor has no path and is left out.
+    """
+    scratch = Scratch(groups.sparkSession)
+    known = groups.select(F.col("id").alias("__id"))
+    roots = groups.where("parent is null").unionByName(groups.where("parent is not null").join(known, groups["parent"] == known["__id"], "left_anti"))
+
+    def step(level: DataFrame) -> DataFrame:
+        up = level.select(F.col("id").alias("up_id"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+        return groups.join(up, groups["parent"] == up["up_id"]).select("id", (F.col("up_depth") + 1).alias("depth"), F.concat_ws("/", "up_path", "name").alias("path"))
+
+    return _levels(roots.select("id", F.lit(0).alias("depth"), F.col("name").alias("path")), step, groups.count() + 1, scratch)
+
+
 def signed_counts(left: DataFrame, right: DataFrame, keys: list[str], times: int = -1) -> DataFrame:
     """Bag arithmetic on counts: left + times * right; zeros go."""
     both = left.select(*keys, "n").unionByName(right.select(*keys, (F.col("n") * times).alias("n")))
@@ -97,7 +127,5 @@ def resolve(refs: DataFrame, definitions: DataFrame, ref: str = "ref") -> Column
 
 def unified(definitions: DataFrame) -> DataFrame:
     """(scope, ref, new_ref, str): equal strings of all scopes share one id, the smallest of their places in string order."""
-    from .order import dense_ids
-
     ids = dense_ids(definitions, ["str"], "new_ref")
     return definitions.join(ids, "str").select("scope", "ref", "new_ref", "str")

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.murmur import murmur3_words
-from ..model import is_comm, is_recv, is_send, record_name
+from ..model import is_comm, is_recv, is_send
 from ..operators import comm, grammar, order, spans, traverse
 from ..scratch import Scratch
 from ..sources import fixtures as fx
-from ..sources.ingest import dictionary_of, events_from_calls
-from ..sources.store import Trace, bulk_rows, check_unique, read_config
-from .oracle import DAY_NS, EDGES, HI, LO, SLICES
+from ..sources.store import Trace, read_config
+from . import program, program_sql
+from .oracle import DAY_NS, EDGES, HI, LO, ORACLE, SLICES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,10 +53,6 @@ def _add(source: Query, **made: Callable[[DataFrame], DataFrame]) -> None:
         QUERIES[name] = lambda spark, sf_dir, f=f: f(source(spark, sf_dir))
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(LO,), (HI,)], "t_ns long")
-
-
 _add(
     events,
     agg_comm_matrix=comm.comm_matrix,
@@ -75,62 +71,23 @@ _add(
     flt_record=lambda e: e.where("record = 8").select(*BASIC),
     flt_record_in=lambda e: e.where(F.col("record").isin(4, 58)).select(*BASIC),
     flt_mpi_class=lambda e: e.select("event_id", is_send(F.col("record")).alias("is_send"), is_recv(F.col("record")).alias("is_recv"), is_comm(F.col("record")).alias("is_comm")),
-    flt_thread=lambda e: e.where("thread_id = 7").select(*BASIC),
-    flt_archive=lambda e: e.where("archive_id = 3").select(*BASIC),
-    flt_time_range=lambda e: e.where(F.col("ts_ns").between(LO, HI)).select(*BASIC),
-    flt_seek=lambda e: traverse.seek(e, _moments(e)),
-    flt_valid=lambda e: e.select("event_id", (F.col("record") != 0).alias("is_valid"), is_send(F.col("record")).alias("has_peer")),
-    src_archive=lambda e: e.where("archive_id = 5").select(*BASIC),
-    src_thread=lambda e: e.where("thread_id = 11").select(*BASIC),
+    flt_seek=lambda e: traverse.seek(e, [LO, HI]),
     src_thread_list=lambda e: e.select("archive_id", "thread_id").distinct(),
     src_archives=lambda e: e.groupBy("archive_id").agg(F.countDistinct("thread_id").alias("n_threads")),
     src_threads=lambda e: e.groupBy("thread_id").agg(F.count("*").alias("n")),
     src_time_bounds=lambda e: e.agg(F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns")),
-    src_vector=lambda e: e.groupBy("thread_id", "name").agg(F.array_sort(F.collect_list("ts_ns")).alias("timestamps")),
-    src_callbacks=lambda e: e.groupBy(record_name(F.col("record")).alias("callback")).agg(F.count("*").alias("n")),
     trv_trace_events=lambda e: traverse.merged(e.select("ts_ns", "archive_id", "thread_id", "event_id")).select("global_pos", "thread_id", "ts_ns", "event_id"),
     trv_thread_events=lambda e: traverse.thread_events(e).select("thread_id", "event_id", "ts_ns", "pos", "occurrence_idx"),
     trv_event_count=lambda e: e.groupBy("thread_id").agg(F.count("*").alias("n")),
-    agg_thread_summary=lambda e: e.groupBy("archive_id", "thread_id").agg(
-        F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), (F.max("ts_ns") - F.min("ts_ns")).alias("duration_ns"), F.count("*").alias("n_events"), F.countDistinct("name").alias("n_definitions")
-    ),
     agg_archive_summary=lambda e: e.groupBy("archive_id").agg(F.countDistinct("thread_id").alias("n_threads"), F.count("*").alias("n_events")),
     agg_event_info=lambda e: e.groupBy("thread_id", "record", "name").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns")),
-    enc_masking=lambda e: e.groupBy("archive_id").agg(tx.masking_width(F.max("msg_length")).alias("width")),
-    proj_event_data=lambda e: e.select(
-        "event_id", *[F.when(F.col("record") != 58, F.col(c)).alias(c) for c in ("peer", "tag", "msg_length")], F.when(F.col("record").isin(5, 9), F.col("request_id")).alias("request_id"), F.when(F.col("record") == 58, F.col("name")).alias("event_name")
-    ),
-    proj_event_name=lambda e: e.select("event_id", tx.event_text().alias("text")),
     proj_event_props=lambda e: e.groupBy("thread_id", "name", "record").agg(F.count("*").alias("nb_occurrences")),
     proj_thread_props=lambda e: e.groupBy("thread_id").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("finish_ns")),
     proj_ns2s=lambda e: e.select("event_id", tx.seconds(F.col("ts_ns")).alias("seconds")),
     join_send_recv=lambda e: comm.match_messages(e).select("sender", "receiver", "tag", "send_ts", "recv_ts"),
-    join_request=lambda e: comm.match_requests(e.where("record = 5").withColumn("request_id", F.col("k")), e.where("record = 9").withColumn("request_id", F.col("k"))),
-    join_wait_asof=lambda e: comm.next_wait(e, F.col("record") == 58).where(is_comm(F.col("record"))).select("event_id", "ts_ns", "wait_end_ns"),
-    agg_messages=lambda e: comm.message_list(e, F.col("record") == 58),
-    sink_record=lambda e: e.select("thread_id", "event_id", (order.occurrence(["thread_id"], ["ts_ns", "event_id"]) + 1).alias("seq_no"), "record", F.when(F.col("record").isin(5, 9), F.col("request_id")).alias("request_id")),
 )
 
 
-def _lines(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.concat_ws("  ", tx.exact_seconds(F.col("ts_ns")), F.concat(F.lit("T"), F.col("thread_id").cast("string")), tx.event_text()).alias("line"))
-
-
-_add(events, sink_print_events=_lines, sink_text_dump=_lines)
-
-
-@_on(events)
-def sink_clock(e: DataFrame) -> DataFrame:
-    """Time since the archive's first event; the first is an aggregate joined back, not a window over a whole archive."""
-    first = e.groupBy("archive_id").agg(F.min("ts_ns").alias("first_ns"))
-    return e.join(first, "archive_id").select("thread_id", "event_id", (F.col("ts_ns") - F.col("first_ns")).alias("since_start_ns"))
-
-
-@_on(events)
-def src_open_trace(e: DataFrame) -> DataFrame:
-    return e.agg(F.count("*").alias("n_events"), F.countDistinct("thread_id").alias("n_threads"), F.countDistinct("archive_id").alias("n_archives"), F.min("ts_ns").alias("start_ns"), F.max("ts_ns").alias("end_ns"))
-
-
 @_on(events)
 def src_chunk_load(e: DataFrame) -> DataFrame:
     """Summaries of 1000 values of each name; indices come from positions in one order, so no name is one task's."""
@@ -140,12 +97,6 @@ def src_chunk_load(e: DataFrame) -> DataFrame:
     return c.groupBy("name", "chunk").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("n"))
 
 
-@_query
-def sink_store_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Trace.store(fx.trace_events(spark, sf_dir), f"{Scratch(spark).top}/trace", "zstd", {"name": "fixture"})
-    return t.events.groupBy("archive_id", "thread_id").agg(F.count("*").alias("n"), F.sum("msg_length").alias("bytes"))
-
-
 @_query
 def sink_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Trace.store(fx.trace_events(spark, sf_dir), f"{Scratch(spark).top}/trace", "none").recompress("gzip")
@@ -155,12 +106,10 @@ def sink_recompress(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     span_table,
     agg_sequence_stats=lambda s: spans.sequence_stats(s).select("thread_id", "name", "min_ns", "mean_ns", "max_ns", "n"),
-    agg_seq_info=spans.sequence_stats,
     agg_contention=spans.contention,
     agg_snapshot=lambda s: spans.snapshot(s, LO, HI),
     agg_snapshot_by_name=lambda s: spans.snapshot(s, LO, HI, ("name",)),
     agg_interval_profile=lambda s: spans.interval_profile(s, SLICES),
-    agg_snapshot_fast=lambda s: spans.snapshot_fast(spans.chunk_table(s.where("level > 0"), 100), LO, HI),
     join_interval_clip=lambda s: s.where((F.col("finish_ns") > LO) & (F.col("start_ns") < HI)).select("thread_id", "name", "start_ns", spans.clipped(F.col("start_ns"), F.col("finish_ns"), LO, HI).alias("clip_ns")),
     agg_duration_vectors=lambda s: s.groupBy("name").agg(F.count("*").alias("n"), F.min("duration_ns").alias("min_ns"), F.max("duration_ns").alias("max_ns"), F.expr("sum(duration_ns) div count(*)").alias("mean_ns")),
     agg_range_sum=lambda s: spans.range_sum(s, 2, 7),
@@ -168,13 +117,8 @@ _add(
     agg_seq_durations=lambda s: _indexed(s).where("level = 1").select("thread_id", "name", "idx", "duration_ns"),
     agg_seq_timestamps=lambda s: _indexed(s).where("level = 1").select("thread_id", "name", "idx", "start_ns"),
     trv_occurrence=lambda s: _indexed(s).where("idx = 2").select("thread_id", "name", "start_ns", "duration_ns"),
-    trv_callstack=lambda s: spans.callstack(s, _moments(s)),
     doc_function_table=lambda s: s.groupBy("name").agg(F.min("duration_ns").alias("min_ns"), F.expr("sum(duration_ns) div count(*)").alias("mean_ns"), F.max("duration_ns").alias("max_ns"), F.count("*").alias("n")),
     doc_duration_hist=lambda s: s.groupBy("name", F.expr("cast(least(duration_ns div 600000000000, 20) as int)").alias("bin")).agg(F.count("*").alias("n")),
-    sink_csv_bulk=bulk_rows,
-    sink_flamegraph=spans.folded_stacks,
-    proj_seq_props=lambda s: s.groupBy("thread_id", "name").agg(F.count("*").alias("n_occurrences"), F.min("start_ns").alias("first_ns"), F.sum("exclusive_ns").alias("exclusive_ns")),
-    gram_close=lambda s: s.where("level = 0").select("thread_id", "start_ns", "finish_ns"),
 )
 
 
@@ -184,29 +128,15 @@ def _indexed(s: DataFrame) -> DataFrame:
 
 _add(
     enter_leave,
-    trv_flags=lambda e: spans.with_depth(e).where("phase = 'E' and depth <= 1").select("thread_id", "seq_no", "name"),
-    trv_next_prev=lambda e: traverse.neighbours(e).select("thread_id", "seq_no", "prev_name", "next_name"),
-    trv_checkpoint=lambda e: e.where("seq_no >= 10").select("thread_id", "seq_no", "ts_ns", "phase", "name"),
     trv_call_tree_depth=lambda e: spans.with_depth(e).where("phase = 'E'").select("thread_id", "seq_no", "depth"),
     join_enter_leave=lambda e: spans.pair_blocks(e).select("thread_id", "depth", "name", "start_ns", "finish_ns"),
-    gram_durations=lambda e: spans.with_exclusive(spans.pair_blocks(e)).select("thread_id", "depth", "name", "start_ns", "duration_ns", "exclusive_ns"),
     agg_snapshot_exact=lambda e: spans.snapshot_exact(e, LO, HI),
-    sink_csv=lambda e: spans.self_segments(e).where("b > a").select(F.col("thread_id").alias("Thread"), F.col("name").alias("Function"), F.col("a").alias("Start"), F.col("b").alias("Finish"), (F.col("b") - F.col("a")).alias("Duration")),
-    sink_structure=lambda e: spans.with_depth(e).where("phase = 'E'").select("thread_id", "seq_no", F.concat(F.expr("repeat('  ', depth)"), F.col("name")).alias("line")),
-    proj_token_string=lambda e: e.select("thread_id", "seq_no", tx.token_text(F.lit("E"), F.col("seq_no"), F.when(F.col("phase") == "E", 2).otherwise(3)).alias("token")),
 )
 
 
-@_on(enter_leave)
-def join_enclosing_enter(e: DataFrame) -> DataFrame:
-    b = spans.with_parent(spans.pair_blocks(e))
-    up = b.select("thread_id", F.col("enter_seq").alias("parent_seq"), F.col("start_ns").alias("enclosing_ns"))
-    return b.where("depth = 2").join(up, ["thread_id", "parent_seq"]).select("thread_id", F.col("enter_seq").alias("seq_no"), "enclosing_ns")
-
-
 @_on(enter_leave)
 def agg_check_durations(e: DataFrame) -> DataFrame:
-    b = spans.with_exclusive(spans.pair_blocks(e))
+    b = spans.with_exclusive(e)
     bad = F.col("finish_ns").isNull() | (F.col("name") != F.col("leave_name")) | (F.col("duration_ns") != F.col("finish_ns") - F.col("start_ns")) | (F.col("exclusive_ns") < 0)
     return b.agg(F.count("*").alias("n"), F.count(F.when(bad, 1)).alias("violations"))
 
@@ -214,31 +144,15 @@ def agg_check_durations(e: DataFrame) -> DataFrame:
 _add(
     tokens,
     gram_event_dict=grammar.event_dictionary,
-    gram_sequence_dict=grammar.sequences,
     gram_runs=grammar.runs,
-    gram_loop_squash=grammar.loops,
-    proj_loop_props=grammar.loops,
-    agg_loop_info=grammar.loops,
-    gram_find_loop=lambda t: grammar.repeats(t, 2),
-    gram_find_sequence=lambda t: grammar.ngrams(t, 3).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2"),
     gram_full_induction=grammar.induce,
-    gram_config=lambda t: grammar.induce(t, 4),
     trv_sequence_content=lambda t: t.select("thread_id", "block", order.occurrence(["thread_id", "block"], ["pos"]).alias("i"), "token"),
     agg_seq_content=lambda t: t.groupBy("thread_id", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens")),
     set_bag_arithmetic=lambda t: traverse.signed_counts(*[t.where(f"thread_id % 2 = {k}").groupBy("token").agg(F.count("*").alias("n")) for k in (0, 1)], ["token"]),
-    proj_sequence_name=lambda t: _named(t, "thread", None),
-    proj_sequence_names_bulk=lambda t: _named(t, "main", 4),
     fn_murmur3=lambda t: t.groupBy("thread_id", "block").agg(murmur3_words(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.length("token").cast("long").alias("w")))), lambda x: x["w"])).alias("hash")),
 )
 
 
-def _named(t: DataFrame, thread: str, most: int | None) -> DataFrame:
-    """Names of blocks by their first token: calls by themselves (if short enough), thread starts, else a number."""
-    g = t.groupBy("thread_id", "block").agg(F.min_by("token", "pos").alias("first"), F.count("*").alias("n"))
-    call = F.col("first").isin("click", "view") & (F.lit(True) if most is None else F.col("n") <= most)
-    return g.select("thread_id", "block", F.when(call, F.col("first")).when(F.col("first") == "error", thread).otherwise(F.concat(F.lit("Sequence_"), F.col("block").cast("string"))).alias("name"))
-
-
 @_on(tokens)
 def trv_loop_duration(t: DataFrame) -> DataFrame:
     a = F.row_number().over(Window.partitionBy("thread_id").orderBy("pos"))
@@ -259,13 +173,6 @@ def _edges(t: DataFrame, times: bool) -> DataFrame:
 _add(tokens, flt_contains=lambda t: traverse.closure(_edges(t, False)), trv_token_counts=lambda t: traverse.token_counts(_edges(t, True)))
 
 
-@_on(tokens)
-def join_grammar_align(t: DataFrame) -> DataFrame:
-    """Equal day sequences across threads: how many, in how many threads."""
-    g = t.groupBy("thread_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), ",").alias("content"))
-    return g.groupBy("content").agg(F.count("*").alias("n"), F.countDistinct("thread_id").alias("n_threads"))
-
-
 @_on(tokens)
 def gram_sync(t: DataFrame) -> DataFrame:
     """Shared ids of tokens, day sequences and whole threads, by content from the leaves up."""
@@ -280,7 +187,6 @@ _add(
     fx.definitions,
     src_strings=lambda d: d.where("scope = 'global'").select("ref", "str"),
     join_string_unify=traverse.unified,
-    sink_register_defs=lambda d: check_unique(d.unionByName(d.where("ref < 5")), ["scope", "ref"]),
 )
 
 
@@ -309,15 +215,6 @@ def join_location_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.parents(groups.unionByName(places.withColumn("id", F.col("id") + 10000)))
 
 
-@_query
-def agg_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups, places = fx.locations(spark, sf_dir)
-    d = fx.definitions(spark, sf_dir).select(F.lit("string").alias("kind"), "scope", F.col("ref").alias("id"), F.col("str").alias("name"))
-    for kind, t in (("location_group", groups), ("location", places)):
-        d = d.unionByName(t.select(F.lit(kind).alias("kind"), F.lit("global").alias("scope"), "id", "name"))
-    return d
-
-
 @_query
 def join_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.trace_events(spark, sf_dir).select("event_id", (F.col("event_id") % 3000).alias("ref"))
@@ -339,34 +236,9 @@ def _attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     _attributes,
     proj_attributes=lambda a: a.select("event_id", F.element_at("attributes", "k").cast("int").alias("k"), F.element_at("attributes", "type").alias("event_type")),
-    proj_attribute_print=lambda a: a.select("event_id", tx.attribute_text(F.col("attributes")).alias("text")),
-)
-
-
-def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as recorder calls, among them some that record nothing."""
-    e = fx.trace_events(spark, sf_dir)
-    call = F.when(F.col("record") == 4, "MpiSend").when(F.col("record") == 5, "MpiIsend").when(F.col("record") == 8, "MpiRecv").when(F.col("record") == 9, "MpiIrecv").when(F.col("k") < 50, "Generic").otherwise("Metric")
-    return e.withColumn("call", call).drop("record").withColumnRenamed("event_id", "call_no")
-
-
-_add(
-    _calls,
-    sink_call_adapter=lambda c: events_from_calls(c).select("archive_id", "thread_id", "seq_no", "ts_ns", "record", "peer", "msg_length"),
-    sink_call_print=lambda c: events_from_calls(c).select("thread_id", "seq_no", tx.event_text(full=True).alias("text")),
 )
 
 
-@_query
-def sink_definition_loader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Definition calls by the dictionary that they fill."""
-    groups, places = fx.locations(spark, sf_dir)
-    calls = fx.definitions(spark, sf_dir).select(F.lit("WriteString").alias("call"), F.col("ref").alias("id"))
-    for call, t in (("WriteLocationGroup", groups), ("WriteLocation", places)):
-        calls = calls.unionByName(t.select(F.lit(call).alias("call"), "id"))
-    return calls.groupBy(dictionary_of(F.col("call")).alias("dictionary")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("refs"))
-
-
 @_query
 def src_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters as read from a file over the defaults."""
@@ -379,7 +251,8 @@ def stream_comm_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live traffic windows over a stored trace, run to its end."""
     from ..streaming.live import live_traffic
 
-    return _drained(spark, fx.trace_events(spark, sf_dir).select("record", "ts_ns", "msg_length"), live_traffic, "complete")
+    got = _drained(spark, fx.trace_events(spark, sf_dir).select("record", "ts_ns", "msg_length"), live_traffic, "complete")
+    return got.select((F.unix_micros("start") * 1000).alias("start_ns"), "bytes", "messages")
 
 
 @_query
@@ -403,3 +276,9 @@ def _drained(spark: SparkSession, rows: DataFrame, plan: Callable[[DataFrame], D
     q.awaitTermination()
     return spark.read.parquet(*(out[-1:] if mode == "complete" else out))
 
+
+program.add_tokens(tokens)
+QUERIES.update(program.QUERIES)
+
+#: The same queries in DuckDB's SQL.
+SQL: dict[str, str] = {**ORACLE, **program_sql.SQL}

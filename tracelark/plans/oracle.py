@@ -92,7 +92,6 @@ ORACLE: dict[str, str] = {
     "flt_time_range": q(T, f"{_COLS} WHERE ts_ns BETWEEN {LO} AND {HI}"),
     "flt_seek": q(T, f"SELECT thread_id, m.t_ns, CAST(coalesce(max(CASE WHEN ts_ns <= m.t_ns THEN idx END), 0) AS BIGINT) AS idx FROM (SELECT thread_id, ts_ns, row_number() OVER (PARTITION BY thread_id ORDER BY ts_ns, event_id) - 1 AS idx FROM t) CROSS JOIN (SELECT {LO} AS t_ns UNION ALL SELECT {HI}) m GROUP BY 1, 2"),
     "flt_contains": q(f"{K}, {EDGES_SQL}, cl AS (SELECT parent AS ancestor, child AS descendant FROM edges UNION SELECT cl.ancestor, e.child FROM cl JOIN edges e ON cl.descendant = e.parent)", "SELECT ancestor, descendant FROM cl"),
-    "flt_valid": q(T, "SELECT event_id, record <> 0 AS is_valid, record IN (4, 5) AS has_peer FROM t"),
     "src_archive": q(T, f"{_COLS} WHERE archive_id = 5"),
     "src_thread": q(T, f"{_COLS} WHERE thread_id = 11"),
     "src_thread_list": q(T, "SELECT DISTINCT archive_id, thread_id FROM t"),
@@ -103,15 +102,9 @@ ORACLE: dict[str, str] = {
     "src_strings": q(DEFS, "SELECT ref, str FROM defs WHERE scope = 'global'"),
     "src_regions": "SELECT p.p_partkey AS region_ref, p.p_name AS name FROM part p",
     "src_metadata": "SELECT 'region ' || r_regionkey AS key, r_name AS value FROM region",
-    "src_open_trace": q(T, "SELECT count(*) AS n_events, count(DISTINCT thread_id) AS n_threads, count(DISTINCT archive_id) AS n_archives, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns FROM t"),
-    "src_vector": q(T, "SELECT thread_id, name, list(ts_ns ORDER BY ts_ns) AS timestamps FROM t GROUP BY 1, 2"),
     "src_chunk_load": q(T, "SELECT name, idx // 1000 AS chunk, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, count(*) AS n FROM (SELECT name, ts_ns, row_number() OVER (PARTITION BY name ORDER BY ts_ns, event_id) - 1 AS idx FROM t) GROUP BY 1, 2"),
-    "src_callbacks": q(T, "SELECT CASE record WHEN 4 THEN 'MPI_SEND' WHEN 5 THEN 'MPI_ISEND' WHEN 8 THEN 'MPI_RECV' WHEN 9 THEN 'MPI_IRECV' ELSE 'GENERIC' END AS callback, count(*) AS n FROM t GROUP BY 1"),
     "trv_trace_events": q(T, "SELECT row_number() OVER (ORDER BY ts_ns, archive_id, thread_id, event_id) - 1 AS global_pos, thread_id, ts_ns, event_id FROM t"),
     "trv_thread_events": q(T, "SELECT thread_id, event_id, ts_ns, row_number() OVER (PARTITION BY thread_id ORDER BY ts_ns, event_id) - 1 AS pos, row_number() OVER (PARTITION BY thread_id, name ORDER BY ts_ns, event_id) - 1 AS occurrence_idx FROM t"),
-    "trv_flags": q(EL, "SELECT thread_id, seq_no, name FROM el WHERE phase = 'E' AND level <= 1"),
-    "trv_next_prev": q(EL, "SELECT thread_id, seq_no, lag(name) OVER w AS prev_name, lead(name) OVER w AS next_name FROM el WINDOW w AS (PARTITION BY thread_id ORDER BY seq_no)"),
-    "trv_checkpoint": q(EL, "SELECT thread_id, seq_no, ts_ns, phase, name FROM el WHERE seq_no >= 10"),
     "trv_callstack": q(S, f"SELECT thread_id, m.t_ns, CAST(level AS INTEGER) AS depth, name FROM s JOIN (SELECT {LO} AS t_ns UNION ALL SELECT {HI}) m ON start_ns <= m.t_ns AND m.t_ns < finish_ns"),
     "trv_sequence_content": q(K, f"SELECT thread_id, ts_ns // {DAY_NS} AS block, row_number() OVER (PARTITION BY thread_id, ts_ns // {DAY_NS} ORDER BY pos) - 1 AS i, token FROM tok"),
     "trv_occurrence": q(S, f"SELECT thread_id, name, start_ns, duration_ns FROM (SELECT *, {IDX} FROM s) WHERE idx = 2"),
@@ -120,17 +113,12 @@ ORACLE: dict[str, str] = {
     "trv_event_count": q(T, "SELECT thread_id, count(*) AS n FROM t GROUP BY 1"),
     "trv_call_tree_depth": q(EL, "SELECT thread_id, seq_no, CAST(level AS INTEGER) AS depth FROM el WHERE phase = 'E'"),
     "join_enter_leave": q(S, _BLOCKS),
-    "join_enclosing_enter": q(EL, "SELECT c.thread_id, c.seq_no, p.ts_ns AS enclosing_ns FROM el c ASOF JOIN (SELECT thread_id, seq_no, ts_ns FROM el WHERE phase = 'E' AND level = 1) p ON c.thread_id = p.thread_id AND c.seq_no > p.seq_no WHERE c.phase = 'E' AND c.level = 2"),
     "gram_durations": q(S, "SELECT thread_id, CAST(level AS INTEGER) AS depth, name, start_ns, duration_ns, exclusive_ns FROM s"),
-    "gram_close": q(S, "SELECT thread_id, start_ns, finish_ns FROM s WHERE level = 0"),
     "agg_check_durations": q(S, "SELECT count(*) AS n, CAST(0 AS BIGINT) AS violations FROM s"),
     "agg_sequence_stats": q(S, f"SELECT thread_id, name, min_ns, mean_ns, max_ns, n FROM ({_STATS})"),
-    "agg_seq_info": q(S, _STATS),
     "agg_contention": q(S, f"SELECT x.thread_id, name, n, CASE WHEN n * (mean_ns - min_ns) > d THEN CAST(-1 AS DOUBLE) WHEN d = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST(n * (mean_ns - min_ns) AS DOUBLE) / d, 6) END AS contention FROM ({_STATS}) x JOIN (SELECT thread_id, max(finish_ns) - min(start_ns) AS d FROM s GROUP BY 1) w ON x.thread_id = w.thread_id"),
-    "agg_thread_summary": q(T, "SELECT archive_id, thread_id, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, max(ts_ns) - min(ts_ns) AS duration_ns, count(*) AS n_events, count(DISTINCT name) AS n_definitions FROM t GROUP BY 1, 2"),
     "agg_archive_summary": q(T, "SELECT archive_id, count(DISTINCT thread_id) AS n_threads, count(*) AS n_events FROM t GROUP BY 1"),
     "agg_event_info": q(T, "SELECT thread_id, record, name, count(*) AS n, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns FROM t GROUP BY 1, 2, 3"),
-    "agg_definitions": q(f"{DEFS}, {LOCS}", "SELECT 'string' AS kind, scope, ref AS id, str AS name FROM defs UNION ALL SELECT 'location_group', 'global', id, name FROM g UNION ALL SELECT 'location', 'global', id, name FROM l"),
     "agg_seq_durations": q(S, f"SELECT thread_id, name, idx, duration_ns FROM (SELECT *, {IDX} FROM s) WHERE level = 1"),
     "agg_seq_timestamps": q(S, f"SELECT thread_id, name, idx, start_ns FROM (SELECT *, {IDX} FROM s) WHERE level = 1"),
     "agg_seq_content": q(K, f"SELECT thread_id, ts_ns // {DAY_NS} AS block, list(token ORDER BY pos) AS tokens FROM tok GROUP BY 1, 2"),
@@ -144,56 +132,27 @@ ORACLE: dict[str, str] = {
   SELECT e.thread_id, e.ts_ns AS a, e.b, CASE WHEN e.phase = 'E' THEN e.name WHEN e.level = 2 THEN 'day' END AS name
   FROM (SELECT *, lead(ts_ns) OVER (PARTITION BY thread_id ORDER BY seq_no) AS b FROM el) e
   WHERE (e.phase = 'E' AND e.level > 0) OR (e.phase = 'L' AND e.level = 2)) WHERE b > {LO} AND a < {HI} GROUP BY 1, 2"""),
-    "agg_snapshot_fast": q(S, f"SELECT thread_id, name, CAST(sum(CAST(round(CASE WHEN l = f THEN CAST(1 AS DOUBLE) ELSE CAST(least(l, {HI}) - greatest(f, {LO}) AS DOUBLE) / (l - f) END * e) AS BIGINT)) AS BIGINT) AS ns FROM (SELECT thread_id, name, idx // 100 AS c, min(start_ns) AS f, max(finish_ns) AS l, CAST(sum(exclusive_ns) AS BIGINT) AS e FROM (SELECT *, {IDX} FROM s WHERE level > 0) GROUP BY 1, 2, 3) WHERE l >= {LO} AND f <= {HI} GROUP BY 1, 2"),
     "agg_duration_vectors": q(S, "SELECT name, count(*) AS n, min(duration_ns) AS min_ns, max(duration_ns) AS max_ns, CAST(sum(duration_ns) // count(*) AS BIGINT) AS mean_ns FROM s GROUP BY 1"),
     "agg_range_sum": q(S, f"SELECT thread_id, name, CAST(sum(duration_ns) AS BIGINT) AS ns, count(*) AS n FROM (SELECT *, {IDX} FROM s) WHERE idx >= 2 AND idx < 7 GROUP BY 1, 2"),
     "quantize_durations": q(S, f"""SELECT thread_id, name, idx, duration_ns, code, CASE WHEN width = 0 THEN lo ELSE lo + CAST((CAST(code AS HUGEINT) * width) // 255 AS BIGINT) END AS quantised_ns FROM (
   SELECT *, CASE WHEN width = 0 THEN 0 ELSE CAST((CAST(duration_ns - lo AS HUGEINT) * 255) // width AS BIGINT) END AS code FROM (
     SELECT thread_id, name, idx, duration_ns, min(duration_ns) OVER c AS lo, max(duration_ns) OVER c - min(duration_ns) OVER c AS width FROM (SELECT *, {IDX} FROM s) WINDOW c AS (PARTITION BY thread_id, name, idx // 1000)))"""),
-    "enc_masking": q(T, "SELECT archive_id, CASE WHEN max(msg_length) < 256 THEN 1 WHEN max(msg_length) < 65536 THEN 2 WHEN max(msg_length) < 4294967296 THEN 4 ELSE 8 END AS width FROM t GROUP BY 1"),
     "sink_csv": q(EL, """SELECT thread_id AS "Thread", name AS "Function", a AS "Start", b AS "Finish", b - a AS "Duration" FROM (
   SELECT e.thread_id, e.ts_ns AS a, e.b, CASE WHEN e.phase = 'E' THEN e.name WHEN e.level = 2 THEN 'day' ELSE 'main' END AS name, e.phase, e.level
   FROM (SELECT *, lead(ts_ns) OVER (PARTITION BY thread_id ORDER BY seq_no) AS b FROM el) e) WHERE b > a"""),
     "sink_csv_bulk": q(S, 'SELECT thread_id AS "Thread", name AS "Function", start_ns AS "Start", finish_ns AS "Finish", duration_ns AS "Duration" FROM s WHERE level > 0'),
-    "sink_flamegraph": q(S, "SELECT CASE level WHEN 0 THEN 'main' WHEN 1 THEN 'main;day' ELSE 'main;day;' || name END AS stack, CAST(sum(exclusive_ns) AS BIGINT) AS self_ns FROM s GROUP BY 1"),
-    "sink_structure": q(EL, "SELECT thread_id, seq_no, repeat('  ', level) || name AS line FROM el WHERE phase = 'E'"),
-    "sink_print_events": q(T, f"SELECT event_id, (ts_ns // 1000000000) || '.' || lpad(CAST(ts_ns % 1000000000 AS VARCHAR), 9, '0') || '  T' || thread_id || '  ' || {EVENT_TEXT} AS line FROM t"),
-    "sink_store_trace": q(T, "SELECT archive_id, thread_id, count(*) AS n, CAST(sum(msg_length) AS BIGINT) AS bytes FROM t GROUP BY 1, 2"),
     "sink_recompress": q(T, "SELECT record, count(*) AS n, CAST(sum(ts_ns % 1000003) AS BIGINT) AS check_sum FROM t GROUP BY 1"),
-    "sink_register_defs": q(DEFS, "SELECT scope, ref, count(*) AS n FROM (SELECT * FROM defs UNION ALL SELECT * FROM defs WHERE ref < 5) GROUP BY 1, 2 HAVING count(*) > 1"),
-    "sink_record": q(T, "SELECT thread_id, event_id, row_number() OVER (PARTITION BY thread_id ORDER BY ts_ns, event_id) AS seq_no, record, CASE WHEN record IN (5, 9) THEN request_id END AS request_id FROM t"),
-    "sink_clock": q(T, "SELECT thread_id, event_id, ts_ns - min(ts_ns) OVER (PARTITION BY archive_id) AS since_start_ns FROM t"),
-    "proj_event_data": q(T, "SELECT event_id, CASE WHEN record <> 58 THEN peer END AS peer, CASE WHEN record <> 58 THEN tag END AS tag, CASE WHEN record <> 58 THEN msg_length END AS msg_length, CASE WHEN record IN (5, 9) THEN request_id END AS request_id, CASE WHEN record = 58 THEN name END AS event_name FROM t"),
-    "proj_event_name": q(T, f"SELECT event_id, {EVENT_TEXT} AS text FROM t"),
     "proj_event_props": q(T, "SELECT thread_id, name, record, count(*) AS nb_occurrences FROM t GROUP BY 1, 2, 3"),
     "proj_region_name": q(f"{T}, {DEFS}", "SELECT event_id, coalesce(d.str, 'INVALID_REGION') AS region FROM t LEFT JOIN (SELECT * FROM defs WHERE scope = 'global') d ON d.ref = t.event_id % 3000"),
-    "proj_token_string": q(EL, "SELECT thread_id, seq_no, 'E' || seq_no || phase AS token FROM el"),
-    "proj_sequence_name": q(K, f"SELECT thread_id, ts_ns // {DAY_NS} AS block, CASE WHEN arg_min(token, pos) IN ('click', 'view') THEN arg_min(token, pos) WHEN arg_min(token, pos) = 'error' THEN 'thread' ELSE 'Sequence_' || (ts_ns // {DAY_NS}) END AS name FROM tok GROUP BY 1, 2"),
-    "proj_sequence_names_bulk": q(K, f"SELECT thread_id, ts_ns // {DAY_NS} AS block, CASE WHEN arg_min(token, pos) IN ('click', 'view') AND count(*) <= 4 THEN arg_min(token, pos) WHEN arg_min(token, pos) = 'error' THEN 'main' ELSE 'Sequence_' || (ts_ns // {DAY_NS}) END AS name FROM tok GROUP BY 1, 2"),
     "proj_attributes": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type FROM events",
-    "proj_attribute_print": "SELECT event_id, '{k: ' || json_extract_string(props, '$.k') || ', type: ' || event_type || '}' AS text FROM events",
-    "proj_seq_props": q(S, "SELECT thread_id, name, count(*) AS n_occurrences, min(start_ns) AS first_ns, CAST(sum(exclusive_ns) AS BIGINT) AS exclusive_ns FROM s GROUP BY 1, 2"),
     "proj_thread_props": q(T, "SELECT thread_id, min(ts_ns) AS first_ns, max(ts_ns) AS finish_ns FROM t GROUP BY 1"),
     "proj_ns2s": q(T, "SELECT event_id, CAST(ts_ns AS DOUBLE) / 1e9 AS seconds FROM t"),
     "join_send_recv": q(f"{T}, {PAIRS}", "SELECT sender, receiver, tag, send_ts, recv_ts FROM m"),
-    "join_request": q(T, "SELECT a.archive_id, a.request_id, a.ts_ns AS issue_ts, b.ts_ns AS completion_ts FROM (SELECT archive_id, k AS request_id, ts_ns, row_number() OVER (PARTITION BY archive_id, k ORDER BY ts_ns, event_id) AS rn FROM t WHERE record = 5) a JOIN (SELECT archive_id, k AS request_id, ts_ns, row_number() OVER (PARTITION BY archive_id, k ORDER BY ts_ns, event_id) AS rn FROM t WHERE record = 9) b ON a.archive_id = b.archive_id AND a.request_id = b.request_id AND a.rn = b.rn"),
-    "join_wait_asof": q(f"{T}, {WAIT}", "SELECT w.event_id, w.ts_ns, w.wait_end_ns FROM w JOIN t ON w.event_id = t.event_id WHERE t.record IN (4, 5, 8, 9)"),
-    "agg_messages": q(f"{T}, {PAIRS}, {WAIT}", "SELECT m.sender, m.receiver, m.tag, m.msg_length, m.send_ts AS isend_ts, m.send_ts AS start_swait_ts, a.wait_end_ns AS end_swait_ts, m.recv_ts AS irecv_ts, m.recv_ts AS start_rwait_ts, b.wait_end_ns AS end_rwait_ts FROM m JOIN w a ON a.event_id = m.send_id JOIN w b ON b.event_id = m.recv_id WHERE a.wait_end_ns IS NOT NULL AND b.wait_end_ns IS NOT NULL"),
     "join_dictionary": q(f"{T}, {DEFS}", "SELECT event_id, coalesce(lo.str, gl.str) AS str FROM t LEFT JOIN (SELECT * FROM defs WHERE scope = 'local') lo ON lo.ref = t.event_id % 3000 LEFT JOIN (SELECT * FROM defs WHERE scope = 'global') gl ON gl.ref = t.event_id % 3000"),
     "join_location_parent": q(f"{LOCS}, p AS (SELECT id, 0 AS depth, name AS path FROM g WHERE parent IS NULL UNION ALL SELECT x.id, depth + 1, path || '/' || x.name FROM (SELECT * FROM g UNION ALL SELECT id + 10000, name, parent FROM l) x JOIN p ON x.parent = p.id)", "SELECT id, CAST(depth AS INTEGER) AS depth, path FROM p"),
     "join_string_unify": q(DEFS, "SELECT scope, ref, dense_rank() OVER (ORDER BY str) - 1 AS new_ref, str FROM defs"),
-    "join_grammar_align": q(f"{K}, b AS (SELECT thread_id, ts_ns // {DAY_NS} AS block, string_agg(token, ',' ORDER BY pos) AS c FROM tok GROUP BY 1, 2)", "SELECT c AS content, count(*) AS n, count(DISTINCT thread_id) AS n_threads FROM b GROUP BY 1"),
     "gram_event_dict": q(K, "SELECT thread_id, token, row_number() OVER (PARTITION BY thread_id ORDER BY p) - 1 AS id, n FROM (SELECT thread_id, token, min(pos) AS p, count(*) AS n FROM tok GROUP BY 1, 2)"),
-    "gram_sequence_dict": q(K, f"SELECT tokens, count(*) AS n FROM (SELECT thread_id, ts_ns // {DAY_NS}, list(token ORDER BY pos) AS tokens FROM tok GROUP BY 1, 2) GROUP BY 1"),
     "gram_runs": q(K, "SELECT thread_id, token, min(pos) AS start_pos, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY pos) - row_number() OVER (PARTITION BY thread_id, token ORDER BY pos) AS island FROM tok) GROUP BY thread_id, token, island"),
-    "gram_loop_squash": q(K, "SELECT thread_id, token, n AS nb_iterations, count(*) AS nb_occurrences FROM (SELECT thread_id, token, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY pos) - row_number() OVER (PARTITION BY thread_id, token ORDER BY pos) AS island FROM tok) GROUP BY thread_id, token, island HAVING count(*) >= 2) GROUP BY 1, 2, 3"),
-    "gram_find_loop": q(K, "SELECT thread_id, pos FROM (SELECT thread_id, pos, token, lead(token) OVER w AS b, lead(token, 2) OVER w AS c, lead(token, 3) OVER w AS d FROM tok WINDOW w AS (PARTITION BY thread_id ORDER BY pos)) WHERE token = c AND b = d"),
-    "gram_find_sequence": q(K, "SELECT gram, count(*) AS n FROM (SELECT [token, lead(token) OVER w, lead(token, 2) OVER w] AS gram, lead(token, 2) OVER w AS last FROM tok WINDOW w AS (PARTITION BY thread_id ORDER BY pos)) WHERE last IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"),
-    "sink_call_adapter": q(T, "SELECT archive_id, thread_id, row_number() OVER (PARTITION BY archive_id, thread_id ORDER BY ts_ns, event_id) AS seq_no, ts_ns, record, peer, msg_length FROM t WHERE record <> 58 OR k < 50"),
-    "sink_call_print": q(T, f"SELECT thread_id, row_number() OVER (PARTITION BY archive_id, thread_id ORDER BY ts_ns, event_id) AS seq_no, {EVENT_TEXT} AS text FROM t WHERE record <> 58 OR k < 50"),
-    "sink_definition_loader": q(f"{DEFS}, {LOCS}", "SELECT 'strings' AS dictionary, count(*) AS n, count(DISTINCT ref) AS refs FROM defs UNION ALL SELECT 'location_groups', count(*), count(DISTINCT id) FROM g UNION ALL SELECT 'locations', count(*), count(DISTINCT id) FROM l"),
     "src_config": "SELECT * FROM (VALUES ('compression', 'zstd'), ('encoding', 'none'), ('loopFinding', 'truncated'), ('maxLoopLength', '50'), ('timestampStorage', 'delta'), ('zstdCompressionLevel', '3')) v(key, value)",
     "set_bag_arithmetic": q(K, "SELECT token, CAST(sum(CASE WHEN thread_id % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS n FROM tok GROUP BY 1 HAVING sum(CASE WHEN thread_id % 2 = 0 THEN 1 ELSE -1 END) <> 0"),
 }
-for _same, _as in {"proj_loop_props": "gram_loop_squash", "agg_loop_info": "gram_loop_squash", "sink_text_dump": "sink_print_events"}.items():
-    ORACLE[_same] = ORACLE[_as]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,7 +39,9 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED or (sc.master.startswith("local") and any(p and Path(p).resolve() == root for p in on_path)):
         return
     _SHIPPED.add(sc.applicationId)
-    target = Path(tempfile.mkdtemp(prefix="tracelark-py-")) / "tracelark.zip"
+    folder = tempfile.mkdtemp(prefix="tracelark-py-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "tracelark.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted((root / "tracelark").rglob("*.py")):
             z.write(f, f.relative_to(root))

@@ -49,3 +49,25 @@ def events_from_calls(calls: DataFrame, tie: str = "call_no") -> DataFrame:
 
 def dictionary_of(call: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in DEFINITIONS.items() for x in kv]), call)
+
+
+def call_of(record: Column) -> Column:
+    """The recorder call that makes a record; null where there is none."""
+    return F.element_at(F.create_map(*[F.lit(x) for name, rec in CALLS.items() for x in (RECORDS[rec], name)]), record)
+
+
+def dictionaries_from_calls(calls: DataFrame) -> dict[str, DataFrame]:
+    """The dictionary tables (scope, id, name, parent, members) that definition calls fill; calls that define nothing go.
+
+    A definition that repeats with the same content counts once.
+    """
+    known = calls.withColumn("dictionary", dictionary_of(F.col("call"))).where("dictionary is not null")
+    fields = [c for c in ("scope", "id", "name", "parent", "members") if c in known.columns]
+    return {d: known.where(F.col("dictionary") == d).select(*fields).distinct() for d in DEFINITIONS.values()}
+
+
+def with_times(events: DataFrame, order: str) -> DataFrame:
+    """events whose missing ts_ns is that of the thread's event before; what comes before any known time gets the first known one."""
+    w = Window.partitionBy("thread_id").orderBy(order)
+    before = F.last("ts_ns", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("ts_ns", F.coalesce(before, F.min("ts_ns").over(Window.partitionBy("thread_id"))))
