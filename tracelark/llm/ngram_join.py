@@ -3,19 +3,20 @@
 Sets are sorted arrays of 64-bit shingle hashes. Two documents link when 100 * |A and B| >= percent * |A or B|.
 
 1. Equal sets are one node, so copies are never paired. A node has a size band (powers of 100 / percent: sets that may link
-   stand in the same band or in neighbouring ones) and a hashed bitmap whose width follows its size.
+   stand in the same band or in neighbouring ones) and hashed bitmaps whose widths follow its size, a small and a full one.
 2. Prefix filter: in one total order of shingles (by hash, those that a first look finds often last) two sets that link
    share one of their first n - ceil(percent * n / 100) + 1 shingles. These are the keys of tiles. Any order finds the same
-   links, so what the first look sees only bears on speed.
+   links, so what the first look sees only bears on speed. Keys that it did not see often meet in one shuffle; those that it
+   did are summed before they shuffle and are joined back, so that a key of a third of all rows can be split.
 3. Round one pairs each member of a tile with the tile's smallest and largest node: a number of pairs that is linear in the
    tile. Sizes, then the bitmaps' bit counts bound the overlap from above; what remains is decided exactly on sorted arrays
    made from the texts. Links give components. A second such round pairs members outside a tile's largest component with
    members of it, another one by each of ``PIVOTS`` classes of keys.
 4. The last round takes the tiles that still hold several components. Tiles with the same largest component become one, in
    which a node stands once however many keys it shares; large ones are cut by size band and into chunks. Members outside
-   the largest component visit all chunks of their own and the neighbouring bands, members of it stay in their own: pairs
-   within one component need no look, all others get one, by bitmaps first. What passes is decided exactly, and components
-   are closed.
+   the largest component are cut into chunks as well, and visit all chunks of their own and the neighbouring bands: a task's
+   unit is one chunk of members and one of visitors. Pairs within one component need no look, all others get one, by bitmaps
+   first. What passes is decided exactly, and components are closed.
 
 5. Links are counted, for the query only: each component is cut by size band and into chunks, each pair of chunks of the same or
    neighbouring bands meets once, and one matrix product gives all overlaps exactly. Only counts a node leave this step.
@@ -23,9 +24,12 @@ Sets are sorted arrays of 64-bit shingle hashes. Two documents link when 100 * |
 No tile is collected whole, no pair within a component is emitted, and every step after the postings works on tables in
 the shared folder.
 
+A pair is verified on whole texts: the text of one side is sent once to each block of at most ``HUB`` pairs that it stands in.
+
 Defined cases: fewer words than `width` give the whole sequence as one shingle; texts without words, null texts and null
 ids have no set and link with nothing (their component is their own id); rows that repeat a doc_id each contribute their
-set; an empty table gives an empty result; other columns are not read.
+set; very long texts are one set like any other, compared whole; an empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, hash_words, texts
@@ -43,7 +47,9 @@ from .components import connected_components
 
 CACHE = 400_000
 SEND_ROWS = 500_000  # so many ids (8 bytes each) may be sent to every executor
-CHUNK = 1024  # members of a tile that one chunk holds
+FULL = 4  # bits an element of the full bitmaps
+CHUNK = 1024  # members of a tile, or visitors, that one chunk holds
+HUB = 2048  # pairs with one node that are verified together
 LINK_NODES, LINK_SHINGLES = 512, 1_000_000  # a chunk of a component whose links are counted holds about so much
 PIVOTS = 16
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -97,9 +103,13 @@ def band_of(n: int, percent: int) -> int:
     return int(math.floor(math.log(n) / math.log(100 / percent) + 1e-9))
 
 
-def bitmap(x: np.ndarray) -> bytes:
-    """Bits of the hashed elements; the width is a power of two from four times the size up."""
-    width = max(64, 1 << int(4 * len(x) - 1).bit_length())
+def bitmap(x: np.ndarray, bits_each: int = 1) -> bytes:
+    """Bits of the hashed elements; the width is a power of two from bits_each times the size up.
+
+    One bit an element rules out unrelated sets: of the elements that the other lacks over a third fall on bits that it has
+    not set. Four rule out most sets that are alike but do not link.
+    """
+    width = max(64, 1 << (bits_each * len(x) - 1).bit_length())
     bits = np.zeros(width, dtype=np.uint8)
     bits[(x >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -127,7 +137,7 @@ def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 class NgramJoin:
     def __init__(self, docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", common: int = 100_000, look: int = 8):
-        self.src = texts(docs, id_col, text_col)
+        self.src = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("raw"))
         self.percent, self.width, self.common, self.look = percent, width, common, look
         self.spark = docs.sparkSession
         self.scratch = Scratch(self.spark)
@@ -160,7 +170,7 @@ class NgramJoin:
         return got.column("s").to_numpy()[::-1].copy().view(np.uint64)
 
     def cards(self, often: np.ndarray) -> DataFrame:
-        """(doc_id, node, n, sig, keys) of every row: keys is the prefix of the set, told once a task for equal sets."""
+        """(doc_id, text_hash, node, n, small, sig, rare, keys) of every row: rare and keys are the prefix of the set, `keys` what is in `often`; told with the bitmaps, small and full, once a task for equal sets."""
         width, percent = self.width, self.percent
         order = np.argsort(often)
         shared = self.spark.sparkContext.broadcast((often[order], order))  # at most `common` entries
@@ -169,44 +179,53 @@ class NgramJoin:
             late_keys, ranks = shared.value
             find, told = Shingler(width), set()
 
-            def prefix(x: np.ndarray) -> np.ndarray:
+            def prefix(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 p = prefix_size(len(x), percent)
                 if not len(late_keys):
-                    return x[:p]
+                    return x[:p], x[:0]
                 at = np.minimum(np.searchsorted(late_keys, x), len(late_keys) - 1)
                 late = late_keys[at] == x
                 first = x[~late][:p]
-                if len(first) < p:
-                    rest = x[late][np.argsort(ranks[at[late]])]
-                    first = np.concatenate([first, rest[: p - len(first)]])
-                return first
+                return first, x[late][np.argsort(ranks[at[late]])][: p - len(first)]
 
             for b in batches:
                 out = []
                 for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     x = find.of(raw)
                     if not len(x):
-                        out.append((None, 0, None, None))
+                        out.append((None, 0, *[None] * 4))
+                        continue
+                    node = node_of(x)
+                    if i is None or node in told:
+                        out.append((node, len(x), *[None] * 4))
                         continue
-                    node, first = node_of(x), prefix(x)
-                    fresh = i is not None and node not in told
-                    if fresh:
-                        if len(told) > 500_000:
-                            told.clear()
-                        told.add(node)
-                    out.append((node, len(x), bitmap(x), first.view(np.int64) if fresh else None))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))],
-                    names=["doc_id", "node", "n", "sig", "keys"],
-                )
-
-        return self.src.mapInArrow(run, "doc_id long, node long, n long, sig binary, keys array<long>")
+                    if len(told) > 500_000:
+                        told.clear()
+                    told.add(node)
+                    rare, keys = prefix(x)
+                    out.append((node, len(x), bitmap(x), bitmap(x, FULL), rare.view(np.int64), keys.view(np.int64)))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["doc_id", "text_hash", "node", "n", "small", "sig", "rare", "keys"])
+
+        return self.src.mapInArrow(run, "doc_id long, text_hash long, node long, n long, small binary, sig binary, rare array<long>, keys array<long>")
+
+    def tiles(self, cards: DataFrame) -> DataFrame:
+        """(key, node, low, high, size), written: the members of each key that several nodes hold, with its smallest and largest node."""
+        s = self.scratch
+        rare = cards.where("rare is not null").select(F.explode("rare").alias("key"), "node")
+        w = Window.partitionBy("key")  # of keys that the first look did not see often
+        few = rare.select("key", "node", F.min("node").over(w).alias("low"), F.max("node").over(w).alias("high"), F.count("*").over(w).alias("size")).where("low <> high")
+        often = cards.where("keys is not null").select(F.explode("keys").alias("key"), "node")
+        ends = s.table(often.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high"))
+        out = s.table(few.unionByName(often.join(ends, "key").select("key", "node", "low", "high", "size")))
+        s.drop(ends)
+        return out
 
     def bounded(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs (u, v) that sizes and bitmaps leave."""
         percent = self.percent
-        a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
-        b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
+        a = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("small").alias("su"))
+        b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("small").alias("sv"))
         near = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
         both = pairs.join(a, "u").join(b, "v").where(near).select("u", "v", "nu", "nv", "su", "sv")
 
@@ -231,36 +250,46 @@ class NgramJoin:
                 keep = [node_of(find.of(raw)) == node for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        return self.scratch.table(own.mapInArrow(same, "node long, raw binary").dropDuplicates(["node"]))
+        got = self.scratch.table(own.mapInArrow(same, "node long, raw binary").dropDuplicates(["node"]))
+        self.scratch.drop(reps)
+        return got
 
     def exact(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Pairs (u, v), u > v, of a written table that link."""
-        width, percent = self.width, self.percent
+        """Pairs (u, v), u > v, of a written table that link; written. The text of v comes before its pairs in each block."""
+        width, percent, s = self.width, self.percent, self.scratch
         asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         held = self.texts_of(asked, nodes)
-        a = held.select(F.col("node").alias("u"), F.col("raw").alias("ru"))
-        b = held.select(F.col("node").alias("v"), F.col("raw").alias("rv"))
-        both = pairs.join(a, "u").join(b, "v").select("u", "v", "ru", "rv")
+        hubs = s.table(pairs.groupBy("v").agg(F.ceil(F.count("*") / HUB).cast("int").alias("blocks")))
+        of = pairs.join(hubs, "v").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+        left = of.join(held.withColumnRenamed("node", "u"), "u").select("v", "block", "u", "raw")
+        right = hubs.join(held.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "raw")
+        dealt = left.unionByName(right).repartition("v", "block").sortWithinPartitions("v", "block", F.col("u").asc_nulls_first())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = Shingler(width)
-            last: tuple[int | None, np.ndarray | None] = (None, None)
+            own, mine = None, None
             for t in batches:
-                keep = []
-                for v, ru, rv in zip(t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                    if last[0] != v:
-                        last = (v, find.of(rv))
-                    keep.append(_links(find.of(ru), last[1], percent))
-                k = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([t.column(0).filter(k), t.column(1).filter(k)], names=["u", "v"])
-
-        return both.mapInArrow(run, "u long, v long")
+                us, vs = [], []
+                for v, block, u, raw in zip(*(c.to_pylist() for c in t.columns), strict=True):
+                    if u is None:
+                        own, mine = (v, block), find.of(raw)
+                    elif own == (v, block) and _links(find.of(raw), mine, percent):
+                        us.append(u)
+                        vs.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+        got = s.table(dealt.mapInArrow(run, "u long, v long"))
+        for old in (held, hubs, pairs):
+            s.drop(old)
+        return got
 
     def mixed(self, shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(key, node, comp) of the tiles that hold several components, and (key, top) with each tile's largest one."""
         known = self.scratch.table(shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp")))
         several = self.scratch.table(known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
         rows = self.scratch.table(known.join(several, "key").distinct())
+        for old in (known, several):
+            self.scratch.drop(old)
         parts = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
         return rows, self.scratch.table(parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top")))
 
@@ -275,35 +304,40 @@ class NgramJoin:
         """Pairs of different components that meet in a tile and that bitmaps leave."""
         percent = self.percent
         members = self.scratch.table(rows.join(tiles, "key").select("top", "node", "comp").distinct())
-        chunks = F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")
+        visits = F.col("comp") != F.col("top")
+        chunks = [F.greatest(F.ceil(n / CHUNK), F.lit(1)).cast("int").alias(name) for n, name in ((F.count("*"), "chunks"), (F.count_if(visits), "calls"))]
         band = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-        small = self.scratch.table(members.groupBy("top").agg(chunks))
+        small = self.scratch.table(members.groupBy("top").agg(*chunks))
         # what stands in a tile is joined with its bitmap once; only tiles of more than one chunk are cut and visited
-        rows = members.join(small, "top").join(nodes.select("node", "n", "sig"), "node").withColumn("visits", F.col("comp") != F.col("top"))
-        cols = ["top", "band", "chunk", "node", "comp", "n", "sig", "home", "guest"]
-        one = rows.where("chunks = 1").select("top", F.lit(0).alias("band"), F.lit(0).alias("chunk"), "node", "comp", "n", "sig", F.lit(True).alias("home"), F.col("visits").alias("guest"))
-        cut = rows.where("chunks > 1").withColumn("band", band)
-        stay = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumns({"home": F.lit(True), "guest": F.lit(False)})
+        rows = members.join(small, "top").join(nodes.select("node", "n", "sig"), "node").withColumn("visits", visits)
+        keys = ["top", "band", "chunk", "call"]
+        cols = [*keys, "node", "comp", "n", "sig", "home", "guest", "visits"]
+        one = rows.where("chunks = 1").withColumns({"band": F.lit(0), "chunk": F.lit(0), "call": F.lit(0), "home": F.lit(True), "guest": F.col("visits")})
+        cut = rows.where("chunks > 1").withColumns({"band": band, "chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "call": F.pmod(F.xxhash64("node", F.lit(1)), F.col("calls")).cast("int")})
+        stay = cut.withColumn("call", F.explode(F.sequence(F.lit(0), F.col("calls") - 1))).withColumns({"home": F.lit(True), "guest": F.lit(False)})
         visit = (
             cut.where("visits")
             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
             .withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
             .withColumns({"band": F.col("at"), "home": F.lit(False), "guest": F.lit(True)})
         )
-        dealt = one.unionByName(stay.select(*cols)).unionByName(visit.select(*cols)).repartition("top", "band", "chunk").sortWithinPartitions("top", "band", "chunk")
+        dealt = one.select(*cols).unionByName(stay.select(*cols)).unionByName(visit.select(*cols)).repartition(*keys).sortWithinPartitions(*keys)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: set[tuple[int, int]] = set()
             rest: pa.Table | None = None
 
+            def places(t: pa.Table) -> np.ndarray:
+                at = [t.column(k).to_numpy() for k in range(4)]
+                return np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in at])) + 1
+
             def meet_all(t: pa.Table) -> None:
-                top, band, chunk = (t.column(k).to_numpy() for k in range(3))
-                cut = np.flatnonzero((top[1:] != top[:-1]) | (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])) + 1
-                node, comp, n = (t.column(k).to_numpy() for k in (3, 4, 5))
-                sig = t.column(6).to_pylist()
-                home, guest = (t.column(k).to_numpy() for k in (7, 8))
+                cut = places(t)
+                node, comp, n = (t.column(k).to_numpy() for k in (4, 5, 6))
+                sig = t.column(7).to_pylist()
+                home, guest, visits = (t.column(k).to_numpy() for k in (8, 9, 10))
                 for a, z in zip([0, *cut], [*cut, len(node)], strict=True):
-                    _meet(node[a:z], comp[a:z], n[a:z], sig[a:z], home[a:z], guest[a:z], percent, found)
+                    _meet(node[a:z], comp[a:z], n[a:z], sig[a:z], home[a:z], guest[a:z], visits[a:z], percent, found)
 
             for b in batches:
                 if not b.num_rows:
@@ -311,9 +345,8 @@ class NgramJoin:
                 t = pa.Table.from_batches([b])
                 if rest is not None:
                     t = pa.concat_tables([rest, t])
-                tail = [t.column(k).to_numpy() for k in range(3)]
-                same = np.logical_and.reduce([x == x[-1] for x in tail])
-                start = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+                cut = places(t)
+                start = int(cut[-1]) if len(cut) else 0
                 rest = t.slice(start)
                 if start:
                     meet_all(t.slice(0, start))
@@ -376,48 +409,67 @@ class NgramJoin:
 
         return dealt.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
-    def groups(self, links_too: bool = True) -> DataFrame:
-        """(doc_id, n_shingles, component_id) of every row, and n_links if asked for."""
+    def rows(self, links_too: bool) -> DataFrame:
+        """(doc_id, text_hash, node, n, component_id) of every row, and n_links if asked for; those without a set have no node."""
         s = self.scratch
-        cards = s.table(self.cards(self.often()))
-        nodes = cards.where("node is not null and doc_id is not null").groupBy("node")
-        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "sig")]))
-        postings = cards.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-        ends = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
-        shared = s.table(postings.join(s.table(ends.where("low <> high")), "key"))
+        told = s.table(self.cards(self.often()))
+        nodes = told.where("node is not null and doc_id is not null").groupBy("node")
+        nodes = s.table(nodes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.max("small").alias("small"), F.max("sig").alias("sig")))
+        shared = self.tiles(told)
+        cards = s.table(told.select("doc_id", "text_hash", "node", "n"))
+        s.drop(told)
         star = F.explode(F.array("low", "high")).alias("end")
         pairs = shared.select("node", star).where("node <> end").select(F.greatest("node", "end").alias("u"), F.least("node", "end").alias("v")).distinct()
-        links = s.table(self.exact(s.table(self.bounded(s.table(pairs), nodes)), nodes))
+        links = self.exact(self.likely(pairs, nodes), nodes)
         # in a tile of up to three members round one has seen every pair; tiles of one component stay so
-        rows, tiles = self.mixed(shared.where("size > 3").select("key", "node"), s.table(connected_components(links, s)))
-        links = s.table(links.unionByName(self.exact(s.table(self.bounded(s.table(self.towards_top(rows, tiles)), nodes)), nodes)))
-        rows, tiles = self.mixed(rows.select("key", "node"), s.table(connected_components(links, s)))
-        more = self.exact(s.table(self.crossing(rows, tiles, nodes)), nodes)
+        rows, tops = self.mixed(shared.where("size > 3").select("key", "node"), s.table(connected_components(links, s)))
+        s.drop(shared)
+        links = s.table(links.unionByName(self.exact(self.likely(self.towards_top(rows, tops), nodes), nodes)))
+        old = rows, tops
+        rows, tops = self.mixed(rows.select("key", "node"), s.table(connected_components(links, s)))
+        for x in old:
+            s.drop(x)
+        more = self.exact(s.table(self.crossing(rows, tops, nodes)), nodes)
+        for x in (rows, tops):
+            s.drop(x)
         labels = s.table(connected_components(links.unionByName(more), s))
         least = s.table(labels.join(nodes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("component_id")))
         linked = s.table(labels.join(least, "label").select("node", "component_id"))
         whole = s.table(nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
         if links_too:
-            whole = s.table(whole.join(self.link_counts(labels, nodes), "node", "left").join(nodes.select("node", "copies"), "node").withColumn("links", F.coalesce("linked", F.lit(0)) + F.col("copies") - 1))
-        got = cards.select("doc_id", "node", F.col("n").alias("n_shingles")).join(whole, "node", "left")
-        cols = ["doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")]
-        if not links_too:
-            return got.select(*cols)
-        return got.select(*cols, F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+            whole = s.table(whole.join(self.link_counts(labels, nodes), "node", "left").join(nodes.select("node", "copies"), "node").select("node", "component_id", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+        return cards.join(whole, "node", "left")
+
+    def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs that sizes and bitmaps leave, written."""
+        asked = self.scratch.table(pairs)
+        got = self.scratch.table(self.bounded(asked, nodes))
+        self.scratch.drop(asked)
+        return got
+
+    def groups(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id, n_links) of every row."""
+        known = F.col("doc_id").isNotNull()
+        return self.rows(links_too=True).select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
+            F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        )
 
 
-def _meet(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], home: np.ndarray, guest: np.ndarray, percent: int, found: set[tuple[int, int]]) -> None:
+def _meet(node: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: list[bytes], home: np.ndarray, guest: np.ndarray, visits: np.ndarray, percent: int, found: set[tuple[int, int]]) -> None:
     """Pairs of guests and members at home in one chunk that components, sizes and bitmaps leave."""
     at_home, guests = np.flatnonzero(home), np.flatnonzero(guest)
     if not len(at_home) or not len(guests):
         return
-    h_node, h_comp, h_n, h_guest = node[at_home], comp[at_home], n[at_home], guest[at_home]
+    h_node, h_comp, h_n, h_visits = node[at_home], comp[at_home], n[at_home], visits[at_home]
     sizes = np.array([len(sig[k]) for k in at_home])
     by_size = {int(w): np.flatnonzero(sizes == w) for w in np.unique(sizes)}
     bits = {w: np.frombuffer(b"".join(sig[at_home[k]] for k in at), np.uint8).reshape(len(at), w) for w, at in by_size.items()}
     for g in guests:
-        # of two guests of one chunk the smaller looks
-        ok = (h_comp != comp[g]) & (100 * np.minimum(h_n, n[g]) >= percent * np.maximum(h_n, n[g])) & (~h_guest | (h_node > node[g]))
+        # of two that visit the smaller looks
+        ok = (h_comp != comp[g]) & (100 * np.minimum(h_n, n[g]) >= percent * np.maximum(h_n, n[g])) & (~h_visits | (h_node > node[g]))
         if not ok.any():
             continue
         own = np.frombuffer(sig[g], np.uint8)
@@ -474,10 +526,28 @@ def join_ngrams(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
 
 def one_of_each_group(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns as they are, without the documents whose group holds a smaller doc_id; null ids stay."""
-    got = Scratch(docs.sparkSession).table(NgramJoin(docs, percent, width, id_col, text_col).groups(links_too=False))
-    gone = got.where("component_id < doc_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].cast("long") == gone["__gone_id"], "left_anti")
+    """docs, all columns as they are, one row of each group: that of the smallest doc_id, of rows that share it the one with the smallest text hash.
+
+    Rows are told apart by id and text, so a repeated doc_id loses the row whose text links and keeps one whose text does not.
+    Of rows equal in id and text one stays, whatever their other columns hold. Null ids and texts without words link with
+    nothing and stay.
+    """
+    join = NgramJoin(docs, percent, width, id_col, text_col)
+    s = join.scratch
+    got = s.table(join.rows(links_too=False).where("doc_id is not null and node is not null").groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n")))
+    first = s.table(got.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    stays = F.struct("doc_id", "text_hash") == F.col("first")
+    decided = s.table(got.join(first, "component_id").withColumn("stays", stays).where("not stays or n > 1").select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_text"), "stays"))
+    gone = (docs[id_col].cast("long") == decided["__gone_id"]) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary")) == decided["__gone_text"])
+    out = docs.join(decided.hint("shuffle_hash"), gone, "left_anti")
+    again = decided.where("stays")  # rows that repeat both id and text: one of each
+    if again.isEmpty():
+        return out
+    # at most one row of a group may come back, and copies of a hot row are folded before they shuffle
+    keys = [F.col("__gone_id"), F.col("__gone_text")]
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    one = docs.join(again, gone).select(*keys, row.alias("__row")).groupBy("__gone_id", "__gone_text").agg(F.first("__row").alias("__row"))
+    return out.unionAll(one.select(*[F.col(f"__row.c{k}").alias(c) for k, c in enumerate(docs.columns)]))
 
 
 def brute_force(rows: list[tuple[int, str | None]], percent: int = 80, width: int = 5) -> dict[int, tuple[int, int]]:
