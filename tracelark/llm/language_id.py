@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models, one for each language.
 
-Fit: a bounded sample of labelled rows (``rows_per_lang`` rows a language, chosen by a hash of the id among rows of at
-most ``longest_row`` characters) trains character n-gram models up to ``order`` on words in lower case, each between two
+Fit: a bounded sample of labelled rows (at most ``rows_per_lang`` rows a language, by a hash of id and text; rows of over
+``longest_row`` characters only come after all shorter ones, and the rows together hold at most ``rows_per_lang *
+longest_row`` characters, or are one row) trains character n-gram models up to ``order`` on words in lower case, each between two
 boundary marks. Counts of the longest n-grams and continuation counts below are interpolated with one absolute discount
 an order. The models of all languages share sorted arrays of 64-bit n-gram hashes, with one row of finished
 log-probabilities (or back-off weights) a hash and one column a language; a lookup is a binary search.
@@ -12,16 +13,19 @@ held-back sample rows; `rejected` says that even the best entropy is above the `
 held-back rows. Words are scored once and remembered in a dictionary that is emptied when full.
 
 Defined cases: a text that is null or has no letter gives `und`, score 0, not rejected; with no labelled rows at all every
-text gives `und`, score 0; other columns are not read; repeated rows give repeated results.
+text gives `und`, score 0; rows equal in id, language and text are learned from once, however often they stand there; of
+very long texts every word counts; an empty table gives an empty result; other columns are not read; repeated rows give
+repeated results.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of, texts
@@ -245,20 +249,30 @@ class TextScorer:
         return out
 
 
-def learn_models(docs: DataFrame, rows_per_lang: int, longest_row: int, order: int, folds: int, held_fold: int) -> CharModels:
-    """Fit on the driver; the sample is at most about rows_per_lang * longest_row characters a language."""
+def sample_rows(docs: DataFrame, rows_per_lang: int, longest_row: int, folds: int, held_fold: int) -> list[tuple[str, int, str]]:
+    """(lang, doc_id, text) of the rows to learn from.
+
+    Rows are ranked without their texts, after equal ones are folded; the texts of the picked ones are folded again before
+    they travel, so one row that repeats a million times is one row here.
+    """
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(fold_of(F.col("doc_id"), folds) != held_fold)
-    short = train.where(F.length("text") <= longest_row)
-    counts = {r["lang"]: r["n"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return CharModels([], order)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, rows_per_lang / n))) for k, n in sorted(counts.items())])
-    unit = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    train = train.withColumns({"at": F.xxhash64(F.lit(11), F.col("doc_id")), "th": F.xxhash64("text")})
+    rows = train.groupBy("lang", "doc_id", "at", "th").agg(F.max(F.length("text")).alias("size"))
+    order = Window.partitionBy("lang").orderBy(F.col("size") > longest_row, "at", "doc_id", "th")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_lang)
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("rank"))
+    picked = ranked.withColumn("so_far", so_far).where((F.col("rank") == 1) | (F.col("so_far") <= rows_per_lang * longest_row)).select("lang", "doc_id", "th")
+    # at most rows_per_lang short rows a language
+    got = train.join(F.broadcast(picked), ["lang", "doc_id", "th"]).groupBy("lang", "doc_id", "th").agg(F.first("text").alias("text"))
+    return sorted((r["lang"], r["doc_id"], r["text"]) for r in got.select("lang", "doc_id", "text").collect())
+
+
+def learn_models(docs: DataFrame, rows_per_lang: int, longest_row: int, order: int, folds: int, held_fold: int) -> CharModels:
+    """Fit on the driver, on a bounded sample."""
     picked: dict[str, list[str]] = {}
-    rows = short.where(unit < share).select("doc_id", "lang", "text").collect()
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        picked.setdefault(r["lang"], []).append(r["text"])
-    return CharModels.fit(picked, order)
+    for lang, _, text in sample_rows(docs, rows_per_lang, longest_row, folds, held_fold):
+        picked.setdefault(lang, []).append(text)
+    return CharModels.fit(picked, order) if picked else CharModels([], order)
 
 
 def identify_languages(
@@ -299,3 +313,36 @@ def identify_languages(
 def language_digest(docs: DataFrame) -> DataFrame:
     got = identify_languages(docs)
     return got.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def plain_entropy(train: list[str], text: str, order: int = 4) -> float:
+    """The cross-entropy of a text under one language's model, by the definition and without arrays, for tests."""
+    chars = {" "}
+    tables: list[Counter] = [Counter() for _ in range(order + 1)]
+    for w in (letters(t) for line in train for t in line.split()):
+        chars.update(w)
+        w = f" {w} " if w else ""
+        for i in range(1, len(w)):
+            for o in range(1, order + 1):
+                if i - o + 1 >= 0 and (o == order or i - o + 1 == 0):
+                    tables[o][w[i - o + 1 : i + 1]] += 1
+    for o in range(order - 1, 0, -1):  # continuation counts: distinct longer n-grams
+        tables[o].update(k[1:] for k in tables[o + 1])
+
+    def log_of(gram: str) -> float:
+        if not gram:
+            return 1 / (len(chars) + 1)
+        t = tables[len(gram)]
+        n1, n2 = (sum(v == n for v in t.values()) for n in (1, 2))
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        near = [v for k, v in t.items() if k[:-1] == gram[:-1]]
+        below = log_of(gram[1:])
+        return max(t[gram] - d, 0) / sum(near) + d * len(near) / sum(near) * below if near else below
+
+    total, n = 0.0, 0
+    for w in (letters(t) for t in text.split()):
+        w = f" {w} " if w else ""
+        for i in range(1, len(w)):
+            total += np.log(log_of(w[max(0, i - order + 1) : i + 1]))
+            n += 1
+    return -total / n
