@@ -3,19 +3,23 @@
 A text is cut into sentences, each is normalised (lower case, comment marks and quotes away, punctuation and white space
 to single blanks), and known licence sentences become identifiers, some with a version. Sentences that speak of a licence
 without matching a rule become `Unknown`. The sequence of identifiers is then matched against licence rules in order,
-most specific first: a rule's identifiers must follow each other with at most ``GAP`` sentences of other text between
-neighbours, and a match uses its sentences up, so a full licence text isn't also reported as its single clauses.
+most specific first: a rule's identifiers must follow each other, and a match uses its sentences up, so a full licence text
+isn't also reported as its single clauses. Sentences with at most ``GAP`` others between neighbours are matched first, so
+that licences side by side keep their own sentences; what is left is matched at any distance. Free stretches inside a
+sentence rule span at most ``FREE`` characters, hits are indexed by identifier: the time grows with the length of a text
+even where no sentence ends.
 
 One narrow pass over whole texts; nothing is shuffled. Texts without any of the trigger words, one of which stands in
 every sentence rule, are settled by one search.
 
-Defined cases: null and empty texts have no sentence and no licence; a repeated licence is reported once, its sentences
-each; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
+Defined cases: null and empty texts have no sentence and no licence; very long texts are read whole; a repeated licence is
+reported once, its sentences each; of rules that begin at one sentence the more specific one is listed; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +29,7 @@ from .common import texts
 
 OUT = "doc_id long, licences array<string>, sentence_ids array<string>, n_sentences int, n_unknown int"
 GAP = 6
+FREE = 300
 
 #: Fixed values: (identifier, trigger, pattern on the normalised sentence); a group `v` is a version, `k` a kind.
 SENTENCES = [
@@ -36,14 +41,14 @@ SENTENCES = [
     ("BsdSource", "redistribut", r"redistributions of source code must retain the above copyright notice"),
     ("BsdBinary", "redistribut", r"redistributions in binary form must reproduce the above copyright notice"),
     ("BsdAdvert", "advertis", r"all advertising materials mentioning features or use of this software must display"),
-    ("BsdEndorse", "endorse", r"neither the name.* may be used to endorse or promote products"),
+    ("BsdEndorse", "endorse", r"neither the name.{0,300}? may be used to endorse or promote products"),
     ("BsdRef", "licen", r"(?:released|licensed|distributed) under (?:the )?(?:terms of )?(?:the )?(?:(?P<v>[234]) clause )?bsd(?: (?P<v2>[234]) clause)?(?: style)? licen[cs]e"),
-    ("ApacheRef", "licen", r"licensed (?:to the .* )?under (?:the )?(?:terms of )?(?:the )?apache licen[cs]e(?: version| v)? ?(?P<v>\d+(?:\.\d+)*)?"),
+    ("ApacheRef", "licen", r"licensed (?:to the .{0,300}? )?under (?:the )?(?:terms of )?(?:the )?apache licen[cs]e(?: version| v)? ?(?P<v>\d+(?:\.\d+)*)?"),
     ("ApacheUse", "licen", r"you may not use this file except in compliance with the licen[cs]e"),
     ("ApacheCopy", "licen", r"you may obtain a copy of the licen[cs]e at"),
     ("ApacheAsIs", "licen", r"unless required by applicable law or agreed to in writing software distributed under the licen[cs]e"),
-    ("GplRedist", "licen", r"you can redistribute it and or modify it under the terms of the gnu (?P<k>lesser |library |affero )?general public licen[cs]e.*version (?P<v>\d+(?:\.\d+)*)(?P<later>.* any later version)?"),
-    ("GplRef", "licen", r"(?:released|licensed|distributed) under (?:the )?(?:terms of )?(?:the )?gnu (?P<k>lesser |library |affero )?general public licen[cs]e(?:.*?(?:version|v) ?(?P<v>\d+(?:\.\d+)*))?(?P<later>.* any later version)?"),
+    ("GplRedist", "licen", r"you can redistribute it and or modify it under the terms of the gnu (?P<k>lesser |library |affero )?general public licen[cs]e.{0,300}?version (?P<v>\d+(?:\.\d+)*)(?P<later>(?:(?!you can redistribute).){0,300}? any later version)?"),
+    ("GplRef", "licen", r"(?:released|licensed|distributed) under (?:the )?(?:terms of )?(?:the )?gnu (?P<k>lesser |library |affero )?general public licen[cs]e(?:(?:(?!licensed under).){0,300}?(?:version|v) ?(?P<v>\d+(?:\.\d+)*))?(?P<later>(?:(?!licensed under).){0,300}? any later version)?"),
     ("GplWarranty", "warrant", r"without any warranty without even the implied warranty of merchantability or fitness"),
     ("GplCopy", "licen", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public licen[cs]e"),
     ("MplRef", "licen", r"subject to the terms of the mozilla public licen[cs]e,?(?: version| v)? ?(?P<v>\d+(?:\.\d+)*)"),
@@ -51,9 +56,21 @@ SENTENCES = [
     ("CcRef", "licen", r"licensed under (?:a |the )?(?:cc|creative commons) ?(?P<k>by(?: (?:nc|nd|sa))*|attribution(?: (?:noncommercial|sharealike|noderivatives|non commercial|share alike|no derivatives))*)(?: (?P<v>\d+(?:\.\d+)*))?"),
     ("CcZero", "licen", r"licensed under (?:the )?(?:cc0|creative commons zero)(?: (?P<v>\d+(?:\.\d+)*))?"),
     ("Unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("AsIs", "warrant", r"(?:the software|this software) is provided .*as is .*without (?:any )?(?:express or implied )?warrant"),
-    ("Liability", "liab", r"in no event shall .* be liable"),
+    ("AsIs", "warrant", r"(?:the software|this software) is provided .{0,300}?as is .{0,300}?without (?:any )?(?:express or implied )?warrant"),
+    ("Liability", "liab", r"in no event (?:shall|will) .{0,300}? be (?:held )?liable"),
     ("AllRights", "reserved", r"\ball rights reserved"),
+    ("ApacheTitle", "apache licen", r"^(?:the )?apache licen[cs]e version (?P<v>\d+(?:\.\d+)*) january 2004"),
+    ("ApacheTerms", "licen", r"subject to the terms and conditions of this licen[cs]e each contributor hereby grants to you a perpetual"),
+    ("GplTitle", "public licen", r"^(?:the )?gnu (?P<k>lesser |library |affero )?general public licen[cs]e version (?P<v>\d+(?:\.\d+)*) (?:\d\d? )?(?:january|february|june|november)"),
+    ("GplTerms", "licen", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed"),
+    ("MplTitle", "public licen", r"^(?:the )?mozilla public licen[cs]e version (?P<v>\d+(?:\.\d+)*)"),
+    ("BoostGrant", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("ZlibGrant", "permission", r"permission is granted to anyone to use this software for any purpose including commercial applications"),
+    ("ZlibMarked", "altered source", r"altered source versions must be plainly marked as such"),
+    ("CddlRef", "licen", r"common development and distribution licen[cs]e(?: version| v)? ?(?P<v>\d+(?:\.\d+)*)?"),
+    ("EuplRef", "licen", r"licensed under (?:the )?(?:eupl|european union public licen[cs]e)(?: version| v)? ?(?P<v>\d+(?:\.\d+)*)?"),
+    ("ArtisticRef", "licen", r"under (?:the )?(?:terms of )?(?:the )?artistic licen[cs]e(?: version| v)? ?(?P<v>\d+(?:\.\d+)*)?"),
+    ("Wtfpl", "public licen", r"do what the fuck you want to public licen[cs]e"),
     ("Spdx", "spdx", r"spdx licen[cs]e identifier (?P<k>[a-z0-9][a-z0-9. ]*)"),
 ]
 
@@ -66,8 +83,12 @@ RULES = [
     ("MIT", ("MitGrant", "MitNotice")),
     ("ISC", ("IscGrant", "AsIs")),
     ("ISC", ("IscGrant",)),
+    ("Apache-{v}", ("ApacheTitle", "ApacheTerms")),
     ("Apache-{v}", ("ApacheRef", "ApacheUse", "ApacheCopy", "ApacheAsIs")),
     ("Apache-{v}", ("ApacheRef", "ApacheCopy", "ApacheAsIs")),
+    ("Apache-{v}", ("ApacheTitle",)),
+    ("{k}GPL-{v}", ("GplTitle", "GplTerms")),
+    ("{k}GPL-{v}", ("GplTitle",)),
     ("{k}GPL-{v}", ("GplRedist", "GplWarranty", "GplCopy")),
     ("{k}GPL-{v}", ("GplRedist", "GplCopy")),
     ("{k}GPL-{v}", ("GplRedist",)),
@@ -75,7 +96,14 @@ RULES = [
     ("Apache-{v}", ("ApacheRef",)),
     ("MIT", ("MitRef",)),
     ("BSD-{v}-Clause", ("BsdRef",)),
+    ("MPL-{v}", ("MplTitle",)),
     ("MPL-{v}", ("MplRef",)),
+    ("BSL-1.0", ("BoostGrant",)),
+    ("Zlib", ("ZlibGrant", "ZlibMarked")),
+    ("CDDL-{v}", ("CddlRef",)),
+    ("EUPL-{v}", ("EuplRef",)),
+    ("Artistic-{v}", ("ArtisticRef",)),
+    ("WTFPL", ("Wtfpl",)),
     ("EPL-{v}", ("EplRef",)),
     ("CC0-{v}", ("CcZero",)),
     ("CC-{k}-{v}", ("CcRef",)),
@@ -124,24 +152,81 @@ def _name(rule: str, groups: dict[str, str]) -> str:
     return out + ("+" if groups.get("later") else "")
 
 
+class _Unused:
+    """Places of one identifier in a sequence; those used up are skipped in nearly constant time."""
+
+    def __init__(self) -> None:
+        self.places: list[int] = []
+        self.next: list[int] = []
+
+    def add(self, place: int) -> None:
+        self.next.append(len(self.places))
+        self.places.append(place)
+
+    def _free(self, j: int) -> int:
+        """The first unused entry from j on; one past the end if there is none."""
+        n, path = self.next, []
+        while j < len(n) and n[j] != j:
+            path.append(j)
+            j = n[j]
+        for k in path:
+            n[k] = j
+        return j
+
+    def after(self, place: int) -> int | None:
+        j = self._free(bisect_right(self.places, place))
+        return self.places[j] if j < len(self.places) else None
+
+    def use(self, place: int) -> None:
+        j = bisect_right(self.places, place) - 1
+        self.next[j] = j + 1
+
+
 def match_rules(found: list[tuple[int, str, dict[str, str]]]) -> list[str]:
     """Licences of a sequence of (sentence number, identifier, groups), in order of their first sentence."""
-    used = [False] * len(found)
+    by: dict[str, _Unused] = {}
+    for k, (_, name, _) in enumerate(found):
+        by.setdefault(name, _Unused()).add(k)
     out: list[tuple[int, str]] = []
-    for licence, wanted in RULES:
-        for start, (_, name, groups) in enumerate(found):
-            if used[start] or name != wanted[0]:
+    for gap in (GAP, None):
+        for licence, wanted in RULES:
+            if any(w not in by for w in wanted):
                 continue
-            path = [start]
-            for want in wanted[1:]:
-                nxt = next((k for k in range(path[-1] + 1, len(found)) if not used[k] and found[k][1] == want and found[k][0] - found[path[-1]][0] <= GAP + 1), None)
-                if nxt is None:
-                    break
-                path.append(nxt)
-            if len(path) == len(wanted):
-                for k in path:
-                    used[k] = True
-                out.append((start, _name(licence, groups)))
+            start = by[wanted[0]].after(-1)
+            while start is not None:
+                path = [start]
+                for want in wanted[1:]:
+                    k = by[want].after(path[-1])
+                    if k is None or gap is not None and found[k][0] - found[path[-1]][0] > gap + 1:
+                        break
+                    path.append(k)
+                if len(path) == len(wanted):
+                    for k, want in zip(path, wanted, strict=True):
+                        by[want].use(k)
+                    out.append((start, _name(licence, found[start][2])))
+                start = by[wanted[0]].after(start)
+    return list(dict.fromkeys(x for _, x in sorted(out)))
+
+
+def match_rules_plainly(found: list[tuple[int, str, dict[str, str]]]) -> list[str]:
+    """The same by search, for tests."""
+    used = [False] * len(found)
+    out: list[tuple[int, str]] = []
+    for gap in (GAP, len(found) and found[-1][0] + 1):
+        for licence, wanted in RULES:
+            for start, (_, name, groups) in enumerate(found):
+                if used[start] or name != wanted[0]:
+                    continue
+                path = [start]
+                for want in wanted[1:]:
+                    nxt = next((k for k in range(path[-1] + 1, len(found)) if not used[k] and found[k][1] == want), None)
+                    if nxt is None or found[nxt][0] - found[path[-1]][0] > gap + 1:
+                        break
+                    path.append(nxt)
+                if len(path) == len(wanted):
+                    for k in path:
+                        used[k] = True
+                    out.append((start, _name(licence, groups)))
     return list(dict.fromkeys(x for _, x in sorted(out)))
 
 
