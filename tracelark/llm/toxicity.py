@@ -11,6 +11,9 @@
 4. A logistic regression on lexicon and pattern features is trained on the posterior labels, and scores every whole text.
 
 Predictions read nothing but the text. Defined cases: null and empty texts get the classifier's score of an empty text;
+very long texts are read whole, and words of any length may become terms; of rows that repeat a labelled doc_id one is
+learned from, that with the smallest hash of its text; terms that tie are taken in alphabetical order, and a score of
+exactly 0.5 predicts toxic; an empty table gives an empty result;
 documents with several label rows count as toxic if any of these says so; null labels, ids and rows without a document are
 not learned from; without labelled rows, or with one class only, the general list alone decides; repeated rows give
 repeated results; other columns are not read.
@@ -103,7 +106,7 @@ class Evidence:
         d[N_WORDS], d[N_STEMS], d[N_GENERAL], d[N_MASKED] = (math.log1p(n) for n in (len(words), len(stems), general, sum(x[3] for x in hits)))
         d[SHARE] = math.log1p(100.0 * evident / max(len(tokens), 1))
         d[ADDRESSED] = float(general > 0 and any(x[4] for x in hits))
-        d[SHOUT] = float(len(text) > 20 and sum(map(str.isupper, tokens)) > 0.5 * len(tokens))
+        d[SHOUT] = float(sum(map(str.isupper, tokens)) > 0.5 * len(tokens) + 1.5)  # a few capitals alone shout nothing
         return sorted(words | stems), d
 
 
@@ -122,7 +125,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows_per_class: int, folds: int)
     share = F.when(F.col("toxic") == 1, min(1.0, rows_per_class / max(pos, 1))).otherwise(min(1.0, rows_per_class / max(neg, 1)))
     picked = known.where(unit < share).withColumnRenamed("doc_id", "label_id")  # about 2 * rows_per_class rows at most, so it may be sent everywhere
     src = texts(docs)
-    return src.join(F.broadcast(picked), src["doc_id"] == picked["label_id"]).select("doc_id", "raw", "toxic"), neg, pos
+    found = src.join(F.broadcast(picked), src["doc_id"] == picked["label_id"])
+    return found.groupBy("doc_id", "toxic").agg(F.min_by("raw", F.xxhash64("raw")).alias("raw")).select("doc_id", "raw", "toxic"), neg, pos
 
 
 def _without_copies(sample: DataFrame, hashes: int = 6, width: int = 5) -> DataFrame:
@@ -172,7 +176,7 @@ def _mine(sample: DataFrame, neg: int, pos: int, max_terms: int, min_docs: int,
         for b in batches:
             for raw, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = {t.strip(STRIP) for t in raw.decode("utf-8", "replace").lower().split()}
-                counts[toxic].update({t for w in words if 1 < len(w) <= 40 for t in terms_of(w)})
+                counts[toxic].update({t for w in words if len(w) > 1 for t in terms_of(w)})
                 if len(counts[0]) + len(counts[1]) > 500_000:
                     yield flush()
         yield flush()
@@ -327,3 +331,21 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     got = score_texts(docs, learn(docs, labels))
     return got.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def plain_label_model(votes: list[list[int]], prior: float, rounds: int = 30) -> list[float]:
+    """The label model's posteriors without arrays, for tests."""
+    n, m = len(votes), len(votes[0])
+    q = [0.9 if sum((v == 1) - (v == 0) for v in row) > 0 else 0.1 for row in votes]
+    weight = [1.0] * m
+    for r in range(rounds):
+        p = [[{k: (sum(w for w, row in zip(of, votes, strict=True) if row[j] == k) + 0.5) / (sum(of) + 1.5) for k in (-1, 0, 1)} for j in range(m)] for of in ([1 - x for x in q], q)]
+        if r in (rounds // 3, 2 * rounds // 3):
+            left = [[(row[j] == 1) - (row[j] == 0) - ((1 - x) * (p[0][j][1] - p[0][j][0]) + x * (p[1][j][1] - p[1][j][0])) for x, row in zip(q, votes, strict=True)] for j in range(m)]
+            mean = [sum(x) / n for x in left]
+            sd = [math.sqrt(sum((y - a) ** 2 for y in x) / n) + 1e-9 for x, a in zip(left, mean, strict=True)]
+            corr = lambda i, j: sum((a - mean[i]) * (b - mean[j]) for a, b in zip(left[i], left[j], strict=True)) / n / sd[i] / sd[j]
+            weight = [1 / (1 + sum(max(corr(i, j), 0) for j in range(m) if j != i)) for i in range(m)]
+        odds = [math.log(prior / (1 - prior)) + sum(weight[j] * (math.log(p[1][j][row[j]]) - math.log(p[0][j][row[j]])) for j in range(m)) for row in votes]
+        q = [1 / (1 + math.exp(-min(max(x, -30), 30))) for x in odds]
+    return q
