@@ -1,11 +1,13 @@
 """Main text of web pages by a recurrent block labeller.
 
 A lenient tokenizer turns HTML into leaf blocks: runs of text between block-level tags, each with the path of open tags
-(with their classes and ids). Every block becomes a vector of all its hashed path parts, all its hashed words (damped by their number) and a few measures (length,
+(with their classes and ids). It moves forward only and looks up what is open by name, so that its time grows with the page
+whatever is left unclosed: paths share their beginnings, and after the first quote that never closes quotes in tags are
+read as plain characters. Every block becomes a vector of all its hashed path parts, all its hashed words (damped by their number) and a few measures (length,
 share of linked text, place on the page, punctuation). A bidirectional LSTM in numpy reads the whole page's sequence and
 gives each block the probability that it belongs to the article; blocks of at least 0.5 are joined in page order.
 
-The network is trained here, once a process, on pages that a seeded generator writes with known labels: many layouts,
+The network is trained on the driver, once a process, and sent to the executors, on pages that a seeded generator writes with known labels: many layouts,
 semantic and neutral tags, telling and meaningless class names, unclosed tags, notices, adverts, forms, comments.
 
 Defined cases: null, empty or text-free html gives an empty text; markup that is never closed is read to the end; scripts,
@@ -39,7 +41,9 @@ INLINE = frozenset(
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section main aside nav body div td th form".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+MARK = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -48,22 +52,103 @@ DIM = PATHS + WORDS + MEASURES
 HIDDEN = 24
 
 
-@dataclass
+@dataclass(slots=True)
+class Open:
+    """An open block-level element; `mask` has the path features of it and of all that it stands in."""
+
+    tag: str
+    names: str
+    around: Open | None
+    links: int  # links open around it
+    mask: int = 0
+
+    def __post_init__(self) -> None:
+        self.mask = _mask(self.tag, self.names) | (self.around.mask if self.around else 0)
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[tuple[str, str], ...]  # (tag, classes and ids) of open block-level elements
+    inside: Open | None  # the innermost open block-level element
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> list[tuple[str, str]]:
+        """(tag, classes and ids), outermost first."""
+        out, at = [], self.inside
+        while at:
+            out.append((at.tag, at.names))
+            at = at.around
+        return out[::-1]
+
+
+class _Stack:
+    """Open block-level elements, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.open: list[Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def top(self) -> Open | None:
+        return self.open[-1] if self.open else None
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost element of these names, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, names: str, links: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in SCOPE:
+            self.scopes.append(len(self.open))
+        self.open.append(Open(tag, names, self.top(), links))
+
+    def cut(self, place: int) -> int:
+        """Closes all from a place on; the number of links open around that element."""
+        links = self.open[place].links
+        while len(self.open) > place:
+            x = self.open.pop()
+            self.places[x.tag].pop()
+            if x.tag in SCOPE:
+                self.scopes.pop()
+        return links
+
+
+class _Page:
+    """Finds ends of tags and of raw elements, each in time linear in the page over all calls."""
+
+    def __init__(self, doc: str):
+        self.doc, self.last_end, self.quotes = doc, doc.rfind(">"), True
+        self.found: dict[str, tuple[int, int, int]] = {}
+
+    def tag_end(self, at: int) -> int:
+        """The `>` that ends the tag whose attributes begin at `at`; quoted ones don't count while quotes close."""
+        doc = self.doc
+        if self.quotes:
+            k = at
+            while m := STOP.search(doc, k):
+                if m[0] == ">":
+                    return m.start()
+                k = doc.find(m[0], m.end()) + 1
+                if not k:
+                    break
+            self.quotes = False
+        return doc.find(">", at)
 
-def _raw_end(doc: str, tag: str, at: int) -> int:
-    m = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(doc, at)
-    return m.end() if m else len(doc)
+    def next(self, pattern: str, at: int) -> tuple[int, int]:
+        """Start and end of the first match from `at` on; the page's end if there is none."""
+        since, start, end = self.found.get(pattern, (len(self.doc) + 1, 0, 0))
+        if not since <= at <= start:
+            m = re.compile(pattern, re.I).search(self.doc, at)
+            start, end = m.span() if m else (len(self.doc), len(self.doc))
+            self.found[pattern] = (at, start, end)
+        return start, end
 
 
 def blocks_of(doc: str) -> list[Block]:
     """Leaf blocks in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack, page = _Stack(), _Page(doc)
     text: list[str] = []
     linked = links = 0
 
@@ -72,82 +157,82 @@ def blocks_of(doc: str) -> list[Block]:
         if text:
             t = " ".join(html_lib.unescape("".join(text)).split())
             if t:
-                out.append(Block(t, tuple(x for x in stack if x[0] not in INLINE), linked))
+                out.append(Block(t, stack.top(), linked))
             text.clear()
         linked = 0
 
-    def pop_to(k: int) -> None:
+    def cut(place: int) -> None:
         nonlocal links
         flush()
-        links = max(0, links - sum(x[0] == "a" for x in stack[k:]))
-        del stack[k:]
+        links = stack.cut(place)
+
+    def say(start: int, end: int) -> None:
+        nonlocal linked
+        if end > start:
+            text.append(doc[start:end])
+            linked += (end - start) * bool(links)
 
     at, n = 0, len(doc)
     while at < n:
-        m = TAG.search(doc, at)
+        m = MARK.search(doc, at)
         if not m:
-            text.append(doc[at:])
-            linked += (n - at) * bool(links)
+            say(at, n)
             break
-        if m.start() > at:
-            text.append(doc[at : m.start()])
-            linked += (m.start() - at) * bool(links)
-        at = m.end()
-        closing, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        lt = m.start()
+        if doc.startswith("<!--", lt):
+            say(at, lt)
+            end = doc.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        name = name.lower()
+        if lt > page.last_end:  # what never ends is no tag
+            say(at, n)
+            break
+        if doc[lt + 1] in "!?":
+            say(at, lt)
+            at = doc.find(">", lt) + 1
+            continue
+        found = NAME.match(doc, lt)
+        name, closing = found[1].lower(), doc[lt + 1] == "/"
+        end = page.tag_end(found.end())
+        say(at, lt)
+        attrs = doc[found.end() : end]
+        at = end + 1
         if name == "br":
             text.append(" ")
             continue
+        top = stack.top()
         if closing:
             if name in INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if all(x[0] in INLINE for x in stack[k:]):
-                            links = max(0, links - (name == "a"))
-                            del stack[k]
-                        break
+                if name == "a" and links > (top.links if top else 0):
+                    links -= 1
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
+            if (place := stack.last(name)) >= 0:
+                cut(place)
             continue
         if name in RAW:
             flush()
             if not attrs.endswith("/"):
-                # a head without its closing tag ends at the body
-                end = _raw_end(doc, name, at)
-                if name == "head" and (b := re.compile(r"<body\b", re.I).search(doc, at)) and b.start() < end:
-                    end = b.start()
+                end = page.next(rf"</{re.escape(name)}\s*(?:>|\Z)", at)[1]
+                if name == "head":  # a head without its closing tag ends at the body
+                    end = min(end, page.next(r"<body\b", at)[0])
                 at = end
             continue
         if name in VOID:
             if name == "hr":
                 flush()
             continue
-        names = " ".join(v for a in ATTR.findall(attrs) for v in a[1:] if v) if "=" in attrs else ""
         if name in INLINE:
             links += name == "a"
-        else:
-            flush()
-            if name in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SAME.get(name, ()):
-                    pop_to(k)
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        if not attrs.endswith("/") or name in INLINE:
-            stack.append((name, names))
+            continue
+        flush()
+        if name in CLOSES_P and top and top.tag == "p":
+            cut(len(stack.open) - 1)
+        if name in SAME and (place := stack.last(*SAME[name])) >= (stack.scopes[-1] if stack.scopes else 0):
+            cut(place)
+        if not attrs.endswith("/"):
+            names = " ".join(v for a in ATTR.findall(attrs) for v in a[1:] if v) if "=" in attrs else ""
+            stack.push(name, names, links)
     flush()
     return out
 
@@ -158,15 +243,18 @@ def _slot(kind: str, key: str, size: int) -> int:
 
 
 @functools.lru_cache(1 << 14)
-def _path_slots(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    keys = set()
-    for depth, (tag, names) in enumerate(reversed(path)):
-        keys.add("t " + tag)
-        if depth < 2:
-            keys.add(f"{depth} {tag}")
-        keys.update("c " + part for part in SPLIT.split(names) if len(part) > 1)
-        keys.update("c " + part for part in SPLIT.split(names.lower()) if len(part) > 1)
-    return tuple({_slot("p", k, PATHS) for k in keys})
+def _mask(tag: str, names: str) -> int:
+    keys = {"t " + tag, *("c " + part for x in (names, names.lower()) for part in SPLIT.split(x) if len(part) > 1)}
+    return functools.reduce(int.__or__, (1 << _slot("p", k, PATHS) for k in keys))
+
+
+@functools.lru_cache(1 << 14)
+def _path_slots(mask: int, top: str, above: str) -> tuple[int, ...]:
+    """Places of a path's features: of all its parts, and of the two innermost tags by their depth."""
+    for depth, tag in enumerate((top, above)):
+        if tag:
+            mask |= 1 << _slot("p", f"{depth} {tag}", PATHS)
+    return tuple(k for k in range(PATHS) if mask >> k & 1)
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -174,7 +262,9 @@ def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), DIM), dtype=np.float32)
     n = len(blocks)
     for i, b in enumerate(blocks):
-        x[i, list(_path_slots(b.path))] = 1
+        top = b.inside.tag if b.inside else ""
+        if b.inside:
+            x[i, list(_path_slots(b.inside.mask, top, b.inside.around.tag if b.inside.around else ""))] = 1
         words = b.text.lower().split()
         slots = np.bincount([_slot("w", w.strip(".,:;!?()|·©"), WORDS) for w in words], minlength=WORDS)
         v = slots / max(4.0, len(words) / 10)  # of long blocks each word weighs less, but none weighs nothing
@@ -188,9 +278,9 @@ def features(blocks: list[Block]) -> np.ndarray:
         m[4] = float(b.text[-1] in ".!?…:\"'”»")
         m[5] = min(1.0, 5 * sum(map(b.text.count, ".,;")) / max(len(words), 1))
         m[6] = float("©" in b.text or "copyright" in b.text.lower())
-        m[7] = float(bool(b.path) and b.path[-1][0] in ("h1", "h2", "h3"))
-        m[8] = float(bool(b.path) and b.path[-1][0] in ("p", "blockquote", "pre"))
-        m[9] = float(bool(b.path) and b.path[-1][0] in ("li", "td", "dt"))
+        m[7] = float(top in ("h1", "h2", "h3"))
+        m[8] = float(top in ("p", "blockquote", "pre"))
+        m[9] = float(top in ("li", "td", "dt"))
     return x
 
 
@@ -414,12 +504,16 @@ def trained(pages: int = 900, epochs: int = 8, batch: int = 30, rate: float = 0.
     return net
 
 
-def label_pages(pages: list[list[Block]], net: BiLstm, batch: int = 64) -> list[np.ndarray]:
-    """Probability of each block of each page; pages of like length go through the network together."""
+def label_pages(pages: list[list[Block]], net: BiLstm, batch: int = 64, cells: int = 40_000) -> list[np.ndarray]:
+    """Probability of each block of each page; pages of like length go through the network together, long ones by themselves."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
-    for at in range(0, len(order), batch):
+    at = 0
+    while at < len(order):
         ks = order[at : at + batch]
+        while len(ks) > 1 and len(ks) * len(pages[ks[-1]]) > cells:
+            ks = ks[: (len(ks) + 1) // 2]
+        at += len(ks)
         p = net.predict(*_padded([features(pages[k]) for k in ks]))
         for j, k in enumerate(ks):
             out[k] = p[: len(pages[k]), j]
