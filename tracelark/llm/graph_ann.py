@@ -6,12 +6,14 @@ the same norm, so that the largest inner product is the smallest Euclidean dista
 neighbours of each node, robust pruning keeps a candidate only if no kept neighbour is nearer to it by the factor
 ``alpha``, and back edges are added and pruned alike (two passes, alpha 1 and ``alpha``). Every query visits every shard: a
 beam search gives candidates, whose inner products are taken again in double precision on the original vectors, and the
-shards' lists are merged by query.
+shards' lists are merged by query. Queries come in blocks of about ``query_rows``: a task's unit is one shard and one block.
+The index is written, so that no lost executor makes a graph be built twice.
 
 The index is built for all rows. Recall depends on ``beam``; tests and the README hold it against brute force.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do null ids;
-of rows that repeat a vec_id the smallest vector counts; vectors are only compared with vectors of their own length; with
+of rows that repeat a vec_id the smallest vector counts; neighbours that tie are ranked by the smaller vec_id, within a shard
+and across shards; vectors are only compared with vectors of their own length; with
 fewer candidates than asked for, all are returned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 NODES = "shard int, dim int, ids array<long>, vector array<double>"
 INDEX = "shard int, dim int, ids array<long>, vector array<double>, node int, out array<int>"
 FOUND = "query_id long, vec_id long, score double"
@@ -187,9 +191,9 @@ def nodes_of(vectors: DataFrame, keep_ids: int, shards: int) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, shards: int) -> DataFrame:
-    """Rows by shard over so many parts that few shards share one; adaptive execution doesn't merge these, as shards take long for their bytes."""
-    return df.repartition(4 * shards, "shard", "dim")
+def _spread(df: DataFrame, units: int, *keys: str) -> DataFrame:
+    """Rows by shard over so many parts that few units of work share one; adaptive execution doesn't merge these, as shards take long for their bytes."""
+    return df.repartition(4 * units, "shard", "dim", *keys)
 
 
 def build_index(nodes: DataFrame, shards: int, degree: int, beam: int, alpha: float) -> DataFrame:
@@ -203,9 +207,11 @@ def build_index(nodes: DataFrame, shards: int, degree: int, beam: int, alpha: fl
     return _spread(nodes, shards).groupBy("shard", "dim").applyInArrow(build, INDEX)
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, degree: int, beam: int) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, degree: int, beam: int, blocks: int = 1) -> DataFrame:
     """(query_id, vec_id, score): the k best of every shard for each query (vec_id, vector)."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"), F.size("vector").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"), F.size("vector").alias("dim"), block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
 
     def search(nodes: pa.Table, asks: pa.Table) -> pa.Table:
         ids_out, vec_out, score_out = [], [], []
@@ -234,7 +240,8 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, degr
                     score_out += [-v for v, _ in hits]
         return pa.table({"query_id": pa.array(ids_out, pa.int64()), "vec_id": pa.array(vec_out, pa.int64()), "score": pa.array(score_out, pa.float64())})
 
-    return _spread(index, shards).groupBy("shard", "dim").cogroup(_spread(asked, shards).groupBy("shard", "dim")).applyInArrow(search, FOUND)
+    left, right = (_spread(df, shards * blocks, "block").groupBy("shard", "dim", "block") for df in (index, asked))
+    return left.cogroup(right).applyInArrow(search, FOUND)
 
 
 def nearest_neighbours(
@@ -248,15 +255,17 @@ def nearest_neighbours(
     alpha: float = 1.2,
     shard_rows: int = 50_000,
     least_shards: int = 6,
+    query_rows: int = 20_000,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (rows whose id is divisible by `every`, unless given)."""
     vectors = valid_vectors(df, id_col, vector_col)
     shards = max(least_shards, -(-df.count() // shard_rows))
-    index = build_index(nodes_of(vectors, k + 1, shards), shards, degree, build_beam, alpha)
+    index = Scratch(df.sparkSession).table(build_index(nodes_of(vectors, k + 1, shards), shards, degree, build_beam, alpha))
     asked = valid_vectors(queries, id_col, vector_col) if queries is not None else vectors.where(F.col("vec_id") % every == 0)
-    found = search_index(index, asked, shards, k, degree, beam)
+    rows = queries.count() if queries is not None else df.where(df[id_col].cast("long") % every == 0).count()
+    found = search_index(index, asked, shards, k, degree, beam, max(1, -(-rows // query_rows)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
