@@ -61,13 +61,6 @@ def sequences(tokens: DataFrame, block: str = "block") -> DataFrame:
     return arrays.groupBy("tokens").agg(F.count("*").alias("n"))
 
 
-def ngrams(tokens: DataFrame, size: int) -> DataFrame:
-    """(thread_id, pos, gram): the `size` tokens that begin at each place."""
-    w = Window.partitionBy("thread_id").orderBy("pos")
-    cols = [F.lead("token", k).over(w) if k else F.col("token") for k in range(size)]
-    return tokens.select("thread_id", "pos", F.array(*cols).alias("gram")).where(F.forall("gram", lambda x: x.isNotNull()))
-
-
 def repeats(tokens: DataFrame, longest: int) -> DataFrame:
     """(thread_id, pos, size): places at which the last `size` tokens equal the `size` before them, the shortest size up to `longest`."""
     w = Window.partitionBy("thread_id").orderBy("pos")

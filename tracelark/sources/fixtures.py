@@ -116,13 +116,6 @@ def program_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One token an event: its type, in each thread's order."""
-    e = trace_events(spark, sf_dir)
-    pos = F.row_number().over(Window.partitionBy("thread_id").orderBy("ts_ns", "event_id")).cast("long")
-    return e.select("thread_id", pos.alias("pos"), F.col("name").alias("token"))
-
-
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of a global dictionary, and local ones that override every tenth: (scope, ref, str)."""
     p = table(spark, sf_dir, "part")
