@@ -253,7 +253,7 @@ def nearest_neighbours(
     build_beam: int = 48,
     beam: int = 160,
     alpha: float = 1.2,
-    shard_rows: int = 50_000,
+    shard_rows: int = 9_000,
     least_shards: int = 6,
     query_rows: int = 20_000,
     id_col: str = "vec_id",
