@@ -1,4 +1,12 @@
-"""From raw documents to token ids: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, byte-level BPE."""
+"""From raw documents to token ids: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, byte-level BPE.
+
+Every stage works on rows, keeps all columns whatever their names, and changes nothing but the text and n_chars (line dedup).
+Defined cases: null and empty texts pass all stages and end as no ids; a null id holds no line, links with nothing and stays;
+of rows equal in id and text one stays, if the text has a word, and of rows that share only the id each is judged by its own
+text; very long texts are read whole in every stage; ties go to the smaller doc_id (Jaccard) or the larger (line dedup); an
+empty table gives an empty result; without labels the general word list judges toxicity, without items nothing is
+contaminated.
+"""
 
 from __future__ import annotations
 
