@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import compare
@@ -89,7 +90,7 @@ def test_bpe_odd(spark, odd, clashing, odd_rows, none):
 
 
 def test_decontamination_same_as_brute_force(spark, words):
-    from tracelark.llm.decontaminate import brute_force, find_contamination
+    from tracelark.llm.decontaminate import brute_force, drop_contaminated, find_contamination
 
     r = random.Random(5)
     prose = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -101,12 +102,18 @@ def test_decontamination_same_as_brute_force(spark, words):
             s[at : at + r.choice((0, 1))] = r.choice(("", "q", "zz")[: 2 + r.randrange(2)])
         return "".join(s)
 
-    items = [(k, prose(r.randint(6, 25))) for k in range(6)] + [(90, "too short"), (91, None), (None, prose(20)), (92, "")]
+    items = [(k, prose(r.randint(6, 25))) for k in range(6)] + [(90, "too short"), (91, None), (None, prose(20)), (92, ""), (93, "短い問題です")]
+    items += [items[0], (0, prose(12)), (94, items[1][1])]  # an id that repeats, and a text of two ids
     rows = [(i, prose(20) + " " + edit(r.choice(items[:6])[1], r.randrange(9)) + "\n" + prose(15)) for i in range(40)] + [(98, None), (99, "")]
-    want = brute_force(rows, [x for x in items if x[0] is not None])
-    for block in (1, 4 << 20):  # one item a block, and all in one
+    rows += [(95, "It is Too  short, yes"), (96, "too shorter"), (97, "全文短い問題です。"), (100, items[0][1]), (100, items[0][1]), (101, "too short")]
+    want = brute_force(rows, items)
+    assert want[95] == want[101] == [90] and not want[96] and want[97] == [93] and 0 in want[100]
+    for block in (150, 4 << 20):  # a few items a block, and all in one
         got = find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, items), block_bytes=block).collect()
-        assert {g["doc_id"]: g["item_ids"] for g in got} == want
+        assert {g["doc_id"]: g["item_ids"] for g in got} == want and len(got) == len(rows)
+        assert all(g["n_items"] == len(g["item_ids"]) for g in got)
+        kept = drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, items), block_bytes=block)
+        assert {g["doc_id"] for g in kept.collect()} == {i for i, x in want.items() if not x}
     assert any(want.values()) and not all(want.values())
 
 
@@ -126,10 +133,13 @@ def test_decontamination_odd(spark, odd, clashing, odd_rows, none):
 # --- n-gram Jaccard join
 
 
-def test_join_same_as_brute_force(spark, words):
-    """Families of near copies around the threshold, so that some members link only through others."""
+def test_join_same_as_brute_force(spark, words, monkeypatch):
+    """Families of near copies around the threshold, so that some members link only through others; tiles and hubs of many chunks."""
+    from tracelark.llm import ngram_join
     from tracelark.llm.ngram_join import brute_force, join_ngrams
 
+    monkeypatch.setattr(ngram_join, "CHUNK", 9)
+    monkeypatch.setattr(ngram_join, "HUB", 4)
     r = random.Random(3)
     rows = []
     for family in range(6):
@@ -181,6 +191,10 @@ def test_join_odd(spark, odd, clashing, odd_rows, none):
         assert by[1]["n_shingles"] == 0 and by[1]["component_id"] == 1
     kept = one_of_each_group(clashing)
     assert kept.columns == clashing.columns and kept.where("doc_id in (7, 8, 10)").count() == 0 and kept.count() == len(odd_rows) - 4
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(6, a), (7, a), (7, b), (20, c), (20, c), (20, c.upper()), (None, a), (None, a), (21, ""), (21, "")]
+    kept = one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"].lower()) for r in kept) == [(-1, a), (-1, a), (6, a), (7, b), (20, c), (21, ""), (21, "")]
     assert join_ngrams(none).count() == 0
 
 
@@ -193,7 +207,8 @@ def test_bitmaps_never_rule_out_a_link():
         keep = a[r.random(len(a)) < 0.9]
         b = np.unique(np.concatenate([keep, r.integers(0, 1 << 63, size=r.integers(0, 20), dtype=np.int64).astype(np.uint64)]))
         if len(b) and _links(a, b, 80):
-            assert may_link(len(a), len(b), np.frombuffer(bitmap(a), np.uint8), np.frombuffer(bitmap(b), np.uint8), 80)
+            for bits in (1, 4):
+                assert may_link(len(a), len(b), np.frombuffer(bitmap(a, bits), np.uint8), np.frombuffer(bitmap(b, bits), np.uint8), 80)
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -230,6 +245,29 @@ def test_language_id_odd(spark, odd, clashing, odd_rows, none):
     assert {g["lang_pred"] for g in identify_languages(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_id_learns_from_long_and_repeated_rows(spark, words):
+    """A language whose rows are all long is learned; a row that repeats is one row of the sample; the entropy is as defined."""
+    from tracelark.llm.language_id import CharModels, identify_languages, plain_entropy, sample_rows
+
+    r = random.Random(6)
+    other = ["".join(r.choice("kvwxyz") + r.choice("öäü") for _ in range(r.randint(1, 3))) for _ in range(200)]
+    prose = lambda of, n: " ".join(r.choice(of) for _ in range(n))
+    rows = [(k, prose(words, 30), "aa") for k in range(60)] + [(100 + k, prose(other, 6_000), "bb") for k in range(9)]
+    again = next(k for k in range(500, 600) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows += [(again, rows[0][1], "aa")] * 300 + [(900, prose(other, 20), None), (901, None, "aa"), (902, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sample_rows(docs, 5, 20_000, 4, 2)
+    assert sorted({x[0] for x in got}) == ["aa", "bb"] and 1 <= sum(x[0] == "bb" for x in got) <= 4 and sum(x[0] == "aa" for x in got) == 5
+    assert sum(len(x[2]) for x in got if x[0] == "bb") <= 100_000 and sum(x[1] == again for x in sample_rows(docs, 500, 20_000, 4, 2)) == 1
+    by = {g["doc_id"]: g["lang_pred"] for g in identify_languages(docs).collect()}
+    assert by[900] == "bb" and by[100] == "bb" and by[3] == "aa" and by[901] == by[902] == "und"
+    train = [prose(words, 40) for _ in range(8)]
+    m = CharModels(["aa"], 4)
+    m._count([[w for t in train for w in t.split()]])
+    for text in (train[0], prose(words, 20), prose(other, 5), "b"):
+        assert abs(float(m.entropies(m.score_words(text.split()).sum(axis=0))[0]) - plain_entropy(train, text)) < 1e-9
+
+
 def test_character_models_are_distributions():
     from tracelark.llm.language_id import CharModels, _grams
 
@@ -275,6 +313,46 @@ def test_class_lm_counts_and_base_score(spark, odd, clashing, odd_rows, none):
     assert class_lm_digest(none).count() == 0
 
 
+def test_class_lm_score_by_its_definition(spark):
+    """The score against a plain version with the model's own classes; texts in blocks of any size; rows that repeat."""
+    from tracelark.llm.class_lm import learn, encode, plain_scores, score_documents
+    from tracelark.llm.common import Scratch, texts
+
+    r = random.Random(16)
+    vocab = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(vocab[int(300 * r.random() ** 3)] for _ in range(r.randrange(50)))) for i in range(120)]
+    rows += [(7, rows[7][1])] * 40 + [(500, None), (None, "w1 w2 newword"), (501, "W1  w2\x1c w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, words = learn(Scratch(spark).table(encode(texts(docs), 2_000)), Scratch(spark), 10, 5, 20, 8, 0.1, 0.9)
+    by = {x["h"]: (x["n"], x["cls"]) for x in words.collect()}
+    got, _ = score_documents(docs, head=5, min_count=20, classes=8, block_bytes=2_000)
+    want = plain_scores(rows, by, classes=8)
+    have = sorted((str(g["doc_id"]), round(g["score"], 6)) for g in got.collect())
+    assert have == sorted((str(i), round(x, 6)) for (i, _), x in zip(rows, want, strict=True))
+
+
+def test_many_move_gains_same_as_one_by_one():
+    from tracelark.llm.class_lm import many_move_gains, move_gains
+
+    r = np.random.default_rng(3)
+    classes, units = 6, 40
+    cls = r.integers(0, classes, units)
+    x = r.integers(0, 4, (units, units)).astype(float) * (r.random((units, units)) < 0.4)
+    one = np.eye(classes)[cls]
+    n = one.T @ x @ one
+    own = np.diag(x)
+    right, left = x @ one, x.T @ one
+    right[np.arange(units), cls] -= own
+    left[np.arange(units), cls] -= own
+    got = many_move_gains(n, right, left, own, cls)
+    for u in range(units):
+        m = n.copy()
+        m[cls[u], :] -= right[u]
+        m[:, cls[u]] -= left[u]
+        m[cls[u], cls[u]] -= own[u]
+        assert np.allclose(got[u], move_gains(m, right[u], left[u], own[u]))
+
+
 def test_class_lm_beats_the_base_on_held_out_texts(spark):
     from tracelark.llm.queries import QUERIES
 
@@ -379,11 +457,42 @@ def test_licences(text, want):
     assert scan_text(text)[0] == want
 
 
+def test_licence_rules_same_as_brute_force():
+    """Random sequences of identifiers, many of one sentence, against the plain search."""
+    from tracelark.llm.license_scan import RULES, match_rules, match_rules_plainly
+
+    r = random.Random(4)
+    names = sorted({i for _, seq in RULES for i in seq}) + ["Unknown", "BsdGrant", "BsdSource", "BsdBinary", "BsdEndorse", "MitGrant", "MitNotice"] * 2
+    for _ in range(400):
+        at, found = 0, []
+        for _ in range(r.randrange(30)):
+            at += r.choice((0, 0, 1, 1, 2, 9))
+            found.append((at, r.choice(names), {"v": "2"}))
+        assert match_rules(found) == match_rules_plainly(found)
+
+
+def test_licence_sentences_far_apart_and_long_rows():
+    from tracelark.llm.license_scan import scan_text
+
+    parts = MIT.split("\n\n")
+    filler = "Nothing of note stands here. " * 40
+    assert scan_text(filler.join(parts))[0] == ["MIT"]
+    notice = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published, either version 2 of the License, or (at your option) any later version "
+    began = time.time()
+    licences, ids = scan_text(notice * 30_000)  # 5 MB without a sentence's end
+    assert licences == ["GPL-2+"] and len(ids) == 30_000
+    assert scan_text((MIT + "\n\n") * 8_000)[0] == ["MIT"]
+    assert time.time() - began < 20
+
+
 def test_licence_scan_odd(spark, odd, clashing, odd_rows, none):
     from tracelark.llm.license_scan import scan_licences
 
     for df in (odd, clashing):
         assert all(g["licences"] == [] for g in scan_licences(df).collect()) and scan_licences(df).count() == len(odd_rows)
+    rows = [(1, MIT), (1, MIT), (None, MIT), (2, None), (3, ""), (4, MIT.upper() + "\n\n" + MIT)]
+    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((g["doc_id"] or 0, len(g["licences"]), g["n_sentences"]) for g in got) == [(0, 1, 3), (1, 1, 3), (1, 1, 3), (2, 0, 0), (3, 0, 0), (4, 1, 6)]
     assert scan_licences(none).count() == 0
 
 
@@ -412,6 +521,27 @@ def test_toxicity_odd(spark, odd, clashing, odd_rows, none):
     assert toxicity_digest(none, spark.createDataFrame([], cols)).count() == 0
 
 
+def test_toxicity_learns_once_from_a_repeated_row(spark, words):
+    """A labelled doc_id that thousands of rows repeat, words of over 40 letters, and the label model against its plain version."""
+    from tracelark.llm.toxicity import _sample, label_model, learn, plain_label_model, score_texts
+
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    slur = "zq" * 30
+    rows = [(k, prose(30) + (f" {slur}" if k % 4 == 0 else "")) for k in range(400)] + [(8, "again " + slur)] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    sample = _sample(docs, labels, 5000, 5)[0].collect()
+    assert len(sample) == len({x["doc_id"] for x in sample}) > 250
+    model = learn(docs, labels)
+    assert slur in model.terms
+    got = score_texts(docs, model).collect()
+    assert all(g["predicted"] == int(g["doc_id"] % 4 == 0) for g in got) and len(got) == 3400
+    votes = np.array([[r.choice((-1, -1, 1 if k % 3 == 0 else 0)) for _ in range(5)] for k in range(60)])
+    votes[:, 4] = votes[:, 3]  # a voter that repeats another
+    assert np.allclose(label_model(votes, 0.3)[0], plain_label_model(votes.tolist(), 0.3))
+
+
 def test_label_model_finds_good_and_bad_voters():
     from tracelark.llm.toxicity import label_model
 
@@ -444,17 +574,100 @@ def test_html_blocks_and_labels():
 
 
 def test_html_reads_every_word_and_every_container():
-    from tracelark.llm.html_extract import Block, blocks_of, features
+    from tracelark.llm.html_extract import Block, Open, blocks_of, features
 
     words = [f"word{k}" for k in range(1800)]
-    plain = features([Block(" ".join(words), (("p", ""),), 0)])[0]
+    plain = features([Block(" ".join(words), Open("p", "", None, 0), 0)])[0]
     for at in (0, 30, 900, 1799):
-        other = features([Block(" ".join([*words[:at], "otherx", *words[at + 1 :]]), (("p", ""),), 0)])[0]
+        other = features([Block(" ".join([*words[:at], "otherx", *words[at + 1 :]]), Open("p", "", None, 0), 0)])[0]
         assert not np.array_equal(plain[:-10], other[:-10])
     deep = lambda tag: features(blocks_of(f"<{tag}>" + "<div>" * 12 + "<p>text of a block</p>"))[0]
     assert not np.array_equal(deep("aside"), deep("div"))
 
 
+def _blocks_plainly(doc):
+    """(text, path, linked) by the standard library's parser, for pages whose tags all close."""
+    from html.parser import HTMLParser
+
+    from tracelark.llm.html_extract import INLINE, RAW, VOID
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.text, self.out, self.raw, self.links, self.linked = [], [], [], 0, 0, 0
+
+        def flush(self):
+            t = " ".join("".join(self.text).split())
+            if t:
+                self.out.append((t, tuple(self.open)))
+            self.text = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in RAW:
+                self.flush()
+                self.raw += 1
+            elif tag not in INLINE and tag not in VOID:
+                self.flush()
+                self.open.append(tag)
+            elif tag == "br":
+                self.text.append(" ")
+            elif tag == "hr":
+                self.flush()
+
+        def handle_endtag(self, tag):
+            if tag in RAW:
+                self.raw -= 1
+            elif tag not in INLINE and tag not in VOID:
+                self.flush()
+                while self.open and self.open.pop() != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text.append(data)
+
+    p = Plain()
+    p.feed(doc)
+    p.close()
+    p.flush()
+    return p.out
+
+
+def test_html_blocks_same_as_plain_parser():
+    """Random pages of properly closed tags."""
+    from tracelark.llm.html_extract import blocks_of
+
+    r = random.Random(9)
+    words = ["alpha", "b&amp;c", "x < y", "é", "1&#50;3", "gamma  delta"]
+
+    def node(depth):
+        kind = r.choice(("div", "section", "ul", "b", "a", "text", "text", "br", "script", "comment", "article", "table"))
+        if kind == "text" or depth > 6:
+            return r.choice(words) + " "
+        if kind in ("br", "script", "comment"):
+            return {"br": "<br>", "script": "<script>if (a < b) x('</p>')</script>", "comment": "<!-- <p> -->"}[kind]
+        inner = "".join(node(depth + 1) for _ in range(r.randrange(4)))
+        if kind == "ul":
+            inner = "".join(f"<li title='a > b'>{node(depth + 1)}</li>" for _ in range(r.randrange(3)))
+        if kind == "table":
+            inner = "".join(f"<tr><td>{node(depth + 2)}</td><th>x</th></tr>" for _ in range(r.randrange(3)))
+        return f'<{kind} class="c{depth}" data-x=">">{inner}</{kind}>'
+
+    for _ in range(300):
+        doc = "".join(node(0) for _ in range(4))
+        assert [(b.text, tuple(t for t, _ in b.path)) for b in blocks_of(doc)] == _blocks_plainly(doc), doc
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ' \" >", "<!", "<head>", "<div>", "<div><p>x", "<center><li></li>", "<i><b></i>", "<head><body>", "</p>", "<a href=x>y", "<li><ul><x>", "<!--", "<script>"])
+def test_html_long_pages_take_linear_time(part):
+    from tracelark.llm.html_extract import blocks_of
+
+    began = time.time()
+    blocks_of(part * (1_500_000 // len(part)))
+    blocks_of("<li><ul>" + "<center>" * 50_000 + part * 50_000 + ">")
+    assert time.time() - began < 30
+
+
 def test_html_query_against_the_markup(spark):
     """The network's choice against the article element of the stored pages."""
     from tracelark.llm.html_extract import blocks_of
@@ -508,6 +721,7 @@ def test_neighbours_odd(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest_neighbours(df).collect())
     want = sorted((q, k + 1, i, s) for q, x in brute_force(rows).items() for k, (i, s) in enumerate(x))
     assert got == want
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest_neighbours(df, least_shards=2, query_rows=2).collect()) == want  # blocks of queries
     assert nearest_neighbours(df.limit(0)).count() == 0
 
 
@@ -544,3 +758,22 @@ def test_pipeline_against_its_plain_parts(spark, tmp_path):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = sorted((i, np.array(enc.encode_ordinary(t), dtype="<u4").tobytes()) for i, t in rows.items())
     assert sorted((r["doc_id"], bytes(r["ids"])) for r in p.run(spark, f"{DATA}/sf0.001").collect()) == want
+
+
+def test_pipeline_odd(spark, odd_rows, clashing, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns, and an empty table."""
+    import corpus_pipeline as p
+
+    for name, docs in (("odd", clashing), ("empty", none)):
+        at = tmp_path / name
+        docs.coalesce(1).write.parquet(str(at / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            table(spark, "sf0.001", t).where("false" if name == "empty" else "true").write.parquet(str(at / f"{t}.parquet"))
+        got = p.run(spark, str(at)).collect()
+        if name == "empty":
+            assert got == []
+            continue
+        # the line of 6, 7 and -3 stays in 8 alone, so 6 and 7 are left empty; 10 is a copy of 9
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in odd_rows if r[0] != 10)
+        by = {r["doc_id"]: r["n_tokens"] for r in got}
+        assert by[1] == by[2] == by[6] == by[7] == 0 and by[8] > 0 and by[4] > 10_000
