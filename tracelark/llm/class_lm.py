@@ -16,8 +16,8 @@ Tokens are words of the text with A-Z in lower case, then one end token. The mod
    and smoothed towards the class unigram, emissions by adding ``add`` to each known word and to one unknown word a class;
    a word never seen stands in the class with the most words seen once. P(w) is the base model.
 
-Counts of words stay distributed: each block asks for the counts and classes of its distinct words by one join on the hash, and
-is scored beside them. Blocks hold about ``block_bytes`` bytes of whole texts, whatever ids or texts repeat, so there is no
+Counts of words stay distributed: each block asks each part of the vocabulary for the counts and classes of its distinct words,
+gets them in the order of its question, and is scored beside them. Blocks hold about ``block_bytes`` bytes of whole texts, whatever ids or texts repeat, so there is no
 hot group. Counts are summed up within a task before they shuffle, and those of the head's bigrams are dealt by both words.
 Of the vocabulary only the core meets in one place, as a hash and a class a word; bigrams and texts never do.
 
@@ -44,8 +44,8 @@ from .common import Scratch, fold_of, hash_words, py_fold, texts
 END = b""  # no word is empty
 OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 BLOCKS = "block long, doc_ids array<long>, lens binary, hashes binary, ids binary"
-PART_TOKENS = 2_500_000  # tokens whose counts meet in one part
-HELD = 6_000_000  # counts that a task holds before it sums them up
+PART_TOKENS = 1_000_000  # tokens whose counts meet in one part
+HELD = 800_000  # counts that a task holds before it sums them up
 
 
 @dataclass
@@ -457,7 +457,7 @@ def among(lists: DataFrame, units: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def moves(lists: DataFrame, cls: np.ndarray, n: np.ndarray, turn: int, parts: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def moves(lists: DataFrame, cls: np.ndarray, n: np.ndarray, turn: int, parts: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Words and their new classes, each judged by itself against n. Open words all join a class; of the others one in ``parts`` has its turn."""
     classes, size = len(n), len(cls)
     shared = lists.sparkSession.sparkContext.broadcast((cls, n))
@@ -520,7 +520,7 @@ def cluster_core(lists: DataFrame, seeds: np.ndarray, size: int, classes: int, r
     return best[1], best[2]
 
 
-def other_words(blocks: DataFrame, scratch: Scratch, folds: int, core: np.ndarray, cls: np.ndarray, n: np.ndarray, parts: int, step: int = 20_000) -> tuple[DataFrame, np.ndarray]:
+def other_words(blocks: DataFrame, scratch: Scratch, folds: int, core: np.ndarray, cls: np.ndarray, n: np.ndarray, parts: int, step: int = 8_000) -> tuple[DataFrame, np.ndarray]:
     """(h, n, cls) of the words outside the core, and n[class before, class] of all bigrams that hold one of them.
 
     Such a word has fewer than `min_count` tokens, so that parts by the hash of the word are even.
@@ -640,26 +640,49 @@ def score_documents(
     blocks = scratch.table(encode(texts(docs, id_col, text_col), block_bytes))
     model, counts = learn(blocks, scratch, folds, head, min_count, classes, add, mix)
 
+    parts = int(max(8, -(-model.tokens // PART_TOKENS)))
+
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(hashes, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), pa.array(h)], names=["block", "h"])
+                part = _deal(h, parts)
+                order = np.argsort(part, kind="stable")
+                at = _starts(part[order])
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][at]), pa.array(np.full(len(at), block)), _binary(h[order], at)], names=["part", "block", "hashes"])
+
+    def answer(asked: pa.Table, words: pa.Table) -> pa.Table:
+        known = words.column("h").to_numpy()
+        order = np.argsort(known)
+        known, n, cls = known[order], words.column("n").to_numpy()[order], words.column("cls").to_numpy()[order]
+        out: list[list] = [[], []]
+        for hashes in asked.column("hashes").to_pylist():
+            at, hit = _find(known, np.frombuffer(hashes, np.int64))
+            out[0].append(squeeze(np.where(hit, n[at], 0) if len(n) else np.zeros(len(at), np.int64)))
+            out[1].append(squeeze((np.where(hit, cls[at], 0) if len(n) else np.zeros(len(at))).astype(np.uint8)))
+        return pa.table([asked.column("block"), asked.column("part"), *(pa.array(x, pa.binary()) for x in out)], names=["block", "part", "n", "cls"])
+
+    asked = blocks.select("block", "hashes").mapInArrow(asks, "part long, block long, hashes binary").groupBy("part")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_deal(b.column(0).to_numpy(), parts)), *b.columns], names=["part", "h", "n", "cls"])
 
-    asked = blocks.select("block", "hashes").mapInArrow(asks, "block long, h long")
-    answers = asked.join(counts.hint("shuffle_hash"), "h").select("block", "h", "n", "cls")
+    words = counts.select("h", "n", "cls").mapInArrow(dealt, "part long, h long, n long, cls int").groupBy("part")
+    answers = asked.cogroup(words).applyInArrow(answer, "block long, part long, n binary, cls binary")
     shared = spark.sparkContext.broadcast(model)  # bounded by the number of classes
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         m = shared.value
-        known_h = right.column("h").to_numpy()
-        order = np.argsort(known_h)
-        known_h, known_n, known_c = known_h[order], right.column("n").to_numpy()[order], right.column("cls").to_numpy()[order]
         x = _decoded(*(left.column(c)[0].as_py() for c in left.column_names))
-        at, hit = _find(known_h, x.hashes)
-        c = np.where(hit, known_n[at], 0) if len(known_n) else np.zeros(len(x.hashes))
+        c, cls = np.zeros(len(x.hashes), np.int64), np.zeros(len(x.hashes), np.int64)
+        order = np.argsort(_deal(x.hashes, parts), kind="stable")
+        at = np.append(_starts(_deal(x.hashes, parts)[order]), len(order))
+        said = sorted(zip(right.column("part").to_pylist(), right.column("n").to_pylist(), right.column("cls").to_pylist(), strict=True))
+        for k, (_, n, k_cls) in enumerate(said):  # a row a part, in the order in which the block asked
+            c[order[at[k] : at[k + 1]]], cls[order[at[k] : at[k + 1]]] = unsqueeze(n), unsqueeze(k_cls)
         base = (c + 0.1) / (m.tokens + 0.1 * (m.types + 1))
-        cls = np.where(hit, known_c[at], m.unknown) if len(known_c) else np.full(len(x.hashes), m.unknown)
+        cls = np.where(c > 0, cls, m.unknown)
         cls[0] = 0
         emit = (c + m.add) / (m.class_total[cls] + m.add * (m.class_types[cls] + 1))
         emit[0] = 1.0  # the end has its class for itself
