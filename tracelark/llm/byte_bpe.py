@@ -28,7 +28,7 @@ from .common import texts
 #: Unicode's White_Space, which the pattern means by \s (Python's own \s has four control characters more).
 SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE = 400_000  # chunks remembered by a worker
+CACHE = 150_000  # chunks remembered by a worker
 LONGEST = 64  # characters of a chunk that is remembered
 BLOCK = 64  # texts whose unknown chunks are encoded in one call
 SHIFT = 0x100  # byte b is the character SHIFT + b, so that no piece holds a space or control character

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, texts
 
 OUT = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
-CACHE = 300_000  # words remembered by a worker
+CACHE = 120_000  # words remembered by a worker
 BLOCK = 64  # texts whose unknown words are scored in one call
 EDGE = ord(" ")
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -82,9 +82,10 @@ def repeated_lines(hits: DataFrame, min_docs: int = 3) -> DataFrame:
 
 def _drops(docs: DataFrame, min_chars: int, min_docs: int, id_col: str, text_col: str) -> DataFrame:
     """(drop_id, drops): the keys that a document loses."""
-    hits = line_hits(docs, min_chars, id_col, text_col)
+    scratch = Scratch(docs.sparkSession)
+    hits = scratch.table(line_hits(docs, min_chars, id_col, text_col))  # 24 bytes a line; texts are cut into lines once
     # written first, so that the join below stands directly on two exchanges and adaptive execution may split a hot key
-    repeated = Scratch(docs.sparkSession).table(repeated_lines(hits, min_docs))
+    repeated = scratch.table(repeated_lines(hits, min_docs))
     return (
         hits.join(repeated, ["h1", "h2"])
         .where("doc_id < keep_doc")

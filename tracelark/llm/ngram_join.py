@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, hash_words, texts
 from .components import connected_components
 
-CACHE = 400_000
+CACHE = 150_000
 SEND_ROWS = 500_000  # so many ids (8 bytes each) may be sent to every executor
 FULL = 4  # bits an element of the full bitmaps
 CHUNK = 1024  # members of a tile, or visitors, that one chunk holds
@@ -199,7 +199,7 @@ class NgramJoin:
                     if i is None or node in told:
                         out.append((node, len(x), *[None] * 4))
                         continue
-                    if len(told) > 500_000:
+                    if len(told) > 200_000:
                         told.clear()
                     told.add(node)
                     rare, keys = prefix(x)

@@ -46,7 +46,7 @@ ADDRESS = frozenset("you your you're youre ur u tu vous toi du ihr dich euch tú
 MASKED = re.compile(r"^[^\W\d_]+[*#@$%!]{1,}[^\W\d_]+$")
 STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…¡¿"
 STEMS = (4, 5, 6)
-CACHE = 300_000
+CACHE = 120_000
 #: Places of the dense features after the lexicon's.
 N_WORDS, N_STEMS, SHARE, N_GENERAL, ADDRESSED, N_MASKED, SHOUT, DENSE = range(8)
 OUT = "doc_id long, score double, predicted int"
