@@ -180,6 +180,19 @@ def test_join_counts_every_link(spark, words, monkeypatch, chunk):
     assert got == want and len(set(want.values())) > 10
 
 
+def test_join_finds_often_seen_shingles_over_all_tasks(spark):
+    """A passage that each task sees once or twice is known as frequent, so it opens no large tile."""
+    from tracelark.llm.ngram_join import NgramJoin, Shingler
+
+    passage = "one passage that many documents of every task hold"
+    rows = [(i, f"{passage} a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}" if i % 15 == 0 else f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(1_500)]
+    join = NgramJoin(spark.createDataFrame(spark.sparkContext.parallelize(rows, 50), "doc_id long, text string"), look=1)  # two in each task
+    often = join.often()
+    assert set(Shingler(5).of(passage.encode()).tolist()) == set(often.tolist())
+    tiles = join.tiles(join.scratch.table(join.cards(often)))
+    assert tiles.count() == 0
+
+
 def test_join_odd(spark, odd, clashing, odd_rows, none):
     from tracelark.llm.ngram_join import join_ngrams, one_of_each_group
 

@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .class_lm import _deal, _packs, _summed, _unpacked
 from .common import Scratch, hash_words, texts
 from .components import connected_components
 
@@ -143,30 +144,40 @@ class NgramJoin:
         self.scratch = Scratch(self.spark)
 
     def often(self) -> np.ndarray:
-        """Shingles that a part of the documents (one in `look`, by hash) holds often, rarest first; at most `common`."""
-        width = self.width
+        """Shingles that a part of the documents (one in `look`, by hash) holds three times or more, rarest first; the `common` most frequent at most.
+
+        All counts of a shingle meet, so how often it must be seen does not grow with the number of tasks.
+        """
+        width, parts = self.width, max(64, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find, waiting, size = Shingler(width), [], 0
 
-            def count() -> pa.RecordBatch:
+            def deal() -> pa.RecordBatch:
                 k, n = np.unique(np.concatenate(waiting), return_counts=True)
                 waiting.clear()
-                return pa.RecordBatch.from_arrays([pa.array(k[n >= 3].view(np.int64)), pa.array(n[n >= 3])], names=["s", "n"])
+                return _packs(_deal(k, parts), k, n.astype(np.int32))
 
             for b in batches:
                 for raw in b.column(1).to_pylist():
                     x = find.of(raw)
-                    waiting.append(x)
-                    size += len(x)
-                    if size > 4_000_000:
-                        yield count()
+                    if len(x):
+                        waiting.append(x)
+                        size += len(x)
+                    if size > 2_000_000:
+                        yield deal()
                         size = 0
             if waiting:
-                yield count()
+                yield deal()
+
+        def count(t: pa.Table) -> pa.Table:
+            k, n = _unpacked(t)
+            k, n = _summed([k], [n.astype(np.int64)])
+            return pa.table({"s": pa.array(k[n >= 3].view(np.int64)), "n": pa.array(n[n >= 3])})
 
         part = self.src.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(self.look)) == 0)
-        got = part.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(self.common).toArrow()
+        seen = part.mapInArrow(run, "part long, x binary, y binary").groupBy("part").applyInArrow(count, "s long, n long")
+        got = seen.orderBy(F.desc("n"), "s").limit(self.common).toArrow()
         return got.column("s").to_numpy()[::-1].copy().view(np.uint64)
 
     def cards(self, often: np.ndarray) -> DataFrame:
