@@ -326,6 +326,24 @@ def test_class_lm_counts_and_base_score(spark, odd, clashing, odd_rows, none):
     assert class_lm_digest(none).count() == 0
 
 
+def test_class_lm_holds_few_texts_at_once(monkeypatch):
+    """Of a large batch only a few texts at a time become Python objects; the blocks stay the same."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tracelark.llm import class_lm
+
+    monkeypatch.setattr(class_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = class_lm.encode(SimpleNamespace(mapInArrow=lambda f, schema: f), 100_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000), pa.int64()), pa.array([b"w%d " % (i % 9) * 1_000 for i in range(5_000)])], names=["doc_id", "raw"])
+    tracemalloc.start()
+    rows = sum(len(x.doc_ids) for x in class_lm._blocks(run(iter([batch]))))
+    assert rows == 5_000 and tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
+
+
 def test_class_lm_score_by_its_definition(spark):
     """The score against a plain version with the model's own classes; texts in blocks of any size; rows that repeat."""
     from tracelark.llm.class_lm import learn, encode, plain_scores, score_documents

@@ -39,13 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold_of, hash_words, py_fold, texts
+from .common import Scratch, fold_of, hash_words, lean, lean_rows, py_fold, texts
 
 END = b""  # no word is empty
 OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 BLOCKS = "block long, doc_ids array<long>, lens binary, hashes binary, ids binary"
 PART_TOKENS = 1_000_000  # tokens whose counts meet in one part
 HELD = 800_000  # counts that a task holds before it sums them up
+ROWS = 200  # texts that stand in a worker as Python objects
 
 
 @dataclass
@@ -121,7 +122,7 @@ def encode(src: DataFrame, block_bytes: int) -> DataFrame:
             places.clear()
             return pa.RecordBatch.from_arrays(row, names=["block", "doc_ids", "lens", "hashes", "ids"])
 
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not places:
                     places[END]  # noqa: B018  its place is 0
@@ -137,7 +138,7 @@ def encode(src: DataFrame, block_bytes: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return src.mapInArrow(run, BLOCKS)
+    return src.mapInArrow(lean_rows(run), BLOCKS)
 
 
 def _decoded(block: int, doc_ids: list, lens: bytes, hashes: bytes, ids: bytes) -> Block:
@@ -159,7 +160,7 @@ def word_counts(blocks: DataFrame, folds: int) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(x.hashes[at]), pa.array(n[at])], names=["h", "n"])
 
-    return blocks.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return blocks.mapInArrow(lean_rows(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _units(x: Block, folds: int, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +273,7 @@ def neighbours(blocks: DataFrame, scratch: Scratch, folds: int, core: np.ndarray
         return pa.table({"w": pa.array(w[at].astype(np.int32)), "others": _binary((key % (2 * size)).astype(np.int32), at), "counts": _binary(n.astype(np.int64), at), "head": head})
 
     out = "w int, others binary, counts binary, head boolean"
-    got = scratch.table(blocks.mapInArrow(pairs, "part long, x binary, y binary, z binary").groupBy("part").applyInArrow(lists, out))
+    got = scratch.table(blocks.mapInArrow(lean_rows(pairs), "part long, x binary, y binary, z binary").groupBy("part").applyInArrow(lambda t: lean(lists, t), out))
     empty = F.lit(b"").cast("binary")
     joined = lambda c: F.aggregate("all", empty, lambda a, x: F.concat(a, x[c])).alias(c)
     of = [joined(c) for c in ("others", "counts")]
@@ -426,7 +427,7 @@ def class_table(lists: DataFrame, cls: np.ndarray, classes: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
 
-    return _square(lists.select("w", "others", "counts").mapInArrow(run, "cell long, n long"), classes)
+    return _square(lists.select("w", "others", "counts").mapInArrow(lean_rows(run), "cell long, n long"), classes)
 
 
 def _square(cells: DataFrame, classes: int) -> np.ndarray:
@@ -451,7 +452,7 @@ def among(lists: DataFrame, units: np.ndarray, size: int) -> np.ndarray:
             x, y = np.concatenate([w[after], np.zeros(first.sum(), np.int32)]), np.concatenate([o[after], w[first]])
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.concatenate([n[after], n[first]]))], names=["a", "b", "n"])
 
-    got = lists.where("head").where(F.col("w") < size - 1).select("w", "others", "counts").mapInArrow(run, "a int, b int, n long").toArrow()
+    got = lists.where("head").where(F.col("w") < size - 1).select("w", "others", "counts").mapInArrow(lean_rows(run), "a int, b int, n long").toArrow()
     out = np.zeros((len(units), len(units)))
     out[np.searchsorted(units, got.column("a").to_numpy()), np.searchsorted(units, got.column("b").to_numpy())] = got.column("n").to_numpy()
     return out
@@ -492,7 +493,7 @@ def moves(lists: DataFrame, cls: np.ndarray, n: np.ndarray, turn: int, parts: in
                 keep = is_open | (gain[r, k] > np.where(is_open, 0, gain[r, a]) + 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(k[keep].astype(np.int32))], names=["w", "k"])
 
-    got = lists.select("w", "others", "counts").mapInArrow(run, "w int, k int").toArrow()
+    got = lists.select("w", "others", "counts").mapInArrow(lean_rows(run), "w int, k int").toArrow()
     return got.column("w").to_numpy(), got.column("k").to_numpy()
 
 
@@ -575,10 +576,10 @@ def other_words(blocks: DataFrame, scratch: Scratch, folds: int, core: np.ndarra
             at = np.flatnonzero(out[:-1] & out[1:])
             yield pa.RecordBatch.from_arrays([pa.array(x.hashes[p[at]]), pa.array(x.hashes[p[at + 1]])], names=["h", "then"])
 
-    near = blocks.mapInArrow(contexts, "part long, x binary, y binary")
-    got = scratch.table(near.groupBy("part").applyInArrow(assign, "h long, n long, cls int, cell long"))
+    near = blocks.mapInArrow(lean_rows(contexts), "part long, x binary, y binary")
+    got = scratch.table(near.groupBy("part").applyInArrow(lambda t: lean(assign, t), "h long, n long, cls int, cell long"))
     words = got.where("h is not null").select("h", "n", "cls")
-    first = blocks.mapInArrow(pairs, "h long, then long").join(words.select("h", F.col("cls").alias("a")), "h").select("a", F.col("then").alias("h"))
+    first = blocks.mapInArrow(lean_rows(pairs), "h long, then long").join(words.select("h", F.col("cls").alias("a")), "h").select("a", F.col("then").alias("h"))
     both = first.groupBy("a", "h").agg(F.count("*").alias("n")).join(words.select("h", F.col("cls").alias("b")), "h")
     cells = both.select((F.col("a") * classes + F.col("b")).cast("long").alias("cell"), "n")
     return words, _square(got.where("cell is not null").select("cell", "n").unionByName(cells), classes)
@@ -662,14 +663,14 @@ def score_documents(
             out[1].append(squeeze((np.where(hit, cls[at], 0) if len(n) else np.zeros(len(at))).astype(np.uint8)))
         return pa.table([asked.column("block"), asked.column("part"), *(pa.array(x, pa.binary()) for x in out)], names=["block", "part", "n", "cls"])
 
-    asked = blocks.select("block", "hashes").mapInArrow(asks, "part long, block long, hashes binary").groupBy("part")
+    asked = blocks.select("block", "hashes").mapInArrow(lean_rows(asks), "part long, block long, hashes binary").groupBy("part")
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_deal(b.column(0).to_numpy(), parts)), *b.columns], names=["part", "h", "n", "cls"])
 
     words = counts.select("h", "n", "cls").mapInArrow(dealt, "part long, h long, n long, cls int").groupBy("part")
-    answers = asked.cogroup(words).applyInArrow(answer, "block long, part long, n binary, cls binary")
+    answers = asked.cogroup(words).applyInArrow(lambda x, y: lean(answer, x, y), "block long, part long, n binary, cls binary")
     shared = spark.sparkContext.broadcast(model)  # bounded by the number of classes
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -704,7 +705,7 @@ def score_documents(
             "score": pa.array(out[2], pa.float64()),
         })
 
-    got = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, OUT)
+    got = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda x, y: lean(score, x, y), OUT)
     return got, model
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +68,31 @@ def hash_words(words: list[bytes]) -> np.ndarray:
 
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
+
+
+def give_back() -> None:
+    """Freed memory of this process goes back to the system: Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def lean(f: Callable, *args: Any) -> Any:
+    """f's result; what f has freed goes back to the system."""
+    try:
+        return f(*args)
+    finally:
+        give_back()
+
+
+def lean_rows(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same for a function of mapInArrow, at the end of its task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
