@@ -791,6 +791,59 @@ def test_pipeline_against_its_plain_parts(spark, tmp_path):
     assert sorted((r["doc_id"], bytes(r["ids"])) for r in p.run(spark, f"{DATA}/sf0.001").collect()) == want
 
 
+@pytest.mark.parametrize("stage", ["drop_toxic", "line_hits", "cards", "drop_contaminated", "encode_documents"])
+def test_pipeline_workers_hold_few_texts_at_once(monkeypatch, stage):
+    """Of a batch of all texts of a task only a few at a time become Python objects, and no row is lost."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from tracelark.llm import byte_bpe, common, decontaminate, line_dedup, ngram_join, toxicity
+
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), columns=["doc_id", "text"], schema=None, mapInArrow=lambda f, schema: f)
+    docs.where = docs.withColumn = docs.select = lambda *a: docs
+    for m in (byte_bpe, decontaminate, line_dedup, ngram_join, toxicity):
+        monkeypatch.setattr(m, "texts", lambda *a: docs)
+    monkeypatch.setattr(common, "ship_package", lambda s: None)
+    monkeypatch.setattr(ngram_join, "Scratch", lambda s: None)
+    monkeypatch.setattr(ngram_join.F, "xxhash64", lambda *a: None)
+    monkeypatch.setattr(decontaminate, "_first_block", lambda *a: ([(1, "an item of the benchmark that no text holds")], None))
+    run = {
+        "drop_toxic": lambda: toxicity.drop_toxic(docs, toxicity.Model(bias=-1.0)),
+        "line_hits": lambda: line_dedup.line_hits(docs),
+        "cards": lambda: ngram_join.NgramJoin(docs).cards(np.zeros(0, np.uint64)),
+        "drop_contaminated": lambda: decontaminate.drop_contaminated(docs, None),
+        "encode_documents": lambda: byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    }[stage]()
+    n = 4_000
+    raws = pa.array([b"words of line %d \n" % (i % 50) * 250 for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), raws, pa.array(range(n), pa.int64())], names=["doc_id", "raw", "text_hash"])
+    next(iter(run(iter([batch.slice(0, 1)]))))  # imports are not counted
+    tracemalloc.start()
+    ids = [i for b in run(iter([batch])) for i in {*b.column(0).to_numpy().tolist()}]
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
+    assert sorted(ids) == (list(range(n)) if stage != "line_hits" else [])  # no line is long enough
+
+
+def test_toxicity_starts_one_kind_of_worker(spark, monkeypatch):
+    """Rows of Python objects given to Spark would start workers of RDDs beside those of the operators."""
+    from pyspark import SparkContext
+
+    from tracelark.llm.toxicity import learn
+
+    docs, labels = table(spark, "sf0.01", "documents"), table(spark, "sf0.01", "labels")
+
+    def refuse(*args):
+        raise AssertionError("rows of Python objects")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refuse)
+    assert learn(docs, labels).terms
+
+
 def test_pipeline_odd(spark, odd_rows, clashing, none, tmp_path):
     """Nulls, empty and very long texts, repeated rows and clashing columns, and an empty table."""
     import corpus_pipeline as p

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import few_texts, texts
 
 #: Unicode's White_Space, which the pattern means by \s (Python's own \s has four control characters more).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -146,4 +146,4 @@ def _run(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, d
                 names = ["doc_id", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, OUT if digest else "doc_id long, ids binary, decoded binary")
+    return texts(docs, id_col, text_col).mapInArrow(few_texts(run), OUT if digest else "doc_id long, ids binary, decoded binary")

@@ -17,6 +17,7 @@ from ..session import ship_package
 
 #: What `[\x20\x09-\x0D]` holds; bytes.split() and bytes.strip() use the same six bytes.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
+ROWS = 200  # texts that stand in a worker as Python objects
 
 
 def fold_of(doc_id: Column, n: int) -> Column:
@@ -59,7 +60,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[], Callable[[list[bytes]], lis
         for b in batches:
             yield b.filter(pa.array(accept(as_bytes(b.column(at).to_pylist())), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(few_texts(run), docs.schema)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -96,3 +97,8 @@ def lean_rows(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
             give_back()
 
     return run
+
+
+def few_texts(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """lean_rows() of f, which gets batches in slices of at most ROWS rows: a batch may be all texts of a task."""
+    return lean_rows(lambda batches: f(b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)))

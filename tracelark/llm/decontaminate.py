@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_texts, texts
+from .common import Scratch, few_texts, filter_texts, texts
 
 OUT = "doc_id long, contaminated boolean, n_items int, item_ids array<long>, min_distance int"
 
@@ -282,7 +282,7 @@ def _scan_block(src: DataFrame, block: list[tuple[int, str]], chars_per_error: i
             items = [pa.array([y[j] for x in found for y in x.items()], t) for j, t in enumerate((pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), *items], names=["h1", "h2", "item", "distance"])
 
-    return src.mapInArrow(run, "h1 long, h2 long, item long, distance int" if flat else "doc_id long, hits map<long,int>")
+    return src.mapInArrow(few_texts(run), "h1 long, h2 long, item long, distance int" if flat else "doc_id long, hits map<long,int>")
 
 
 def brute_force(rows: list[tuple[int, str | None]], items: list[tuple[int, str | None]], chars_per_error: int = 20, min_chars: int = 30) -> dict[int, list[int]]:

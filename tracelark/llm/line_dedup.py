@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, texts
+from .common import ASCII_SPACE, Scratch, few_texts, texts
 
 HITS = "doc_id long, h1 long, h2 long"
 KEPT = "doc_id long, n_lines long, n_dropped long, kept binary"
@@ -66,7 +66,7 @@ def line_hits(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text
                 names=["doc_id", "h1", "h2"],
             )
 
-    return texts(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, HITS)
+    return texts(docs, id_col, text_col).where("doc_id is not null").mapInArrow(few_texts(run), HITS)
 
 
 def repeated_lines(hits: DataFrame, min_docs: int = 3) -> DataFrame:
@@ -122,7 +122,7 @@ def dedup_documents(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_
             cols[at] = pa.array(texts, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(few_texts(run), docs.schema)
 
 
 def dedup_lines(
@@ -149,7 +149,7 @@ def dedup_lines(
                 names=["doc_id", "n_lines", "n_dropped", "kept"],
             )
 
-    return both.mapInArrow(run, KEPT)
+    return both.mapInArrow(few_texts(run), KEPT)
 
 
 def line_digest(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

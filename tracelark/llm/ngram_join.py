@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .class_lm import _deal, _packs, _summed, _unpacked
-from .common import Scratch, hash_words, texts
+from .common import Scratch, few_texts, hash_words, lean, lean_rows, texts
 from .components import connected_components
 
 CACHE = 150_000
@@ -176,7 +176,7 @@ class NgramJoin:
             return pa.table({"s": pa.array(k[n >= 3].view(np.int64)), "n": pa.array(n[n >= 3])})
 
         part = self.src.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(self.look)) == 0)
-        seen = part.mapInArrow(run, "part long, x binary, y binary").groupBy("part").applyInArrow(count, "s long, n long")
+        seen = part.mapInArrow(few_texts(run), "part long, x binary, y binary").groupBy("part").applyInArrow(lambda t: lean(count, t), "s long, n long")
         got = seen.orderBy(F.desc("n"), "s").limit(self.common).toArrow()
         return got.column("s").to_numpy()[::-1].copy().view(np.uint64)
 
@@ -218,7 +218,7 @@ class NgramJoin:
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], names=["doc_id", "text_hash", "node", "n", "small", "sig", "rare", "keys"])
 
-        return self.src.mapInArrow(run, "doc_id long, text_hash long, node long, n long, small binary, sig binary, rare array<long>, keys array<long>")
+        return self.src.mapInArrow(few_texts(run), "doc_id long, text_hash long, node long, n long, small binary, sig binary, rare array<long>, keys array<long>")
 
     def tiles(self, cards: DataFrame) -> DataFrame:
         """(key, node, low, high, size), written: the members of each key that several nodes hold, with its smallest and largest node."""
@@ -246,7 +246,7 @@ class NgramJoin:
                 keep = [may_link(p, q, np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), percent) for p, q, x, y in zip(nu, nv, su, sv, strict=True)]
                 yield pa.RecordBatch.from_arrays([t.column(0).filter(pa.array(keep, pa.bool_())), t.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
 
-        return both.mapInArrow(run, "u long, v long")
+        return both.mapInArrow(lean_rows(run), "u long, v long")
 
     def texts_of(self, asked: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, raw), written: a text of each node that `asked` names."""
@@ -261,7 +261,7 @@ class NgramJoin:
                 keep = [node_of(find.of(raw)) == node for node, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        got = self.scratch.table(own.mapInArrow(same, "node long, raw binary").dropDuplicates(["node"]))
+        got = self.scratch.table(own.mapInArrow(few_texts(same), "node long, raw binary").dropDuplicates(["node"]))
         self.scratch.drop(reps)
         return got
 
@@ -289,7 +289,7 @@ class NgramJoin:
                         vs.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-        got = s.table(dealt.mapInArrow(run, "u long, v long"))
+        got = s.table(dealt.mapInArrow(few_texts(run), "u long, v long"))
         for old in (held, hubs, pairs):
             s.drop(old)
         return got
@@ -368,7 +368,7 @@ class NgramJoin:
                 meet_all(rest)
             yield _pairs(found)
 
-        return dealt.mapInArrow(run, "u long, v long").distinct()
+        return dealt.mapInArrow(lean_rows(run), "u long, v long").distinct()
 
     def link_counts(self, labels: DataFrame, nodes: DataFrame) -> DataFrame:
         """(node, linked): rows of other nodes that a node links with, from (node, label) of all nodes that have a link."""
@@ -418,7 +418,7 @@ class NgramJoin:
             close()
             yield flush()
 
-        return dealt.mapInArrow(run, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+        return dealt.mapInArrow(few_texts(run), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
     def rows(self, links_too: bool) -> DataFrame:
         """(doc_id, text_hash, node, n, component_id) of every row, and n_links if asked for; those without a set have no node."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, fold_of, hash_words, texts
+from .common import few_texts, filter_texts, fold_of, hash_words, texts
 
 #: General insults.
 INSULTS = frozenset(
@@ -149,15 +149,16 @@ def _without_copies(sample: DataFrame, hashes: int = 6, width: int = 5) -> DataF
                     sigs.append((x[None, :] * mix).min(axis=1).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "toxic", "sig"])
 
-    rows = sorted(sample.mapInArrow(run, "doc_id long, toxic int, sig array<long>").collect())  # bounded by the sample
+    rows = sorted(sample.mapInArrow(few_texts(run), "doc_id long, toxic int, sig array<long>").collect())  # bounded by the sample
     seen: set[tuple[int, int, int]] = set()
     keep = []
     for i, toxic, sig in rows:
         keys = {(toxic, k, x) for k, x in enumerate(sig)}
         if not keys & seen:
-            keep.append((i,))
+            keep.append(i)
         seen |= keys
-    kept = sample.sparkSession.createDataFrame(keep, "keep_id long")
+    # from Arrow: rows of Python objects would start a second kind of worker in every executor
+    kept = sample.sparkSession.createDataFrame(pa.table({"keep_id": pa.array(keep, pa.int64())}))
     return sample.join(F.broadcast(kept), sample["doc_id"] == kept["keep_id"]).select("doc_id", "raw", "toxic").dropDuplicates(["doc_id"])
 
 
@@ -181,7 +182,7 @@ def _mine(sample: DataFrame, neg: int, pos: int, max_terms: int, min_docs: int,
                     yield flush()
         yield flush()
 
-    counted = sample.mapInArrow(run, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counted = sample.mapInArrow(few_texts(run), "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     score = F.log((F.col("pos") + 0.5) / (pos + 1.0)) - F.log((F.col("neg") + 0.5) / (neg + 1.0))
     rate = pos / (pos + neg)
     n = F.col("pos") + F.col("neg")
@@ -273,7 +274,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows_per_class: int = 5000, max_te
                 names=["doc_id", "terms", "dense", "toxic"],
             )
 
-    rows = sample.mapInArrow(run, "doc_id long, terms array<int>, dense array<double>, toxic int").collect()  # bounded by the sample and the lexicon
+    rows = sample.mapInArrow(few_texts(run), "doc_id long, terms array<int>, dense array<double>, toxic int").collect()  # bounded by the sample and the lexicon
     rows.sort(key=lambda r: (r["doc_id"], r["terms"], r["dense"]))
     toxic = np.array([r["toxic"] for r in rows])
     if not len(set(toxic.tolist())) == 2:
@@ -314,7 +315,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             out = [scorer.score(raw) for raw in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, OUT)
+    return texts(docs, id_col, text_col).mapInArrow(few_texts(run), OUT)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
