@@ -204,6 +204,11 @@ def test_masked_numbers_are_read_again(spark):
     assert all(r["back"] == r["v"] and bytes(r["raw"]) == r["v"].to_bytes(r["w"], "little") for r in got)
 
 
+def test_mean_of_durations_whose_sum_passes_64_bits(spark):
+    long = spark.range(3000).selectExpr("id as thread_id", "'main' as name", "cast(5000000000000000 + id as bigint) as duration_ns")
+    assert [tuple(r) for r in spans.name_stats(long).collect()] == [("main", 3000, 5000000000000000, 5000000000002999, 5000000000001499)]
+
+
 def test_levels_of_any_depth_and_cycles(spark):
     chain = spark.createDataFrame([(k, f"n{k}", k - 1 if k else None) for k in range(22)] + [(90, "orphan", 77)], "id long, name string, parent long")
     got = {r["id"]: r["depth"] for r in traverse.parents(chain).collect()}
